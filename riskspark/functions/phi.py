@@ -46,10 +46,10 @@ def phrase_keys(tokens: str, longest: int) -> str:
     parts = [tokens]
     for n in range(2, longest + 1):
         parts.append(
-            f"transform(sequence(0, greatest(size({tokens}) - {n}, -1)), i -> "
-            f"if(i + {n} <= size({tokens}), array_join(slice({tokens}, i + 1, {n}), ' '), null))"
+            f"if(size({tokens}) >= {n}, transform(sequence(1, greatest(size({tokens}) - {n - 1}, 1)), "
+            f"i -> array_join(slice({tokens}, i, {n}), ' ')), array())"
         )
-    return f"array_distinct(array_compact(concat({', '.join(parts)})))"
+    return f"array_distinct(concat({', '.join(parts)}))"
 
 
 def names_pattern(keys: str) -> str:

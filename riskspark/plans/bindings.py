@@ -53,11 +53,163 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line of each order, written the way people type codes: z00.012 + blank."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return diagnoses_of_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def diagnoses_of_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    lines = lines.where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_shipdate")
+    orders = orders.select("o_orderkey", "o_custkey")
     code = f"lower({PART_CODE.format(key='l_partkey')})"
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
         "o_custkey AS member_id",
         f"concat(substr({code}, 1, 3), '.', substr({code}, 4), ' ') AS icd10",
         "to_date(l_shipdate) AS service_date",
     )
+
+
+# notes ---------------------------------------------------------------------------------
+
+#: Identifiers appended to notes by a rule on the document number, and the types that
+#: each rule makes one expect.
+NOTE_TAILS = {
+    0: (
+        "concat(' Patient Customer#', lpad(CAST(doc_id % 100 AS STRING), 9, '0'), ' seen 03/1', CAST(doc_id % 10 AS STRING), '/2026. MRN: 00', "
+        "lpad(CAST(doc_id % 1000000 AS STRING), 6, '0'), '.')",
+        ["PERSON", "DATE_TIME", "MRN"],
+    ),
+    1: (
+        "concat(' Call 555-123-', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), ' or write u', CAST(doc_id AS STRING), '@example.com')",
+        ["PHONE_NUMBER", "EMAIL_ADDRESS"],
+    ),
+    2: (
+        "concat(' SSN 123-45-', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), ', see https://records.example.org/n/', CAST(doc_id AS STRING))",
+        ["US_SSN", "URL"],
+    ),
+    3: (
+        "concat(' Medical record number #A-', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), ' in NATION_', CAST(doc_id % 25 AS STRING))",
+        ["MRN", "LOCATION"],
+    ),
+    4: ("concat(' Signed Supplier#', lpad(CAST(doc_id % 10 AS STRING), 9, '0'))", ["MEDICAL_LICENSE"]),
+}
+
+
+def note_text() -> str:
+    """Whole document text followed by its identifiers; plain in Spark and other SQL."""
+    cases = " ".join(f"WHEN {k} THEN {expr}" for k, (expr, _) in NOTE_TAILS.items())
+    return f"concat(text, CASE doc_id % 8 {cases} ELSE '' END)"
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS note_id", f"{note_text()} AS text")
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known names: customers, nations and suppliers."""
+    people = table(spark, sf_dir, "customer").selectExpr("'PERSON' AS entity_type", "c_name AS phrase")
+    places = table(spark, sf_dir, "nation").selectExpr("'LOCATION' AS entity_type", "n_name AS phrase")
+    licences = table(spark, sf_dir, "supplier").selectExpr("'MEDICAL_LICENSE' AS entity_type", "s_name AS phrase")
+    return people.unionByName(places).unionByName(licences)
+
+
+def phi_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with the types to expect and two words that must survive."""
+    expected = " ".join(f"WHEN {k} THEN array({', '.join(repr(t) for t in types)})" for k, (_, types) in NOTE_TAILS.items())
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS note_id",
+        f"{note_text()} AS text",
+        f"CASE doc_id % 8 {expected} ELSE cast(array() AS array<string>) END AS expected",
+        r"slice(regexp_extract_all(text, r'\p{L}{4,}', 0), 1, 2) AS must_survive",
+    )
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded extraction replies, one per part: fenced, bare or cut short."""
+    body = (
+        "to_json(named_struct('conditions', array("
+        "named_struct('condition', p_name, 'search_query', concat(p_name, ' ', lower(p_type))), "
+        "named_struct('condition', lower(p_type), 'search_query', ''))))"
+    )
+    return (
+        table(spark, sf_dir, "part")
+        .selectExpr("p_partkey AS note_id", f"{body} AS body")
+        .selectExpr(
+            "note_id",
+            "CASE WHEN note_id % 11 = 0 THEN substr(body, 1, length(body) - 5) WHEN note_id % 7 = 0 THEN body "
+            "ELSE concat('```json\\n', body, '\\n```') END AS reply",
+        )
+    )
+
+
+def selection_replies(pool: DataFrame) -> DataFrame:
+    """Recorded selection replies: the first three candidates, or prose for every fifth note."""
+    from pyspark.sql import functions as F
+
+    picked = pool.where("position <= 3").groupBy("note_id").agg(
+        F.expr(
+            "to_json(named_struct('selected_codes', transform(array_sort(collect_list(struct(position, icd10, description, cc, for_condition))),"
+            " x -> named_struct('icd10', x.icd10, 'description', x.description, 'cc', x.cc, 'condition', x.for_condition,"
+            " 'rationale', 'candidate', 'confidence', 1D - x.position / 10D))))"
+        ).alias("body")
+    )
+    return picked.selectExpr("note_id", "if(note_id % 5 = 0, 'I would pick the first ones.', concat('```json\\n', body, '\\n```')) AS reply")
+
+
+def gold_passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, gold): passages as queries, the documents that hold them as gold.
+
+    A passage and a document meet on a run of eight tokens that starts at the passage's
+    second one (its first may be glued to other letters), then the whole passage is
+    compared. Passages of fewer than ten tokens make no case.
+    """
+    from riskspark.functions.text import tokens
+
+    anchor = "hash(array_join(slice({t}, {i}, 8), ' '))"
+    items = (
+        table(spark, sf_dir, "benchmark")
+        .selectExpr("item_id AS case_id", "text AS query", f"{tokens('text')} AS t")
+        .where("size(t) >= 10")
+        .selectExpr("case_id", "query", f"{anchor.format(t='t', i='2')} AS anchor")
+    )
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text", f"{tokens('text')} AS t")
+    runs = docs.where("size(t) >= 8").selectExpr(
+        "doc", f"explode(array_distinct(transform(sequence(1, size(t) - 7), i -> {anchor.format(t='t', i='i')}))) AS anchor"
+    )
+    near = runs.join(items.select("case_id", "anchor"), "anchor").select("doc", "case_id").distinct()
+    held = near.join(docs.select("doc", "text"), "doc").join(items.select("case_id", "query"), "case_id")
+    gold = held.where("contains(text, query)").select("case_id", "doc")
+    cases = items.join(gold.select("case_id").distinct(), "case_id", "left_semi").selectExpr("case_id", "1 AS ord", "query")
+    return cases, gold
+
+
+def provider_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two recorded providers over the orders: codes, gold, step timings, members."""
+    from pyspark.sql import functions as F
+
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS case_id", f"{PART_CODE.format(key='l_partkey')} AS icd10", "l_returnflag", "l_linenumber", "l_quantity"
+    )
+    provider = F.expr(
+        "explode(filter(array(if(l_returnflag IN ('A', 'N'), 'alpha', null), if(l_returnflag IN ('N', 'R'), 'beta', null)), x -> x IS NOT NULL))"
+    )
+    predicted = lines.select("case_id", provider.alias("provider"), "icd10", "l_linenumber", "l_quantity")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS case_id", "o_custkey AS member_id")
+    return {
+        "predicted": predicted,
+        "gold": lines.select("case_id", "icd10"),
+        "timings": predicted.selectExpr(
+            "case_id", "provider", "if(l_linenumber % 2 = 0, 'select', 'extract') AS step", "l_quantity / 10 AS seconds"
+        ),
+        "cases": predicted.select("case_id", "provider").distinct(),
+        "members": orders.join(members(spark, sf_dir), "member_id"),
+    }
+
+
+def audit_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(clinical, phi) records: even notes carry identifiers, and every third output
+    repeats its prompt."""
+    records = notes(spark, sf_dir).selectExpr(
+        "note_id AS record_id",
+        "text AS prompt",
+        "concat('Identified ICD-10 codes: Z', string(note_id), '.', if(note_id % 3 = 0, concat(' ', upper(text)), '')) AS output",
+    )
+    return records.where("record_id % 2 = 1"), records.where("record_id % 2 = 0")

@@ -118,7 +118,6 @@ def suppression_audit(scored: DataFrame, ref: RefData, key: str = "member_id") -
 def contributions(scored: DataFrame, ref: RefData, key: str = "member_id") -> DataFrame:
     """Coefficient rows behind each applicable score, largest first within a member."""
     spark = scored.sparkSession
-    labels = F.broadcast(spark.createDataFrame(list(ref.labels.items()), "variable string, label string"))
     factors = F.broadcast(ref.factor_table(spark).withColumnRenamed("model", "applicable_model"))
     months = F.array(F.struct(F.lit(ref.position("LTIMCAID")).alias("variable_pos"), F.col("ltimcaid").alias("value")))
     ones = F.transform("variables_active", lambda i: F.struct(i.alias("variable_pos"), F.lit(1).alias("value")))
@@ -127,7 +126,6 @@ def contributions(scored: DataFrame, ref: RefData, key: str = "member_id") -> Da
         .select(key, "applicable_model", "v.variable_pos", "v.value")
         .where(F.col("value") != 0)
         .join(factors, ["variable_pos", "applicable_model"])
-        .join(labels, "variable", "left")
         .withColumn("contribution", F.col("coef") * F.col("value"))
     )
     order = Window.partitionBy(key).orderBy(F.desc("contribution"), F.asc("variable"))
@@ -135,7 +133,7 @@ def contributions(scored: DataFrame, ref: RefData, key: str = "member_id") -> Da
         key,
         F.col("applicable_model").alias("model"),
         "variable",
-        F.coalesce("label", F.lit("")).alias("label"),
+        "label",
         F.col("contribution").cast("double").alias("contribution"),
         "impact_rank",
     )

@@ -30,14 +30,18 @@ def build_session(app: str = "riskspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, as the session names it.
 
-    The folder is the one the session names; only a session without one (tests on a
-    single machine) gets a local folder.
+    Only a session without one (tests on a single machine) gets a local folder.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
         base = tempfile.mkdtemp(prefix="riskspark-")
         spark.conf.set(CHECKPOINT_KEY, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.sources import fixed_values as fv
@@ -56,6 +56,12 @@ def category_name(text: str) -> str:
     return "HCC" + format(number.normalize(), "f").replace(".", "_")
 
 
+def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small constant table, planned as one folded literal (no task ships rows)."""
+    quoted = json.dumps(rows).replace("\\", "\\\\").replace("'", "\\'")
+    return spark.sql(f"SELECT inline(from_json('{quoted}', 'array<struct<{schema}>>'))")
+
+
 @dataclass(frozen=True)
 class RefData:
     """Parsed tables. ``variables`` fixes the position (from 1) of every variable."""
@@ -109,18 +115,24 @@ class RefData:
     # tables ----------------------------------------------------------------------
     def hierarchy_table(self, spark: SparkSession) -> DataFrame:
         pos = self._positions()
-        rows = [(h, x, pos[h], pos[x]) for h, below in self.hierarchy for x in below if x in pos]
-        return spark.createDataFrame(rows, "hcc string, suppressed string, hcc_pos int, suppressed_pos int")
+        rows = [
+            {"hcc": h, "suppressed": x, "hcc_pos": pos[h], "suppressed_pos": pos[x]}
+            for h, below in self.hierarchy
+            for x in below
+            if x in self.domain
+        ]
+        return local_table(spark, rows, "hcc:string,suppressed:string,hcc_pos:int,suppressed_pos:int")
 
     def factor_table(self, spark: SparkSession) -> DataFrame:
         """Long form: one row per variable and model that has a coefficient."""
         pos = self._positions()
         rows = [
-            Row(variable=v, variable_pos=pos[v], model=m, coef=c)
+            {"variable": v, "variable_pos": pos[v], "model": m, "coef": str(c), "label": self.labels.get(v, "")}
             for v, by_model in self.factors.items()
             for m, c in by_model.items()
         ]
-        return spark.createDataFrame(rows, "variable string, variable_pos int, model string, coef decimal(12,6)")
+        table = local_table(spark, rows, "variable:string,variable_pos:int,model:string,coef:string,label:string")
+        return table.withColumn("coef", table.coef.cast("decimal(12,6)"))
 
 
 def _bounded_csv(spark: SparkSession, path: str) -> list[list[str]]:
