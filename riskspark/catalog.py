@@ -16,7 +16,7 @@ from riskspark.operators.model import joined_groups, joined_hccs, joined_interac
 from riskspark.plans import bindings as b
 from riskspark.plans import notes as N
 from riskspark.plans import roster
-from riskspark.session import shared_dir, shared_root
+from riskspark.session import keeper, shared_dir, shared_root
 from riskspark.sources import fixed_values as fv
 from riskspark.sources import jsonl, reports
 from riskspark.sources.refdata import RefData, load_refdata
@@ -84,13 +84,15 @@ class Data:
         return N.pool_with_records(self.pool(), self.corpus)
 
     def selected(self) -> DataFrame:
-        pool = self.full_pool()
+        keep = keeper(self.spark, "selection")
+        pool = keep(self.full_pool(), "pool")
         return N.selected_codes(pool, b.selection_replies(pool))
 
     def note_results(self) -> tuple[DataFrame, DataFrame]:
         patients = self.members.withColumnRenamed("member_id", "note_id")
         return N.note_to_score(
-            self.notes, self.completions, b.selection_replies, patients, self.corpus, self.code_map, self.code_index(), self.ref, self.names
+            self.notes, self.completions, b.selection_replies, patients, self.corpus, self.code_map, self.code_index(), self.ref, self.names,
+            keeper(self.spark, "notes"),
         )
 
 
@@ -108,7 +110,7 @@ def query(fn: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
 @query
 def ref_factors_long(d: Data) -> DataFrame:
     """Coefficients in long form, with the members that carry each variable."""
-    carried = d.scored().select(F.explode("variables_active").alias("variable_pos")).groupBy("variable_pos").agg(F.count(F.lit(1)).alias("n"))
+    carried = d.scored().select(F.explode_outer("variables_active").alias("variable_pos")).groupBy("variable_pos").agg(F.count(F.lit(1)).alias("n"))
     return (
         d.ref.factor_table(d.spark)
         .join(carried, "variable_pos", "left")
@@ -465,7 +467,7 @@ def _note_scores(d: Data, codes: DataFrame) -> DataFrame:
 @query
 def member_summary(d: Data) -> DataFrame:
     """One line per note with its selected codes, categories, model and score."""
-    codes = d.selected()
+    codes = keeper(d.spark, "codes")(d.selected(), "codes")
     lists = N.code_lists(codes).select("note_id", "codes")
     scored = _note_scores(d, codes).withColumn("hccs", F.expr(joined_hccs("hcc_active", d.ref)))
     return lists.join(scored, "note_id", "left").selectExpr("note_id", f"{N.summary_line('codes', 'hccs')} AS summary")
@@ -481,7 +483,7 @@ def note_to_score(d: Data) -> DataFrame:
 def explain_prompts(d: Data) -> DataFrame:
     """Prompts for the roster's notes, from the recorded replies."""
     notes = b.table(d.spark, d.dir, "documents").selectExpr("doc_id AS note_id", "text AS sanitized_text")
-    codes = d.selected()
+    codes = keeper(d.spark, "codes")(d.selected(), "codes")
     scored = _note_scores(d, codes)
     prompts = N.explain_prompts(notes, d.conditions(), codes, scored, d.ref)
     return prompts.selectExpr("note_id", "md5(prompt) AS prompt_md5", "length(prompt) AS n_chars")

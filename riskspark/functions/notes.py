@@ -13,7 +13,7 @@ CODES_TYPE = (
 
 def keyword_hits(text: str) -> str:
     words = ", ".join(f"'{w}'" for w in fv.CLINICAL_KEYWORDS)
-    return f"size(filter(array({words}), w -> contains(lower({text}), w)))"
+    return f"transform(array(lower({text})), t -> size(filter(array({words}), w -> contains(t, w))))[0]"
 
 
 def is_clinical(text: str) -> str:

@@ -26,14 +26,21 @@ def sql_pattern(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
-def split_on(text: str, pattern: str) -> str:
-    """Pieces of the text around the matches; ``pattern`` is a SQL expression."""
-    return f"split({text}, {pattern}, -1)"
+def start_redaction(text: str) -> str:
+    """State of a redaction: the text so far and the number of matches of each pass."""
+    return f"named_struct('s', {text}, 'n', cast(array() AS array<int>))"
 
 
-def numbered(pieces: str, placeholder: str) -> str:
-    """The pieces joined again, the i-th gap filled with ``placeholder`` and i."""
-    return f"array_join(transform({pieces}, (x, i) -> if(i > 0, concat('{placeholder}', i, ']', x), x)), '')"
+def redaction_pass(state: str, pattern: str, placeholder: str) -> str:
+    """The state after one pass: the text is split at the matches, and the i-th gap is
+    filled with ``placeholder`` and i.
+
+    Each intermediate value is bound to a lambda variable, so the chain of passes is one
+    expression that evaluates every step once, wherever the optimizer moves it.
+    """
+    joined = f"array_join(transform(x, (t, i) -> if(i > 0, concat('{placeholder}', i, ']', t), t)), '')"
+    after = f"named_struct('s', {joined}, 'n', array_append(d.n, size(x) - 1))"
+    return f"transform(array({state}), d -> transform(array(split(d.s, {pattern}, -1)), x -> {after})[0])[0]"
 
 
 def phrase_tokens(text: str) -> str:

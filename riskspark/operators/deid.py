@@ -67,44 +67,38 @@ def deidentify(
             F.lit("Guardrails disabled" if fail_open else "Guardrails disabled; text withheld").alias("note"),
         )
 
-    df = notes.withColumnRenamed(text, "sanitized_text")
+    df = notes
     passes: list[tuple[str, str]] = [(t, phi.sql_pattern(p)) for t, p in phi.PATTERNS.items()]
     if gazetteer is not None:
         df = df.join(names_in_notes(notes, gazetteer, key, text), key, "left")
         for t in phi.GAZETTEER_TYPES:
             # (?!) matches nowhere
             passes.append((t, f"coalesce({phi.names_pattern(f'names_{t}')}, '(?!)')"))
+    state = phi.start_redaction(text)
     for entity, pattern in passes:
-        df = _redact(df, entity, pattern, f"[REDACTED_{entity}_")
-    df = _redact(df, "MRN", phi.MRN, "MRN [REDACTED_MRN_")
+        state = phi.redaction_pass(state, pattern, f"[REDACTED_{entity}_")
+    state = phi.redaction_pass(state, phi.MRN, "MRN [REDACTED_MRN_")
 
-    scanned = sorted(t for t, _ in passes) + ["MRN"]
-    counts = ", ".join(f"named_struct('entity_type', '{t}', 'count', n_{t})" for t in scanned)
-    return df.selectExpr(
+    order = [t for t, _ in passes]
+    counts = ", ".join(
+        f"named_struct('entity_type', '{t}', 'count', state.n[{i}])"
+        for t, i in [*sorted((t, i) for i, t in enumerate(order)), ("MRN", len(order))]
+    )
+    return df.selectExpr(*others, f"{state} AS state").selectExpr(
         *others,
-        "sanitized_text",
-        f"coalesce({' + '.join(f'n_{t}' for t in scanned)}, 0) > 0 AS redacted",
+        "state.s AS sanitized_text",
+        "coalesce(exists(state.n, n -> n > 0), false) AS redacted",
         f"filter(array({counts}), x -> x.count > 0) AS findings",
         "true AS enabled",
-        "if(sanitized_text IS NULL, 'no text', null) AS note",
-    )
-
-
-def _redact(df: DataFrame, entity: str, pattern: str, placeholder: str) -> DataFrame:
-    """One pass: split at the matches, count them, join with numbered placeholders."""
-    carried = [c for c in df.columns if c != "sanitized_text"]
-    split = df.selectExpr(*carried, f"{phi.split_on('sanitized_text', pattern)} AS pieces")
-    return split.selectExpr(
-        *carried,
-        f"{phi.numbered('pieces', placeholder)} AS sanitized_text",
-        f"size(pieces) - 1 AS n_{entity}",
+        "if(state.s IS NULL, 'no text', null) AS note",
     )
 
 
 def redact_mrn(notes: DataFrame, text: str = "text") -> DataFrame:
     """Only the record-number pass: adds sanitized_text and n_mrn."""
-    df = notes.withColumnRenamed(text, "sanitized_text")
-    return _redact(df, "MRN", phi.MRN, "MRN [REDACTED_MRN_").withColumnRenamed("n_MRN", "n_mrn")
+    others = [c for c in notes.columns if c != text]
+    state = phi.redaction_pass(phi.start_redaction(text), phi.MRN, "MRN [REDACTED_MRN_")
+    return notes.selectExpr(*others, f"{state} AS state").selectExpr(*others, "state.s AS sanitized_text", "state.n[0] AS n_mrn")
 
 
 def findings_of_placeholders(placeholders: DataFrame, key: str = "note_id", column: str = "placeholder") -> DataFrame:
@@ -114,4 +108,5 @@ def findings_of_placeholders(placeholders: DataFrame, key: str = "note_id", colu
 
 
 def findings_long(deid: DataFrame, key: str = "note_id") -> DataFrame:
-    return deid.select(key, F.explode("findings").alias("f")).select(key, "f.entity_type", "f.count")
+    rows = deid.select(key, F.explode_outer("findings").alias("f")).where("f IS NOT NULL")
+    return rows.select(key, "f.entity_type", "f.count")

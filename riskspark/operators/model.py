@@ -22,7 +22,8 @@ def surviving_categories(items: str, mce_edits: bool = True) -> str:
 
 def apply_hierarchy(categories: str, ref: RefData) -> str:
     """Drop what any active category suppresses, judged on the set before dropping."""
-    return f"array_except({categories}, flatten(transform({categories}, i -> element_at({ref.suppressed_by()}, i))))"
+    dropped = f"flatten(transform(c, i -> element_at({ref.suppressed_by()}, i)))"
+    return f"transform(array({categories}), c -> array_except(c, {dropped}))[0]"
 
 
 def active_groups(categories: str, ref: RefData) -> str:
@@ -31,9 +32,9 @@ def active_groups(categories: str, ref: RefData) -> str:
 
 def active_interactions(variables: str, ref: RefData) -> str:
     """Positions of the interactions both of whose factors are active, in file order."""
-    has = lambda name: f"array_contains({variables}, {ref.position(name)})"
+    has = lambda name: f"array_contains(v, {ref.position(name)})"
     terms = [f"if({has(a)} AND {has(b)}, {ref.position(name)}, null)" for name, a, b in ref.interactions]
-    return f"array_compact(array({', '.join(terms)}))"
+    return f"transform(array({variables}), v -> array_compact(array({', '.join(terms)})))[0]"
 
 
 def positions_of(names: list[str], ref: RefData) -> str:

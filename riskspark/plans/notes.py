@@ -88,18 +88,20 @@ def note_to_score(
     index: TfidfIndex,
     ref: RefData,
     gazetteer: DataFrame | None = None,
+    keep=lambda df, step: df,
 ) -> tuple[DataFrame, DataFrame]:
     """De-identify, gate, extract, retrieve, select, score: (selected codes, scores).
 
     ``completions`` are recorded extraction replies, ``make_replies(pool)`` gives the
     recorded selection replies. ``members`` is keyed by ``note_id`` and holds the
     demographics of each note's patient; only notes with codes and demographics score.
+    ``keep`` may write a step that several later ones use.
     """
-    sanitized = gate(deidentify(notes, gazetteer)).where("is_clinical AND NOT rejected")
+    sanitized = keep(gate(deidentify(notes, gazetteer)), "sanitized").where("is_clinical AND NOT rejected")
     conditions, _ = parse_conditions(completions)
     asked = note_conditions(sanitized, conditions, completions)
-    pool = pool_with_records(candidate_pool(asked, index), corpus)
-    codes = selected_codes(pool, make_replies(pool))
+    pool = keep(pool_with_records(candidate_pool(asked, index), corpus), "pool")
+    codes = keep(selected_codes(pool, make_replies(pool)), "codes")
     scored = score_roster(members, codes.select("note_id", "icd10"), code_map, ref, key="note_id", scored_only=True)
     return codes, scored
 

@@ -100,15 +100,16 @@ def scores_long(scored: DataFrame, models: list[str], key: str = "member_id") ->
 
 def variable_rows(scored: DataFrame, positions: str, ref: RefData, name: str, key: str = "member_id") -> DataFrame:
     """(member, name) for one of the position arrays."""
-    return scored.select(key, F.explode(F.expr(names_of(positions, ref))).alias(name))
+    # explode_outer, because the filter that explode implies would be pushed below the
+    # model and compute it a second time
+    return scored.select(key, F.explode_outer(F.expr(names_of(positions, ref))).alias(name)).where(f"{name} IS NOT NULL")
 
 
 def suppression_audit(scored: DataFrame, ref: RefData, key: str = "member_id") -> DataFrame:
     """(member, suppressed, suppressed_by): why a category is not active."""
     pairs = F.broadcast(ref.hierarchy_table(scored.sparkSession))
     return (
-        scored.where(F.size("hcc_initial") > F.size("hcc_active"))
-        .select(key, "hcc_initial", F.explode(F.array_except("hcc_initial", "hcc_active")).alias("suppressed_pos"))
+        scored.select(key, "hcc_initial", F.explode_outer(F.array_except("hcc_initial", "hcc_active")).alias("suppressed_pos"))
         .join(pairs, "suppressed_pos")
         .where(F.array_contains("hcc_initial", F.col("hcc_pos")))
         .select(key, "suppressed", F.col("hcc").alias("suppressed_by"))
@@ -122,7 +123,7 @@ def contributions(scored: DataFrame, ref: RefData, key: str = "member_id") -> Da
     months = F.array(F.struct(F.lit(ref.position("LTIMCAID")).alias("variable_pos"), F.col("ltimcaid").alias("value")))
     ones = F.transform("variables_active", lambda i: F.struct(i.alias("variable_pos"), F.lit(1).alias("value")))
     rows = (
-        scored.select(key, "applicable_model", F.explode(F.concat(ones, months)).alias("v"))
+        scored.select(key, "applicable_model", F.explode_outer(F.concat(ones, months)).alias("v"))
         .select(key, "applicable_model", "v.variable_pos", "v.value")
         .where(F.col("value") != 0)
         .join(factors, ["variable_pos", "applicable_model"])

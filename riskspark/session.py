@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,3 +46,18 @@ def shared_root(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def keeper(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """``keep(df, step)`` writes a step under the shared folder and reads it back.
+
+    For a step that several later ones use: it is computed once, and a lost executor
+    costs no more than reading it again.
+    """
+    folder = shared_dir(spark, name)
+
+    def keep(df: DataFrame, step: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{step}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{step}")
+
+    return keep
