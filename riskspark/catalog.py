@@ -16,7 +16,7 @@ from riskspark.operators.model import joined_groups, joined_hccs, joined_interac
 from riskspark.plans import bindings as b
 from riskspark.plans import notes as N
 from riskspark.plans import roster
-from riskspark.session import keeper, shared_dir, shared_root
+from riskspark.session import keeper, shared_dir, shared_root, spread
 from riskspark.sources import fixed_values as fv
 from riskspark.sources import jsonl, reports
 from riskspark.sources.refdata import RefData, load_refdata
@@ -290,7 +290,7 @@ def what_if(d: Data) -> DataFrame:
 
 @query
 def tokenize(d: Data) -> DataFrame:
-    docs = b.table(d.spark, d.dir, "documents")
+    docs = spread(b.table(d.spark, d.dir, "documents"))
     return docs.selectExpr("doc_id", f"explode({tokens('text')}) AS token").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -325,8 +325,9 @@ def candidate_pool(d: Data) -> DataFrame:
 
 
 def _retrieval_inputs(d: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
-    cases, gold = b.gold_passages(d.spark, d.dir)
-    return cases, gold, retrieval.ranked_pool(cases, d.document_index(), 10)
+    keep = keeper(d.spark, "retrieval")
+    cases, gold = b.gold_passages(d.spark, d.dir, keep)
+    return cases, gold, keep(retrieval.ranked_pool(cases, d.document_index(), 10), "pool")
 
 
 @query

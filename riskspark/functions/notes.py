@@ -27,19 +27,17 @@ def stripped(text: str) -> str:
 
 def unfenced(reply: str) -> str:
     """Content of a reply that is one whole fenced block, else the reply itself."""
-    pattern = r"r'(?i)^```(?:json)?\s*([\s\S]*?)```\s*$'"
-    body = stripped(reply)
-    return f"if({body} rlike {pattern}, {stripped(f'regexp_extract({body}, {pattern}, 1)')}, {body})"
+    return stripped(rf"regexp_replace({stripped(reply)}, r'(?i)^```(?:json)?\s*([\s\S]*?)```$', '$1')")
 
 
-def parsed(reply: str, schema: str) -> str:
-    """Struct of the reply, null fields where it is no such object."""
-    return f"from_json({unfenced(reply)}, '{schema}')"
+def intake(reply: str, schema: str, field: str) -> str:
+    """Struct (ok, items) of a reply: whether it holds a JSON object, and its list.
 
-
-def is_object(reply: str) -> str:
-    """The reply holds a well-formed JSON object."""
-    return f"coalesce(startswith({unfenced(reply)}, '{{') AND try_parse_json({unfenced(reply)}) IS NOT NULL, false)"
+    A reply that is no object, or has no such list, gives an empty list.
+    """
+    items = f"coalesce(from_json(body, '{schema}').{field}, array())"
+    ok = "coalesce(startswith(body, '{') AND try_parse_json(body) IS NOT NULL, false)"
+    return f"transform(array({unfenced(reply)}), body -> named_struct('ok', {ok}, 'items', {items}))[0]"
 
 
 def resolved_provider(override: str, default: str, available: list[str]) -> str:

@@ -16,6 +16,19 @@ PATTERNS = {
     "DATE_TIME": r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b",
 }
 
+#: What a text must contain for a pattern to match at all; tested first, because most
+#: texts hold none of it and the test is far cheaper than the pattern.
+NEEDS = {
+    "EMAIL_ADDRESS": "contains({s}, '@')",
+    "URL": "(contains({s}, '://') OR contains(lower({s}), 'www.'))",
+    "US_SSN": r"{s} rlike r'\d{{3}}-\d\d-\d'",
+    "CREDIT_CARD": r"{s} rlike r'\d{{4}}[ -]?\d{{4}}'",
+    "IP_ADDRESS": r"{s} rlike r'\d\.\d'",
+    "PHONE_NUMBER": r"{s} rlike r'\d{{3}}[ .-]\d{{4}}'",
+    "DATE_TIME": r"{s} rlike r'\d[/-]\d'",
+    "MRN": "(contains(lower({s}), 'mrn') OR contains(lower({s}), 'medical record'))",
+}
+
 #: Types found by a table of known names rather than by a pattern.
 GAZETTEER_TYPES = ["PERSON", "LOCATION", "MEDICAL_LICENSE"]
 
@@ -31,16 +44,17 @@ def start_redaction(text: str) -> str:
     return f"named_struct('s', {text}, 'n', cast(array() AS array<int>))"
 
 
-def redaction_pass(state: str, pattern: str, placeholder: str) -> str:
+def redaction_pass(state: str, pattern: str, placeholder: str, needs: str = "true") -> str:
     """The state after one pass: the text is split at the matches, and the i-th gap is
-    filled with ``placeholder`` and i.
+    filled with ``placeholder`` and i. ``needs`` is a cheap test without which nothing
+    matches.
 
     Each intermediate value is bound to a lambda variable, so the chain of passes is one
     expression that evaluates every step once, wherever the optimizer moves it.
     """
     joined = f"array_join(transform(x, (t, i) -> if(i > 0, concat('{placeholder}', i, ']', t), t)), '')"
     after = f"named_struct('s', {joined}, 'n', array_append(d.n, size(x) - 1))"
-    return f"transform(array({state}), d -> transform(array(split(d.s, {pattern}, -1)), x -> {after})[0])[0]"
+    return f"transform(array({state}), d -> transform(array(if({needs.format(s='d.s')}, split(d.s, {pattern}, -1), array(d.s))), x -> {after})[0])[0]"
 
 
 def phrase_tokens(text: str) -> str:
@@ -49,14 +63,14 @@ def phrase_tokens(text: str) -> str:
 
 
 def phrase_keys(tokens: str, longest: int) -> str:
-    """Distinct token n-grams of one up to ``longest`` tokens."""
+    """Token n-grams of one up to ``longest`` tokens."""
     parts = [tokens]
     for n in range(2, longest + 1):
+        words = ", ".join(f"{tokens}[i + {j}]" for j in range(n))
         parts.append(
-            f"if(size({tokens}) >= {n}, transform(sequence(1, greatest(size({tokens}) - {n - 1}, 1)), "
-            f"i -> array_join(slice({tokens}, i, {n}), ' ')), array())"
+            f"if(size({tokens}) >= {n}, transform(sequence(0, greatest(size({tokens}) - {n}, 0)), i -> concat_ws(' ', {words})), array())"
         )
-    return f"array_distinct(concat({', '.join(parts)}))"
+    return f"concat({', '.join(parts)})"
 
 
 def names_pattern(keys: str) -> str:

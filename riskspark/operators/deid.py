@@ -11,18 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import phi
-
-#: Longest name, in tokens, that is looked for.
-MAX_NAME_TOKENS = 3
-
+from riskspark.session import spread
 
 def name_table(gazetteer: DataFrame) -> DataFrame:
-    """(entity_type, name): names as lower-case token runs, distinct, short enough."""
+    """(entity_type, name, n_tokens): names as lower-case token runs, distinct."""
     return (
-        gazetteer.selectExpr("entity_type", f"{phi.phrase_tokens('phrase')} AS t")
-        .where(f"size(t) BETWEEN 1 AND {MAX_NAME_TOKENS}")
-        .selectExpr("entity_type", "array_join(t, ' ') AS name")
-        .where(F.col("entity_type").isin(phi.GAZETTEER_TYPES))
+        gazetteer.where(F.col("entity_type").isin(phi.GAZETTEER_TYPES))
+        .selectExpr("entity_type", f"{phi.phrase_tokens('phrase')} AS t")
+        .where("size(t) > 0")
+        .selectExpr("entity_type", "array_join(t, ' ') AS name", "size(t) AS n_tokens")
         .distinct()
     )
 
@@ -32,10 +29,10 @@ def names_in_notes(notes: DataFrame, gazetteer: DataFrame, key: str, text: str)
 
     Only word runs travel, not texts; the result is as large as the matches.
     """
-    runs = notes.selectExpr(key, f"{phi.phrase_tokens(text)} AS t").selectExpr(
-        key, f"explode({phi.phrase_keys('t', MAX_NAME_TOKENS)}) AS name"
-    )
-    found = runs.join(name_table(gazetteer), "name")
+    names = name_table(gazetteer)
+    longest = names.agg(F.max("n_tokens")).first()[0] or 1
+    runs = notes.selectExpr(key, f"{phi.phrase_tokens(text)} AS t").selectExpr(key, f"explode({phi.phrase_keys('t', longest)}) AS name")
+    found = runs.join(names.select("entity_type", "name"), "name")
     return found.groupBy(key).agg(
         *[F.collect_set(F.when(F.col("entity_type") == t, F.col("name"))).alias(f"names_{t}") for t in phi.GAZETTEER_TYPES]
     )
@@ -67,6 +64,7 @@ def deidentify(
             F.lit("Guardrails disabled" if fail_open else "Guardrails disabled; text withheld").alias("note"),
         )
 
+    notes = spread(notes)
     df = notes
     passes: list[tuple[str, str]] = [(t, phi.sql_pattern(p)) for t, p in phi.PATTERNS.items()]
     if gazetteer is not None:
@@ -76,8 +74,9 @@ def deidentify(
             passes.append((t, f"coalesce({phi.names_pattern(f'names_{t}')}, '(?!)')"))
     state = phi.start_redaction(text)
     for entity, pattern in passes:
-        state = phi.redaction_pass(state, pattern, f"[REDACTED_{entity}_")
-    state = phi.redaction_pass(state, phi.MRN, "MRN [REDACTED_MRN_")
+        needs = phi.NEEDS.get(entity, f"size(names_{entity}) > 0")
+        state = phi.redaction_pass(state, pattern, f"[REDACTED_{entity}_", needs)
+    state = phi.redaction_pass(state, phi.MRN, "MRN [REDACTED_MRN_", phi.NEEDS["MRN"])
 
     order = [t for t, _ in passes]
     counts = ", ".join(
@@ -97,7 +96,7 @@ def deidentify(
 def redact_mrn(notes: DataFrame, text: str = "text") -> DataFrame:
     """Only the record-number pass: adds sanitized_text and n_mrn."""
     others = [c for c in notes.columns if c != text]
-    state = phi.redaction_pass(phi.start_redaction(text), phi.MRN, "MRN [REDACTED_MRN_")
+    state = phi.redaction_pass(phi.start_redaction(text), phi.MRN, "MRN [REDACTED_MRN_", phi.NEEDS["MRN"])
     return notes.selectExpr(*others, f"{state} AS state").selectExpr(*others, "state.s AS sanitized_text", "state.n[0] AS n_mrn")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskspark.session import spread
 from riskspark.sources.refdata import RefData
 
 
@@ -129,15 +130,11 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('condition', p_name, 'search_query', concat(p_name, ' ', lower(p_type))), "
         "named_struct('condition', lower(p_type), 'search_query', ''))))"
     )
-    return (
-        table(spark, sf_dir, "part")
-        .selectExpr("p_partkey AS note_id", f"{body} AS body")
-        .selectExpr(
-            "note_id",
-            "CASE WHEN note_id % 11 = 0 THEN substr(body, 1, length(body) - 5) WHEN note_id % 7 = 0 THEN body "
-            "ELSE concat('```json\\n', body, '\\n```') END AS reply",
-        )
+    written = (
+        "CASE WHEN p_partkey % 11 = 0 THEN substr(body, 1, length(body) - 5) WHEN p_partkey % 7 = 0 THEN body "
+        "ELSE concat('```json\\n', body, '\\n```') END"
     )
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS note_id", f"transform(array({body}), body -> {written})[0] AS reply")
 
 
 def selection_replies(pool: DataFrame) -> DataFrame:
@@ -154,7 +151,7 @@ def selection_replies(pool: DataFrame) -> DataFrame:
     return picked.selectExpr("note_id", "if(note_id % 5 = 0, 'I would pick the first ones.', concat('```json\\n', body, '\\n```')) AS reply")
 
 
-def gold_passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def gold_passages(spark: SparkSession, sf_dir: str, keep=lambda df, step: df) -> tuple[DataFrame, DataFrame]:
     """(cases, gold): passages as queries, the documents that hold them as gold.
 
     A passage and a document meet on a run of eight tokens that starts at the passage's
@@ -170,13 +167,13 @@ def gold_passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         .where("size(t) >= 10")
         .selectExpr("case_id", "query", f"{anchor.format(t='t', i='2')} AS anchor")
     )
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text", f"{tokens('text')} AS t")
-    runs = docs.where("size(t) >= 8").selectExpr(
+    docs = spread(table(spark, sf_dir, "documents")).selectExpr("doc_id AS doc", "text")
+    runs = docs.selectExpr("doc", f"{tokens('text')} AS t").where("size(t) >= 8").selectExpr(
         "doc", f"explode(array_distinct(transform(sequence(1, size(t) - 7), i -> {anchor.format(t='t', i='i')}))) AS anchor"
     )
     near = runs.join(items.select("case_id", "anchor"), "anchor").select("doc", "case_id").distinct()
     held = near.join(docs.select("doc", "text"), "doc").join(items.select("case_id", "query"), "case_id")
-    gold = held.where("contains(text, query)").select("case_id", "doc")
+    gold = keep(held.where("contains(text, query)").select("case_id", "doc"), "gold")
     cases = items.join(gold.select("case_id").distinct(), "case_id", "left_semi").selectExpr("case_id", "1 AS ord", "query")
     return cases, gold
 

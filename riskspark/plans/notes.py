@@ -26,13 +26,13 @@ def gate(notes: DataFrame, text: str = "sanitized_text") -> DataFrame:
 
 def parse_conditions(completions: DataFrame, key: str = "note_id", reply: str = "reply") -> tuple[DataFrame, DataFrame]:
     """(conditions, quarantine): one row per condition, and the replies without an object."""
-    ok = F.expr(N.is_object(reply))
+    read = completions.selectExpr("*", f"{N.intake(reply, N.CONDITIONS_TYPE, 'conditions')} AS intake")
     conditions = (
-        completions.where(ok)
-        .selectExpr(key, f"posexplode(coalesce({N.parsed(reply, N.CONDITIONS_TYPE)}.conditions, array())) AS (pos, c)")
+        read.selectExpr(key, "posexplode_outer(if(intake.ok, intake.items, null)) AS (pos, c)")
+        .where("pos IS NOT NULL")
         .selectExpr(key, "pos + 1 AS ord", "c.condition AS condition", "c.search_query AS search_query")
     )
-    return conditions, completions.where(~ok)
+    return conditions, read.where("NOT intake.ok").drop("intake")
 
 
 def note_conditions(notes: DataFrame, conditions: DataFrame, completions: DataFrame, key: str = "note_id") -> DataFrame:
@@ -51,11 +51,11 @@ def selected_codes(pool: DataFrame, replies: DataFrame, key: str = "note_id", re
     """
     offered = pool.where(F.col("position") <= fv.CANDIDATES_TO_SELECTOR)
     with_pool = offered.select(key).distinct()
-    ok = F.expr(N.is_object(reply))
+    read = replies.selectExpr(key, f"{N.intake(reply, N.CODES_TYPE, 'selected_codes')} AS intake")
     chosen = (
-        replies.where(ok)
-        .join(with_pool, key, "left_semi")
-        .selectExpr(key, f"posexplode(coalesce({N.parsed(reply, N.CODES_TYPE)}.selected_codes, array())) AS (p, c)")
+        read.join(with_pool, key, "left_semi")
+        .selectExpr(key, "posexplode_outer(if(intake.ok, intake.items, null)) AS (p, c)")
+        .where("p IS NOT NULL")
         .selectExpr(
             key, "p + 1 AS pos", "c.icd10", "coalesce(c.description, '') AS description", "coalesce(c.cc, '') AS cc",
             "coalesce(c.condition, '') AS condition", "c.confidence", "double(null) AS similarity",
@@ -64,7 +64,7 @@ def selected_codes(pool: DataFrame, replies: DataFrame, key: str = "note_id", re
     )
     fallback = (
         offered.where(F.col("position") <= fv.FALLBACK_CODES)
-        .join(replies.where(ok).select(key), key, "left_anti")
+        .join(read.where("intake.ok").select(key), key, "left_anti")
         .selectExpr(
             key, "position AS pos", "icd10", "description", "cc", "for_condition AS condition", "double(null) AS confidence", "similarity"
         )

@@ -61,3 +61,15 @@ def keeper(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFra
         return spark.read.schema(df.schema).parquet(f"{folder}/{step}")
 
     return keep
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows over all cores, for heavy per-row work on a scan with few splits.
+
+    A scan that already has a split per core is left alone, so at scale this adds no
+    shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
