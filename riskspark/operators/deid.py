@@ -83,7 +83,7 @@ def deidentify(
         f"named_struct('entity_type', '{t}', 'count', state.n[{i}])"
         for t, i in [*sorted((t, i) for i, t in enumerate(order)), ("MRN", len(order))]
     )
-    return df.selectExpr(*others, f"{state} AS state").selectExpr(
+    return df.selectExpr(*others, f"if({text} IS NOT NULL, {state}, null) AS state").selectExpr(
         *others,
         "state.s AS sanitized_text",
         "coalesce(exists(state.n, n -> n > 0), false) AS redacted",
@@ -97,7 +97,7 @@ def redact_mrn(notes: DataFrame, text: str = "text") -> DataFrame:
     """Only the record-number pass: adds sanitized_text and n_mrn."""
     others = [c for c in notes.columns if c != text]
     state = phi.redaction_pass(phi.start_redaction(text), phi.MRN, "MRN [REDACTED_MRN_", phi.NEEDS["MRN"])
-    return notes.selectExpr(*others, f"{state} AS state").selectExpr(*others, "state.s AS sanitized_text", "state.n[0] AS n_mrn")
+    return notes.selectExpr(*others, f"if({text} IS NOT NULL, {state}, null) AS state").selectExpr(*others, "state.s AS sanitized_text", "state.n[0] AS n_mrn")
 
 
 def findings_of_placeholders(placeholders: DataFrame, key: str = "note_id", column: str = "placeholder") -> DataFrame:
