@@ -49,3 +49,28 @@ def rule_holds(compiled: str, age: str) -> str:
         WHEN '>' THEN {left} > {right} WHEN '>=' THEN {left} >= {right}
         WHEN '==' THEN {left} = {right} ELSE {left} != {right} END"""
     return f"coalesce(exists({compiled}, ands -> forall(ands, c -> {holds})), true)"
+
+
+#: Ages outside this range are treated as its ends; rules do not go there.
+MIN_AGE, MAX_AGE = -1000, 7000
+
+
+def is_interval(compiled: str) -> str:
+    """The rule is absent or one interval of ages: no ``or``, no ``!=``, no constants."""
+    plain = "c.op != '!=' AND ((c.l IS NULL) != (c.r IS NULL))"
+    return f"({compiled} IS NULL OR (size({compiled}) = 1 AND forall({compiled}[0], c -> {plain})))"
+
+
+def interval_ends(compiled: str) -> tuple[str, str]:
+    """Lowest and highest whole age of a rule that is an interval."""
+    low = f"""CASE WHEN c.op = '==' THEN ceil(coalesce(c.l, c.r))
+        WHEN c.l IS NULL AND c.op = '>' THEN floor(c.r) + 1 WHEN c.l IS NULL AND c.op = '>=' THEN ceil(c.r)
+        WHEN c.r IS NULL AND c.op = '<' THEN floor(c.l) + 1 WHEN c.r IS NULL AND c.op = '<=' THEN ceil(c.l) ELSE {MIN_AGE} END"""
+    high = f"""CASE WHEN c.op = '==' THEN floor(coalesce(c.l, c.r))
+        WHEN c.l IS NULL AND c.op = '<' THEN ceil(c.r) - 1 WHEN c.l IS NULL AND c.op = '<=' THEN floor(c.r)
+        WHEN c.r IS NULL AND c.op = '>' THEN ceil(c.l) - 1 WHEN c.r IS NULL AND c.op = '>=' THEN floor(c.l) ELSE {MAX_AGE} END"""
+    clamp = lambda x: f"bigint(greatest({MIN_AGE}, least({MAX_AGE}, {x})))"
+    return (
+        f"coalesce(array_max(transform({compiled}[0], c -> {clamp(low)})), {MIN_AGE}L)",
+        f"coalesce(array_min(transform({compiled}[0], c -> {clamp(high)})), {MAX_AGE}L)",
+    )

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.codes import normalize_code, tolerant_int
-from riskspark.functions.rules import compile_rule, rule_fails_open, rule_holds
+from riskspark.functions.rules import (
+    MAX_AGE,
+    MIN_AGE,
+    compile_rule,
+    interval_ends,
+    is_interval,
+    rule_fails_open,
+    rule_holds,
+)
 from riskspark.sources.refdata import RefData
 
 EDIT_COLUMNS = ("MCE_AGE_CONDITION", "AGE_EDIT_CONDITION", "SEX_EDIT_CONDITION")
@@ -49,28 +57,49 @@ def edits_hold(row: str = "", mce_edits: bool = True) -> str:
     return "(" + " AND ".join(conditions) + ")"
 
 
-def category_items(dx: DataFrame, code_map: DataFrame, ref: RefData, key: str = "member_id") -> DataFrame:
+def category_items(dx: DataFrame, code_map: DataFrame, ref: RefData, key: str = "member_id", mce_edits: bool = True) -> DataFrame:
     """Per member, the distinct (category, edits) that its codes point to.
 
     The map joins before the shuffle (Spark broadcasts it while its size allows, and
-    splits hot codes of a shuffled join otherwise). The set holds at most one entry per
-    category and edit combination and is built on the map side first, so a member with
+    splits hot codes of a shuffled join otherwise). The sets hold at most one entry per
+    category and edit combination and are built on the map side first, so a member with
     any number of rows sends one small row per task: one shuffle, by member.
+
+    A category whose edits are one age interval and at most one sex, which is nearly
+    every row of a real map, travels as one number (``packed``); others as ``items``.
     """
+    rules = ["age_edit"] + (["mce"] if mce_edits else [])
+    ends = [interval_ends(r) for r in rules]
+    low = f"greatest({', '.join(lo for lo, _ in ends)})" if len(ends) > 1 else ends[0][0]
+    high = f"least({', '.join(hi for _, hi in ends)})" if len(ends) > 1 else ends[0][1]
+    simple = " AND ".join([*(is_interval(r) for r in rules), "coalesce(sex_edit BETWEEN 0 AND 14, true)"])
+    packed = (
+        f"shiftleft(bigint(hcc_pos), 30) | shiftleft({low} - {MIN_AGE}, 17) | shiftleft({high} - {MIN_AGE}, 4)"
+        " | bigint(coalesce(sex_edit + 1, 0))"
+    )
     typed = (
         prepare_code_map(code_map)
         .selectExpr("icd10", f"int(get({ref.position_of_cc()}, cc)) AS hcc_pos", "mce", "age_edit", "sex_edit")
         .where("hcc_pos > 0")
+        .selectExpr("icd10", "hcc_pos", "mce", "age_edit", "sex_edit", f"if({simple}, {packed}, null) AS packed")
+        .selectExpr("icd10", "packed", "if(packed IS NULL, struct(hcc_pos, mce, age_edit, sex_edit), null) AS item")
     )
     return (
         normalize_diagnoses(dx)
         .select(key, "icd10")
         .join(typed, "icd10")
         .groupBy(key)
-        .agg(F.expr("collect_set(struct(hcc_pos, mce, age_edit, sex_edit))").alias("items"))
+        .agg(F.collect_set("packed").alias("packed"), F.collect_set("item").alias("items"))
     )
 
 
+def packed_holds(p: str) -> str:
+    """SQL: the edits of a packed category hold for ``age`` and ``sex``."""
+    age = f"(greatest({MIN_AGE}, least({MAX_AGE}, age)) - {MIN_AGE})"
+    interval = f"{age} BETWEEN (shiftright({p}, 17) & 8191) AND (shiftright({p}, 4) & 8191)"
+    return f"({interval} AND (({p} & 15) = 0 OR ({p} & 15) - 1 = sex))"
+
+
 def _mapped(members: DataFrame, dx: DataFrame, code_map: DataFrame, key: str) -> DataFrame:
     """Distinct member codes with their count, map rows and demographics.
 

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators.diagnoses import edits_hold
+from riskspark.operators.diagnoses import edits_hold, packed_holds
 from riskspark.sources.refdata import UNITS, RefData
 
 
-def surviving_categories(items: str, mce_edits: bool = True) -> str:
+def surviving_categories(packed: str, items: str, mce_edits: bool = True) -> str:
     """Positions of the categories with at least one row that passes the edits."""
-    kept = f"transform(filter({items}, x -> {edits_hold('x.', mce_edits)}), x -> x.hcc_pos)"
-    return f"coalesce(array_sort(array_distinct({kept})), cast(array() AS array<int>))"
+    simple = f"transform(filter({packed}, p -> {packed_holds('p')}), p -> int(shiftright(p, 30)))"
+    others = f"transform(filter({items}, x -> {edits_hold('x.', mce_edits)}), x -> x.hcc_pos)"
+    return f"coalesce(array_sort(array_distinct(concat({simple}, {others}))), cast(array() AS array<int>))"
 
 
 def apply_hierarchy(categories: str, ref: RefData) -> str:
@@ -59,10 +60,10 @@ def score(variables: str, model: str, ref: RefData) -> str:
 def with_model(df: DataFrame, ref: RefData, mce_edits: bool = True) -> DataFrame:
     """Adds the position arrays and one score column per model.
 
-    ``df`` has the columns of ``member_features`` and ``items`` (null for a member
-    without mapped codes).
+    ``df`` has the columns of ``member_features`` and of ``category_items`` (null for a
+    member without mapped codes).
     """
-    carried = [c for c in df.columns if c != "items"]
+    carried = [c for c in df.columns if c not in ("packed", "items")]
     flags = positions_of(
         [
             "ce_cell",
@@ -74,7 +75,7 @@ def with_model(df: DataFrame, ref: RefData, mce_edits: bool = True) -> DataFrame
         ],
         ref,
     )
-    df = df.selectExpr(*carried, f"{surviving_categories('items', mce_edits)} AS hcc_initial")
+    df = df.selectExpr(*carried, f"{surviving_categories('packed', 'items', mce_edits)} AS hcc_initial")
     df = df.selectExpr("*", f"{apply_hierarchy('hcc_initial', ref)} AS hcc_active")
     df = df.selectExpr("*", f"{active_groups('hcc_active', ref)} AS groups_active")
     df = df.selectExpr("*", f"concat({flags}, hcc_active, groups_active) AS factors_active")

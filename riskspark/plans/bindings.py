@@ -12,8 +12,14 @@ from riskspark.session import spread
 from riskspark.sources.refdata import RefData
 
 
+#: Tables whose rows are worked on heavily; a copy in one small file would be read by
+#: one task.
+WIDE_TABLES = {"lineitem", "documents"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE_TABLES else df
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +173,7 @@ def gold_passages(spark: SparkSession, sf_dir: str, keep=lambda df, step: df) ->
         .where("size(t) >= 10")
         .selectExpr("case_id", "query", f"{anchor.format(t='t', i='2')} AS anchor")
     )
-    docs = spread(table(spark, sf_dir, "documents")).selectExpr("doc_id AS doc", "text")
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text")
     runs = docs.selectExpr("doc", f"{tokens('text')} AS t").where("size(t) >= 8").selectExpr(
         "doc", f"explode(array_distinct(transform(sequence(1, size(t) - 7), i -> {anchor.format(t='t', i='i')}))) AS anchor"
     )

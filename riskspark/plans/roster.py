@@ -37,7 +37,7 @@ def score_roster(
     the join by member never sees a hot key. ``scored_only`` keeps members that have at
     least one code; by default members without codes get their demographic scores.
     """
-    items = category_items(dx, code_map, ref, key)
+    items = category_items(dx, code_map, ref, key, mce_edits)
     features = member_features(members, cutoff)
     if scored_only:
         with_codes = dx.where(F.trim("icd10") != "").select(key).distinct()

@@ -150,6 +150,20 @@ def test_age_rules(spark):
     assert [r.ok for r in strict.collect()] == [True, False]
 
 
+def test_every_rule_through_the_score(spark):
+    """Interval rules travel packed, the others whole; both must agree with the rule."""
+    ages = [0, 4, 12, 13, 17, 18, 40, 49, 50, 60, 61, 64, 65, 90]
+    rules = list(RULES)
+    mapping = spark.createDataFrame([(f"R{i}", "18", r, s) for i, r in enumerate(rules) for s in (None, "1", "77")], "icd10 string, cc string, AGE_EDIT_CONDITION string, SEX_EDIT_CONDITION string")
+    mapping = mapping.unionByName(mapping.selectExpr("concat('M', icd10) AS icd10", "cc", "AGE_EDIT_CONDITION", "'1' AS SEX_EDIT_CONDITION"))
+    members = [(f"{p}{i}_{a}_{x}", f"{2027 - a}-01-01", x, 0, 0, 0, 0) for p in ("R", "MR") for i in range(len(rules)) for a in ages for x in (1, 2)]
+    dx = [(m[0], m[0].split("_")[0]) for m in members]
+    for r in score(spark, members, dx, mapping).select("member_id", "age", "sex", "hcc_initial").collect():
+        rule = RULES[rules[int(r.member_id.split("_")[0].strip("MR"))]]
+        wanted = rule(r.age) and (r.member_id.startswith("R") or r.sex == 1)
+        assert bool(r.hcc_initial) == wanted, r
+
+
 def test_edits_and_code_lists(spark):
     mapping = spark.createDataFrame(
         [
