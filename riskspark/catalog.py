@@ -494,7 +494,12 @@ def explain_prompts(d: Data) -> DataFrame:
 def select_prompts(d: Data) -> DataFrame:
     notes = b.table(d.spark, d.dir, "documents").selectExpr("doc_id AS note_id", "text AS sanitized_text")
     prompts = N.select_prompts(notes, d.conditions(), d.full_pool())
-    return prompts.selectExpr("note_id", "length(prompt) AS n_chars", "prompt LIKE 'Clinical notes:%' AS well_formed")
+    return prompts.selectExpr(
+        "note_id",
+        "int(regexp_count(prompt, '\"icd10\":\"Z')) AS n_candidates",
+        "int(regexp_count(prompt, '\"condition\":')) AS n_conditions",
+        "startswith(prompt, 'Clinical notes:') AS well_formed",
+    )
 
 
 @query
@@ -515,7 +520,7 @@ def conversation_history(d: Data) -> DataFrame:
 
 def _provider_rows(d: Data) -> DataFrame:
     keys = ["case_id", "provider"]
-    p = b.provider_outputs(d.spark, d.dir)
+    p = b.provider_outputs(d.spark, d.dir, keeper(d.spark, "providers"))
     cases = p["cases"]
     gold = cases.join(p["gold"], "case_id")
     prf = evaluate.code_prf(cases, p["predicted"], gold, keys)

@@ -456,6 +456,9 @@ def all_sql() -> dict[str, str]:
           LEFT JOIN hl USING (member_id) LEFT JOIN il USING (member_id) LEFT JOIN {CE_TEXT} e USING (member_id))""",
         "p AS (SELECT note_id, CASE WHEN c = '' THEN text ELSE text || chr(10) || chr(10) || '--- Analysis results (use these to craft your response) ---' || chr(10) || c END AS prompt FROM ctx)",
         select="SELECT note_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS n_chars FROM p"))
+    add("select_prompts", _with(DOMAIN, *pool_ctes(6), select="""SELECT note_id, CAST(count(*) FILTER (position <= 25) AS INTEGER) AS n_candidates,
+      CAST(any_value(n) AS INTEGER) AS n_conditions, TRUE AS well_formed FROM pool JOIN documents ON doc_id = note_id
+      JOIN (SELECT note_id, count(*) AS n FROM conds GROUP BY 1) USING (note_id) GROUP BY 1"""))
     add("pending_prompts", "SELECT doc_id AS note_id, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = doc_id AND p_partkey % 3 <> 0)")
     said = "SELECT conv_id * 1000000 + turn AS note_id, conv_id, turn, role, text FROM conversations"
     add("conversation_history", _with(*deid_ctes(said), select=f"""SELECT conv_id, turn, role,

@@ -184,7 +184,7 @@ def gold_passages(spark: SparkSession, sf_dir: str, keep=lambda df, step: df) ->
     return cases, gold
 
 
-def provider_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def provider_outputs(spark: SparkSession, sf_dir: str, keep=lambda df, step: df) -> dict[str, DataFrame]:
     """Two recorded providers over the orders: codes, gold, step timings, members."""
     from pyspark.sql import functions as F
 
@@ -194,7 +194,8 @@ def provider_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     provider = F.expr(
         "explode(filter(array(if(l_returnflag IN ('A', 'N'), 'alpha', null), if(l_returnflag IN ('N', 'R'), 'beta', null)), x -> x IS NOT NULL))"
     )
-    predicted = lines.select("case_id", provider.alias("provider"), "icd10", "l_linenumber", "l_quantity")
+    predicted = keep(lines.select("case_id", provider.alias("provider"), "icd10", "l_linenumber", "l_quantity"), "predicted")
+    cases = keep(predicted.select("case_id", "provider").distinct(), "cases")
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS case_id", "o_custkey AS member_id")
     return {
         "predicted": predicted,
@@ -202,7 +203,7 @@ def provider_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "timings": predicted.selectExpr(
             "case_id", "provider", "if(l_linenumber % 2 = 0, 'select', 'extract') AS step", "l_quantity / 10 AS seconds"
         ),
-        "cases": predicted.select("case_id", "provider").distinct(),
+        "cases": cases,
         "members": orders.join(members(spark, sf_dir), "member_id"),
     }
 
