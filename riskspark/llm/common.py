@@ -6,6 +6,8 @@ count as empty. Rows with equal ids are separate rows.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,3 +129,23 @@ def words_of(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     return F.when(trimmed == "", 0).otherwise(F.size(words_of(text))).cast("bigint")
+
+
+_WORDS = re.compile(rb"[A-Za-z\x80-\xff]+")
+
+
+def word_hashes(text: bytes, buckets: int) -> np.ndarray:
+    """crc32 of every run of letters, A-Z lower-cased, modulo ``buckets``."""
+    words = _WORDS.findall(text.lower())
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, folds: int, held_out: int) -> DataFrame:
+    """Distinct (id, label) of the labelled rows that may be learnt from."""
+    known = labels.where((fold_of(id_col, folds) != held_out) & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label"))
+    return known.join(docs.select(id_col).distinct(), id_col, "left_semi")
+
+
+def hash_sample(ids: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The ``rows`` first of ``ids`` in a hashed order: a sample of bounded size."""
+    return ids.orderBy(F.xxhash64(F.lit("sample"), F.col(id_col)), id_col).limit(rows)

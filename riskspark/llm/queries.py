@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import chat, forest, mixing, rules, secrets, simhash
-from riskspark.llm.common import keeping, table
+from riskspark.llm import bpe, chat, factors, forest, lines, mixing, rules, secrets, simhash, toxicity
+from riskspark.llm.common import keeping, small_batches, table
 
 
 def op1_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), keeping(spark, "op2"))
 
 
+def op3_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.toxicity(docs, labels, keeping(spark, "op3"))
+
+
+def op4_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return factors.quality(docs, labels, keeping(spark, "op4"))
+
+
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -48,12 +59,28 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.deduplicated(docs, keeping(spark, "op8"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf_dir, "embeddings"), keeping(spark, "op9"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 ORACLES: dict[str, str] = {}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_owners, op2_simhash, op5_chat_round_trip, op6_water_filling, op7_divergence, op9_forest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_owners, op2_simhash, op3_positive_unlabelled, op4_factorisation, op5_chat_round_trip, op6_water_filling, op7_divergence, op8_line_neighbours, op9_forest, op10_byte_bpe)}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
