@@ -81,11 +81,3 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_owners, op2_simhash, op3_positive_unlabelled, op4_factorisation, op5_chat_round_trip, op6_water_filling, op7_divergence, op8_line_neighbours, op9_forest, op10_byte_bpe)}
-
-
-def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def all_sql() -> dict[str, str]:
-    return dict(ORACLES)
