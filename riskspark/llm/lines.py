@@ -76,9 +76,9 @@ class Hashes:
 
 def keyed(*parts: np.ndarray | int) -> np.ndarray:
     """One hash of several numbers."""
-    out = np.uint64(0x165667B19E3779F9)
+    out = np.array([0x165667B19E3779F9], np.uint64)
     for p in parts:
-        out = (out ^ np.asarray(p).astype(np.uint64)) * np.uint64(BASES[0])
+        out = (out ^ np.atleast_1d(p).astype(np.uint64)) * np.uint64(BASES[0])
         out = out ^ (out >> np.uint64(31))
     return out
 
