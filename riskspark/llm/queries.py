@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, chat, factors, forest, lines, mixing, rules, secrets, simhash, toxicity
+from riskspark.llm import bpe, chat, factors, forest, lines, mixing, oracles, rules, secrets, simhash, toxicity
 from riskspark.llm.common import keeping, small_batches, table
 
 
@@ -79,5 +79,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.all_sql()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_owners, op2_simhash, op3_positive_unlabelled, op4_factorisation, op5_chat_round_trip, op6_water_filling, op7_divergence, op8_line_neighbours, op9_forest, op10_byte_bpe)}
