@@ -158,10 +158,21 @@ def eval_cases(d: Data) -> DataFrame:
 @query
 def eval_report(d: Data) -> DataFrame:
     """Per-case report written as JSON and read back."""
-    rows = _provider_rows(d).drop("hccs", "score")
-    path = shared_dir(d.spark, "report")
-    reports.write_report(rows, evaluate.provider_aggregate(rows), path)
-    return d.spark.read.schema(rows.schema).json(f"{path}/per_case").drop("latency_total")
+    rows = keeper(d.spark, "report-rows")(_provider_rows(d), "rows")
+    total, path = evaluate.provider_aggregate(rows), shared_dir(d.spark, "report")
+    reports.write_report(rows, total, path)
+    cases, totals = reports.read_report(d.spark, path, rows, total)
+    return cases.unionByName(totals.withColumn("case_id", F.lit(None).cast("bigint")), allowMissingColumns=True)
+
+
+@query
+def comparison_csv(d: Data) -> DataFrame:
+    """The comparison file, written and read back."""
+    path = shared_dir(d.spark, "comparison")
+    reports.write_comparison(_provider_rows(d), path, "case_id")
+    types = "id bigint, provider string, code_precision double, code_recall double, code_f1 double, score double, latency_total double, codes string, hccs string"
+    read = d.spark.read.option("header", True).schema(types).csv(path)
+    return read.withColumns({c: F.coalesce(c, F.lit("")) for c in ("codes", "hccs")})
 
 
 # members and diagnoses ------------------------------------------------------------------
@@ -424,9 +435,13 @@ def toxicity_rate(d: Data) -> DataFrame:
 # note steps -----------------------------------------------------------------------------
 
 
+#: Every third note ends in keywords; every fifth is 70 letters with 30 blanks around them.
+PADDED = "CASE WHEN doc_id % 5 = 0 THEN concat('          ', repeat('x', 70), '                    ') ELSE concat(text, CASE WHEN doc_id % 3 = 0 THEN ' Patient history' ELSE '' END) END"
+
+
 @query
 def clinical_gate(d: Data) -> DataFrame:
-    docs = b.table(d.spark, d.dir, "documents").selectExpr("doc_id", "concat(text, if(doc_id % 3 = 0, ' Patient history', '')) AS text")
+    docs = b.table(d.spark, d.dir, "documents").selectExpr("doc_id", f"{PADDED} AS text")
     return N.gate(docs, "text").select("doc_id", "keyword_hits", "is_clinical", "rejected")
 
 
@@ -480,25 +495,30 @@ def note_to_score(d: Data) -> DataFrame:
     return scored.selectExpr("note_id", "age", f"{joined_hccs('hcc_active', d.ref)} AS hccs", "applicable_model", "applicable_score")
 
 
+def _prompt_notes(d: Data) -> DataFrame:
+    """De-identified notes that pass the gate: all that a prompt may see of a note."""
+    return N.gate(deid.deidentify(d.notes, d.names)).where("is_clinical AND NOT rejected").select("note_id", "sanitized_text")
+
+
 @query
 def explain_prompts(d: Data) -> DataFrame:
-    """Prompts for the roster's notes, from the recorded replies."""
-    notes = b.table(d.spark, d.dir, "documents").selectExpr("doc_id AS note_id", "text AS sanitized_text")
+    """Prompts for the notes that pass the gate, de-identified, from the recorded replies."""
+    notes = _prompt_notes(d)
     codes = keeper(d.spark, "codes")(d.selected(), "codes")
     scored = _note_scores(d, codes)
     prompts = N.explain_prompts(notes, d.conditions(), codes, scored, d.ref)
-    return prompts.selectExpr("note_id", "md5(prompt) AS prompt_md5", "length(prompt) AS n_chars")
+    return prompts.selectExpr("note_id", f"{UNNUMBERED.format(c='prompt')} AS prompt_md5")
 
 
 @query
 def select_prompts(d: Data) -> DataFrame:
-    notes = b.table(d.spark, d.dir, "documents").selectExpr("doc_id AS note_id", "text AS sanitized_text")
+    notes = _prompt_notes(d)
     prompts = N.select_prompts(notes, d.conditions(), d.full_pool())
     return prompts.selectExpr(
         "note_id",
+        f"{UNNUMBERED.format(c='prompt')} AS prompt_md5",
         "int(regexp_count(prompt, '\"icd10\":\"Z')) AS n_candidates",
         "int(regexp_count(prompt, '\"condition\":')) AS n_conditions",
-        "startswith(prompt, 'Clinical notes:') AS well_formed",
     )
 
 

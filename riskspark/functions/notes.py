@@ -17,8 +17,8 @@ def keyword_hits(text: str) -> str:
 
 
 def is_clinical(text: str) -> str:
-    """Long enough, or enough keywords as substrings (each counts once)."""
-    return f"(length({text}) > {fv.CLINICAL_MIN_CHARS} OR {keyword_hits(text)} >= {fv.CLINICAL_MIN_KEYWORDS})"
+    """Long enough without white space at its ends, or enough keywords as substrings (each counts once)."""
+    return f"(length({stripped(text)}) > {fv.CLINICAL_MIN_CHARS} OR {keyword_hits(text)} >= {fv.CLINICAL_MIN_KEYWORDS})"
 
 
 def stripped(text: str) -> str:

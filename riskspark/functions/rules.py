@@ -51,13 +51,14 @@ def rule_holds(compiled: str, age: str) -> str:
     return f"coalesce(exists({compiled}, ands -> forall(ands, c -> {holds})), true)"
 
 
-#: Ages outside this range are treated as its ends; rules do not go there.
+#: Bounds that are packed into one number; a rule with a bound outside goes another way.
 MIN_AGE, MAX_AGE = -1000, 7000
 
 
 def is_interval(compiled: str) -> str:
-    """The rule is absent or one interval of ages: no ``or``, no ``!=``, no constants."""
-    plain = "c.op != '!=' AND ((c.l IS NULL) != (c.r IS NULL))"
+    """The rule is absent or one interval of ages: no ``or``, no ``!=``, no constants, no far bounds."""
+    inside = f"coalesce(c.l, c.r) BETWEEN {MIN_AGE + 1} AND {MAX_AGE - 1}"
+    plain = f"c.op != '!=' AND ((c.l IS NULL) != (c.r IS NULL)) AND {inside}"
     return f"({compiled} IS NULL OR (size({compiled}) = 1 AND forall({compiled}[0], c -> {plain})))"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import phi
-from riskspark.session import spread
+
 
 def name_table(gazetteer: DataFrame) -> DataFrame:
     """(entity_type, name, n_tokens): names as lower-case token runs, distinct."""
@@ -64,7 +64,6 @@ def deidentify(
             F.lit("Guardrails disabled" if fail_open else "Guardrails disabled; text withheld").alias("note"),
         )
 
-    notes = spread(notes)
     df = notes
     passes: list[tuple[str, str]] = [(t, phi.sql_pattern(p)) for t, p in phi.PATTERNS.items()]
     if gazetteer is not None:

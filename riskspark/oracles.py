@@ -7,7 +7,8 @@ rather than following the array expressions of the jobs. Reference tables are in
 from __future__ import annotations
 
 from riskspark.functions import phi
-from riskspark.plans.bindings import NOTE_TAILS, note_text
+from riskspark.catalog import PADDED
+from riskspark.plans.bindings import NOTE_TAILS, TAIL_SURVIVORS, note_text
 from riskspark.sources import fixed_values as fv
 from riskspark.sources.refdata import builtin_refdata
 
@@ -66,7 +67,7 @@ CUSTOMER_MEMBERS = """SELECT c_custkey AS member_id, DATE '1920-01-01' + CAST((c
   FROM customer"""
 
 ORDER_DX = f"""SELECT o_custkey AS member_id, {part_code('l_partkey')} AS icd10, CAST(l_shipdate AS DATE) AS service_date
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1"""
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 
 
 def member_ctes(members: str = CUSTOMER_MEMBERS) -> list[str]:
@@ -224,8 +225,12 @@ RAW_IDS = f"""list_concat(list_concat(list_concat(regexp_extract_all({{t}}, '\\b
 
 KEYWORD_HITS = "(" + " + ".join(f"CAST(contains(lower({{t}}), {_q(w)}) AS INTEGER)" for w in fv.CLINICAL_KEYWORDS) + ")"
 
+STRIPPED = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 PHI_EXPECTED = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN [{', '.join(_q(t) for t in types)}]" for k, (_, types) in NOTE_TAILS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
-PHI_SOURCE = f"SELECT doc_id AS note_id, {note_text()} AS text, {PHI_EXPECTED} AS expected, regexp_extract_all(text, '\\p{{L}}{{4,}}')[1:2] AS must_survive FROM documents"
+PHI_TAILS = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN [{', '.join(_q(t) for t in words)}]" for k, words in TAIL_SURVIVORS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
+PHI_SOURCE = f"""SELECT doc_id AS note_id, {note_text()} AS text, {PHI_EXPECTED} AS expected,
+    list_concat(list_concat(w[1:2], w[greatest(1, len(w) - 1):len(w)]), {PHI_TAILS}) AS must_survive
+  FROM (SELECT *, regexp_extract_all(text, '\\p{{L}}{{4,}}') AS w FROM documents)"""
 FOUND_LIST = "list_filter([" + ", ".join(f"CASE WHEN n_{t} > 0 THEN '{t}' END" for t in ALL_TYPES) + "], lambda x: x IS NOT NULL)"
 _MINUS = "list_sort(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
 PHI_ROWS = f"""SELECT note_id, array_to_string(list_sort(expected), ' ') AS expected_entities, array_to_string(list_sort(found), ' ') AS found_entities,
@@ -257,18 +262,19 @@ def _rate(source: str, column: str, name: str) -> str:
 # retrieval evaluation --------------------------------------------------------------------
 
 RETRIEVAL = [
-    f"""gold AS (SELECT item_id AS case_id, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-      WHERE len({TOKENS.format(t='b.text')}) >= 10)""",
+    """gold AS (SELECT item_id AS case_id, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)
+      UNION ALL SELECT item_id, -1 - item_id FROM benchmark WHERE item_id % 3 = 0)""",
     *tfidf_ctes(
         "SELECT doc_id AS doc, text FROM documents",
-        "SELECT item_id AS case_id, text AS qtext FROM benchmark WHERE item_id IN (SELECT case_id FROM gold)",
+        "SELECT item_id AS case_id, 1 AS ord, text AS qtext FROM benchmark UNION ALL SELECT item_id, 2, left(text, 40) FROM benchmark",
         10,
     ),
-    "rpool AS (SELECT case_id, doc, row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, rank) AS place FROM qs JOIN hits USING (qtext))",
-    """per_case AS (SELECT case_id, n_gold, coalesce(n_retrieved, 0) AS n_retrieved, coalesce(round(1 / first_place, 3), 0.0) AS mrr,
-        round(coalesce(h6, 0) / n_gold, 3) AS recall_6, round(coalesce(h10, 0) / n_gold, 3) AS recall_10,
-        coalesce(round(hit / n_retrieved, 3), 0.0) AS precision_pool, n_gold - coalesce(hit, 0) AS n_missing
-      FROM (SELECT case_id, count(*) AS n_gold FROM gold GROUP BY 1)
+    "rfound AS (SELECT case_id, doc, ord, rank, similarity FROM qs JOIN hits USING (qtext) QUALIFY row_number() OVER (PARTITION BY case_id, doc ORDER BY ord, rank) = 1)",
+    "rpool AS (SELECT case_id, doc, row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, ord, rank) AS place FROM rfound)",
+    """per_case AS (SELECT case_id, coalesce(n_gold, 0) AS n_gold, coalesce(n_retrieved, 0) AS n_retrieved, coalesce(round(1 / first_place, 3), 0.0) AS mrr,
+        coalesce(round(coalesce(h6, 0) / n_gold, 3), 1.0) AS recall_6, coalesce(round(coalesce(h10, 0) / n_gold, 3), 1.0) AS recall_10,
+        coalesce(round(coalesce(hit, 0) / n_retrieved, 3), 0.0) AS precision_pool, coalesce(n_gold, 0) - coalesce(hit, 0) AS n_missing
+      FROM (SELECT item_id AS case_id FROM benchmark) LEFT JOIN (SELECT case_id, count(*) AS n_gold FROM gold GROUP BY 1) USING (case_id)
       LEFT JOIN (SELECT case_id, count(*) AS n_retrieved FROM rpool GROUP BY 1) USING (case_id)
       LEFT JOIN (SELECT case_id, min(place) AS first_place, count(*) AS hit, count(*) FILTER (place <= 6) AS h6, count(*) FILTER (place <= 10) AS h10
                  FROM rpool JOIN gold USING (case_id, doc) GROUP BY 1) USING (case_id))""",
@@ -280,24 +286,30 @@ PROVIDER_BASE = [
     f"plines AS (SELECT l_orderkey AS case_id, {part_code('l_partkey')} AS icd10, l_returnflag, l_linenumber, l_quantity FROM lineitem)",
     """pred AS (SELECT case_id, 'alpha' AS provider, icd10, l_linenumber, l_quantity FROM plines WHERE l_returnflag IN ('A', 'N')
       UNION ALL SELECT case_id, 'beta', icd10, l_linenumber, l_quantity FROM plines WHERE l_returnflag IN ('N', 'R'))""",
-    "pcount AS (SELECT case_id, provider, count(DISTINCT icd10) AS np FROM pred GROUP BY ALL)",
-    "gcount AS (SELECT case_id, count(DISTINCT icd10) AS ng FROM plines GROUP BY 1)",
-    # every predicted code is a gold code here, so tp = np
-    """prf AS (SELECT case_id, provider, CAST(1 AS DOUBLE) AS code_precision, round(np / ng, 3) AS code_recall,
-      round(2 * (np / ng) / (1 + np / ng), 3) AS code_f1 FROM pcount JOIN gcount USING (case_id))""",
+    "runs AS (SELECT o_orderkey AS case_id, provider FROM orders CROSS JOIN (VALUES ('alpha'), ('beta')) v(provider))",
+    "pgold AS (SELECT DISTINCT case_id, icd10 FROM plines WHERE l_linenumber <> 2 AND case_id % 7 <> 0)",
+    "gcount AS (SELECT case_id, count(*) AS ng FROM pgold GROUP BY 1)",
+    """pcount AS (SELECT p.case_id, p.provider, count(*) AS np, count(g.icd10) AS tp FROM (SELECT DISTINCT case_id, provider, icd10 FROM pred) p
+      LEFT JOIN pgold g ON g.case_id = p.case_id AND g.icd10 = p.icd10 GROUP BY ALL)""",
+    """parts AS (SELECT case_id, provider, CASE WHEN np > 0 THEN tp / np ELSE 0.0 END AS p, CASE WHEN ng > 0 THEN coalesce(tp, 0) / ng ELSE 1.0 END AS r
+      FROM runs LEFT JOIN pcount USING (case_id, provider) LEFT JOIN gcount USING (case_id))""",
+    """prf AS (SELECT case_id, provider, round(p, 3) AS code_precision, round(r, 3) AS code_recall,
+      round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 3) AS code_f1 FROM parts)""",
     """lat AS (SELECT case_id, provider, round(sum(s), 3) AS latency_total FROM (
       SELECT case_id, provider, l_linenumber % 2 AS step, round(sum(l_quantity / 10), 3) AS s FROM pred GROUP BY ALL) GROUP BY ALL)""",
     "plist AS (SELECT case_id, provider, string_agg(DISTINCT icd10, ' ' ORDER BY icd10) AS codes FROM pred GROUP BY ALL)",
 ]
 PROVIDER_SCORES = [
     *score_ctes(
-        f"SELECT (case_id || '/' || provider) AS member_id, * EXCLUDE (member_id) FROM pcount JOIN orders ON o_orderkey = case_id JOIN ({CUSTOMER_MEMBERS}) c ON c.member_id = o_custkey",
+        f"SELECT (case_id || '/' || provider) AS member_id, * EXCLUDE (member_id) FROM runs JOIN orders ON o_orderkey = case_id JOIN ({CUSTOMER_MEMBERS}) c ON c.member_id = o_custkey",
         "SELECT (case_id || '/' || provider) AS member_id, icd10 FROM pred",
     ),
     f"hl AS ({HCC_LIST})",
     """pscore AS (SELECT case_id, provider, coalesce(hccs, '') AS hccs, score FROM mf JOIN long ON long.member_id = mf.member_id AND long.model = mf.applicable_model
       LEFT JOIN hl ON hl.member_id = mf.member_id)""",
-    "prow AS (SELECT * FROM prf JOIN lat USING (case_id, provider) JOIN plist USING (case_id, provider) JOIN pscore USING (case_id, provider))",
+    """prow AS (SELECT case_id, provider, code_precision, code_recall, code_f1, latency_total, coalesce(codes, '') AS codes, hccs, score
+      FROM prf LEFT JOIN lat USING (case_id, provider) LEFT JOIN plist USING (case_id, provider) JOIN pscore USING (case_id, provider))""",
+    "ptotal AS (SELECT provider, count(*) AS n_cases, round(avg(code_f1), 3) AS mean_f1, round(avg(latency_total), 3) AS mean_latency FROM prow GROUP BY 1)",
 ]
 
 
@@ -404,7 +416,7 @@ def all_sql() -> dict[str, str]:
     # de-identification
     deid = deid_ctes(NOTES)
     add("deidentify", _with(*deid, select=f"SELECT note_id, {UNNUMBERED} AS text_md5, {ANY_FOUND} AS redacted, TRUE AS enabled FROM deid"))
-    clinical = f"(length(s) > 80 OR {KEYWORD_HITS.format(t='s')} >= 2)"
+    clinical = f"(length({STRIPPED.format(t='s')}) > 80 OR {KEYWORD_HITS.format(t='s')} >= 2)"
     add("stream_deid", _with(*deid, select=f"SELECT note_id, {UNNUMBERED} AS text_md5, {ANY_FOUND} AS redacted, {clinical} AS is_clinical FROM deid"))
     add("phi_findings", _with(*deid, select=FINDINGS))
     mrn = _sql_regex(fv.MRN_PATTERN)
@@ -424,8 +436,8 @@ def all_sql() -> dict[str, str]:
     add("toxicity_rate", _with(*TOXIC, select=_rate("toxic", "terms", "hit_rate")))
 
     # note steps
-    add("clinical_gate", f"""SELECT doc_id, {KEYWORD_HITS.format(t='t')} AS keyword_hits, length(t) > 80 OR {KEYWORD_HITS.format(t='t')} >= 2 AS is_clinical,
-      trim(t, E' \\t\\n\\r') = '' AS rejected FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' Patient history' ELSE '' END AS t FROM documents)""")
+    add("clinical_gate", f"""SELECT doc_id, {KEYWORD_HITS.format(t='t')} AS keyword_hits, length({STRIPPED.format(t='t')}) > 80 OR {KEYWORD_HITS.format(t='t')} >= 2 AS is_clinical,
+      trim(t, E' \\t\\n\\r') = '' AS rejected FROM (SELECT doc_id, {PADDED} AS t FROM documents)""")
     add("parse_completions", f"""SELECT note_id, CAST(ord AS INTEGER) AS ord, condition, search_query, FALSE AS quarantined FROM ({CONDITIONS})
       UNION ALL SELECT p_partkey, 0, NULL, NULL, TRUE FROM part WHERE p_partkey % 11 = 0""")
     add("provider_routing", """SELECT event_id AS note_id, CASE WHEN event_type IN ('click', 'view', 'error') THEN event_type ELSE 'click' END AS extract,
@@ -447,18 +459,25 @@ def all_sql() -> dict[str, str]:
     add("note_to_score", _with(DOMAIN, *deid, *pool_ctes(6, gated_conditions), *note_ctes, *LISTS, select=f"""SELECT note_id, age, coalesce(hccs, '') AS hccs,
       applicable_model, applicable_score FROM {scored_notes} LEFT JOIN hl USING (member_id)"""))
     quoted = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '[]' ELSE '[''' || replace({c}, ' ', ''', ''') || ''']' END"
-    add("explain_prompts", _with(DOMAIN, *pool_ctes(6), *note_ctes, *LISTS, note_lists,
+    add("explain_prompts", _with(DOMAIN, *deid, *pool_ctes(6), *note_ctes, *LISTS, note_lists,
         "nc AS (SELECT note_id, string_agg('''' || condition || '''', ', ' ORDER BY ord) AS names FROM conds GROUP BY 1)",
-        f"""ctx AS (SELECT doc_id AS note_id, text, concat_ws(chr(10), 'Conditions extracted: [' || names || ']', 'ICD-10 codes selected: [' || code_texts || ']',
+        f"""ctx AS (SELECT d.note_id, s, concat_ws(chr(10), 'Conditions extracted: [' || names || ']', 'ICD-10 codes selected: [' || code_texts || ']',
           'Active HCCs: ' || {quoted('hccs')} || chr(10) || 'Applicable model: ' || applicable_model || chr(10) || 'Risk score: ' || CAST(applicable_score AS VARCHAR)
           || chr(10) || 'All CE scores: ' || ce || chr(10) || 'Interactions triggered: ' || {quoted('inters')}) AS c
-          FROM documents d LEFT JOIN nc ON nc.note_id = doc_id LEFT JOIN cl ON cl.note_id = doc_id LEFT JOIN {scored_notes} s ON s.note_id = doc_id
-          LEFT JOIN hl USING (member_id) LEFT JOIN il USING (member_id) LEFT JOIN {CE_TEXT} e USING (member_id))""",
-        "p AS (SELECT note_id, CASE WHEN c = '' THEN text ELSE text || chr(10) || chr(10) || '--- Analysis results (use these to craft your response) ---' || chr(10) || c END AS prompt FROM ctx)",
-        select="SELECT note_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS n_chars FROM p"))
-    add("select_prompts", _with(DOMAIN, *pool_ctes(6), select="""SELECT note_id, CAST(count(*) FILTER (position <= 25) AS INTEGER) AS n_candidates,
-      CAST(any_value(n) AS INTEGER) AS n_conditions, TRUE AS well_formed FROM pool JOIN documents ON doc_id = note_id
-      JOIN (SELECT note_id, count(*) AS n FROM conds GROUP BY 1) USING (note_id) GROUP BY 1"""))
+          FROM (SELECT * FROM deid WHERE {clinical} AND {STRIPPED.format(t='s')} <> '') d LEFT JOIN nc ON nc.note_id = d.note_id LEFT JOIN cl ON cl.note_id = d.note_id
+          LEFT JOIN {scored_notes} sn ON sn.note_id = d.note_id LEFT JOIN hl USING (member_id) LEFT JOIN il USING (member_id) LEFT JOIN {CE_TEXT} e USING (member_id))""",
+        "p AS (SELECT note_id, CASE WHEN c = '' THEN s ELSE s || chr(10) || chr(10) || '--- Analysis results (use these to craft your response) ---' || chr(10) || c END AS prompt FROM ctx)",
+        select=f"SELECT note_id, {UNNUMBERED.replace('(s,', '(prompt,')} AS prompt_md5 FROM p"))
+    add("select_prompts", _with(DOMAIN, *deid, *pool_ctes(6),
+        """listed AS (SELECT note_id, count(*) AS n, '[' || string_agg('{"condition":"' || condition || '","search_query":"' || search_query || '"}', ',' ORDER BY ord) || ']' AS c
+          FROM conds GROUP BY 1)""",
+        """offered AS (SELECT note_id, count(*) AS n, '[' || string_agg('{"icd10":"' || icd10 || '","description":"' || description || '","cc":"' || cc || '","similarity":'
+          || CAST(similarity AS VARCHAR) || ',"for_condition":"' || for_condition || '"}', ',' ORDER BY position) || ']' AS k FROM pool JOIN codes USING (icd10) WHERE position <= 25 GROUP BY 1)""",
+        f"""p AS (SELECT d.note_id, offered.n AS n_candidates, listed.n AS n_conditions, 'Clinical notes:' || chr(10) || s || chr(10) || chr(10) || 'Extracted conditions: ' || c
+          || chr(10) || chr(10) || 'ICD-10 candidates:' || chr(10) || k AS prompt FROM deid d JOIN offered USING (note_id) JOIN listed USING (note_id)
+          WHERE {clinical} AND {STRIPPED.format(t='s')} <> '')""",
+        select=f"""SELECT note_id, {UNNUMBERED.replace('(s,', '(prompt,')} AS prompt_md5, CAST(n_candidates AS INTEGER) AS n_candidates,
+          CAST(n_conditions AS INTEGER) AS n_conditions FROM p"""))
     add("pending_prompts", "SELECT doc_id AS note_id, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = doc_id AND p_partkey % 3 <> 0)")
     said = "SELECT conv_id * 1000000 + turn AS note_id, conv_id, turn, role, text FROM conversations"
     add("conversation_history", _with(*deid_ctes(said), select=f"""SELECT conv_id, turn, role,
@@ -467,8 +486,9 @@ def all_sql() -> dict[str, str]:
 
     # providers
     add("code_prf", _with(*PROVIDER_BASE, select="SELECT * FROM prf"))
-    add("eval_report", _with(*PROVIDER_BASE, select="SELECT case_id, provider, code_precision, code_recall, code_f1, codes FROM prf JOIN plist USING (case_id, provider)"))
-    listed = lambda p: f"string_split(coalesce(codes_{p}, ''), ' ')"
+    add("eval_report", _with(*PROVIDER_BASE, *PROVIDER_SCORES, select="SELECT * FROM prow UNION ALL BY NAME SELECT CAST(NULL AS BIGINT) AS case_id, * FROM ptotal"))
+    add("comparison_csv", _with(*PROVIDER_BASE, *PROVIDER_SCORES, select="SELECT case_id AS id, * EXCLUDE (case_id) FROM prow"))
+    listed = lambda p: f"list_filter(string_split(coalesce(codes_{p}, ''), ' '), lambda x: x <> '')"
     a, b = listed("alpha"), listed("beta")
     add("provider_compare", _with(*PROVIDER_BASE, *PROVIDER_SCORES, select=f"""SELECT *, CASE WHEN codes_alpha IS NOT NULL AND codes_beta IS NOT NULL THEN
       array_to_string(list_sort(list_concat(list_filter({a}, lambda x: NOT list_contains({b}, x)), list_filter({b}, lambda x: NOT list_contains({a}, x)))), ' ')

@@ -34,18 +34,33 @@ def build_session(app: str = "riskspark", master: str | None = None, **conf: str
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, as the session names it.
 
-    Only a session without one (tests on a single machine) gets a local folder.
+    A session on one machine (``local[..]``) that names none gets a folder of its own; on a
+    cluster that would scatter the files, so there it is an error.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="riskspark-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return base.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's kept steps."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one job, under the run's."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Removes all kept steps of this application; results read from them must be written first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keeper(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
@@ -62,14 +77,3 @@ def keeper(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFra
 
     return keep
 
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows over all cores, for heavy per-row work on a scan with few splits.
-
-    A scan that already has a split per core is left alone, so at scale this adds no
-    shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)

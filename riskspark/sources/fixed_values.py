@@ -452,3 +452,6 @@ HITS_PER_CONDITION = 6
 HITS_PER_SEARCH = 10
 CANDIDATES_TO_SELECTOR = 25
 FALLBACK_CODES = 5
+
+#: Fields of the comparison file, in order.
+COMPARISON_FIELDS = ["id", "provider", "code_precision", "code_recall", "code_f1", "score", "latency_total", "codes", "hccs"]

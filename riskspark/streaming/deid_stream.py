@@ -12,6 +12,7 @@ from riskspark.operators.deid import deidentify
 from riskspark.plans.bindings import gazetteer as known_names
 from riskspark.plans.bindings import note_text
 from riskspark.plans.notes import gate
+from riskspark.streaming.files import arriving_rows, written_batches
 
 
 def start(notes: DataFrame, out: str, gazetteer: DataFrame | None = None):
@@ -30,13 +31,14 @@ def start(notes: DataFrame, out: str, gazetteer: DataFrame | None = None):
 
 
 def read_output(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/notes")
+    empty = spark.createDataFrame([], "note_id bigint, text string")
+    return written_batches(spark, f"{out}/notes", gate(deidentify(empty)).schema)
 
 
 def run_once(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     """All documents of a folder that have arrived so far, as one available-now run."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    arriving = arriving_rows(spark, f"{sf_dir}/documents.parquet", schema)
     arriving = arriving.selectExpr("doc_id AS note_id", f"{note_text()} AS text")
     start(arriving, out, known_names(spark, sf_dir)).awaitTermination()
     return read_output(spark, out)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskspark.plans import bindings
 from riskspark.plans.roster import member_result, score_roster
 from riskspark.sources.refdata import RefData
+from riskspark.streaming.files import arriving_rows
 
 
 def start(dx: DataFrame, members: DataFrame, code_map: DataFrame, ref: RefData, out: str, buckets: int = 16, key: str = "member_id"):
@@ -26,7 +27,9 @@ def start(dx: DataFrame, members: DataFrame, code_map: DataFrame, ref: RefData,
         # one file set per bucket and batch, not one per bucket and task
         rows.repartition("member_bucket", F.pmod(F.xxhash64(key), F.lit(4))).write.mode("overwrite").partitionBy("member_bucket").parquet(here)
         touched = spark.read.parquet(here).select(key, "member_bucket").distinct()
-        history = spark.read.parquet(f"{out}/history").where(F.col("batch_id") <= batch_id)
+        # as literals, so that the scan leaves the other buckets' files alone
+        numbers = [r.member_bucket for r in touched.select("member_bucket").distinct().collect()]
+        history = spark.read.parquet(f"{out}/history").where((F.col("batch_id") <= batch_id) & F.col("member_bucket").isin(numbers))
         full = history.join(touched, [key, "member_bucket"], "left_semi").select(key, "icd10")
         asked = members.join(touched.select(key), key, "left_semi")
         result = member_result(score_roster(asked, full, code_map, ref, key), ref, key)
@@ -51,7 +54,7 @@ def current_scores(spark: SparkSession, out: str, key: str = "member_id") -> Dat
 def run_once(spark: SparkSession, sf_dir: str, ref: RefData, out: str) -> DataFrame:
     """All order lines of a folder that have arrived so far, as one available-now run."""
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    lines = arriving_rows(spark, f"{sf_dir}/lineitem.parquet", schema)
     dx = bindings.diagnoses_of_lines(lines, bindings.table(spark, sf_dir, "orders"))
     members, code_map = bindings.members(spark, sf_dir), bindings.code_map(spark, sf_dir, ref)
     start(dx, members, code_map, ref, out).awaitTermination()
