@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions import cards, phi
+from riskspark.functions import notes as NF
 from riskspark.functions.codes import normalize_code
 from riskspark.functions.demographics import member_features
 from riskspark.functions.text import ngrams, tokens
@@ -466,6 +467,18 @@ def selected_codes(d: Data) -> DataFrame:
     return d.selected()
 
 
+@query
+def selection_intake(d: Data) -> DataFrame:
+    """Selection replies with string and number elements, a text confidence, no list, no object."""
+    code = "concat('{\"icd10\":\"Z', p_partkey, '\",\"cc\":', p_size, ',\"confidence\":\"0.5\"}')"
+    lists = [f"concat('[', {code}, ',', {code}, ']')", f"concat('[\"E119\",', {code}, ']')", "'\"E119\"'", f"concat('[1,null,', {code}, ']')", "'[]'"]
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(lists))
+    replies = b.table(d.spark, d.dir, "part").selectExpr("p_partkey AS note_id", f"concat('{{\"selected_codes\":', CASE p_partkey % 6 {cases} ELSE '[' END, '}}') AS reply")
+    read = replies.selectExpr("note_id", f"{NF.intake('reply', NF.CODE, 'selected_codes')} AS i")
+    total = "aggregate(transform(i.items, x -> try_cast(x.confidence AS double)), 0D, (a, x) -> a + x)"
+    return read.selectExpr("note_id", "i.ok AS ok", "i.n_bad AS n_bad", "array_join(transform(i.items, x -> concat(x.icd10, '/', x.cc)), ' ') AS codes", f"{total} AS confidence")
+
+
 @query
 def code_card(d: Data) -> DataFrame:
     return d.selected().selectExpr(

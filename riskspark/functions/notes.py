@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from riskspark.sources import fixed_values as fv
 
-CONDITIONS_TYPE = "struct<conditions:array<struct<condition:string,search_query:string>>>"
-CODES_TYPE = (
-    "struct<selected_codes:array<struct<icd10:string,description:string,cc:string,"
-    "condition:string,rationale:string,confidence:double>>>"
-)
+#: Fields of the replies' list elements. All are read as text, so that one of an
+#: unexpected type spoils neither its element nor the list.
+CONDITION = "struct<condition:string,search_query:string>"
+CODE = "struct<icd10:string,description:string,cc:string,condition:string,rationale:string,confidence:string>"
 
 
 def keyword_hits(text: str) -> str:
@@ -30,14 +29,19 @@ def unfenced(reply: str) -> str:
     return stripped(rf"regexp_replace({stripped(reply)}, r'(?i)^```(?:json)?\s*([\s\S]*?)```$', '$1')")
 
 
-def intake(reply: str, schema: str, field: str) -> str:
-    """Struct (ok, items) of a reply: whether it holds a JSON object, and its list.
+def intake(reply: str, element: str, field: str) -> str:
+    """Struct (ok, items, n_bad) of a reply: whether it holds a JSON object, the objects of
+    its list, and how many elements are none (a field that is no list counts as one).
 
     A reply that is no object, or has no such list, gives an empty list.
     """
-    items = f"coalesce(from_json(body, '{schema}').{field}, array())"
+    raw = f"from_json(body, 'struct<{field}:array<string>>').{field}"
+    items = f"transform(filter(raw, e -> startswith(e, '{{')), e -> from_json(e, '{element}'))"
+    other = f"if(get_json_object(body, '$.{field}') IS NOT NULL, 1, 0)"
+    bad = f"if(raw IS NULL, {other}, size(filter(raw, e -> NOT coalesce(startswith(e, '{{'), false))))"
     ok = "coalesce(startswith(body, '{') AND try_parse_json(body) IS NOT NULL, false)"
-    return f"transform(array({unfenced(reply)}), body -> named_struct('ok', {ok}, 'items', {items}))[0]"
+    read = f"transform(array({raw}), raw -> named_struct('ok', {ok}, 'items', coalesce({items}, array()), 'n_bad', {bad}))[0]"
+    return f"transform(array({unfenced(reply)}), body -> {read})[0]"
 
 
 def resolved_provider(override: str, default: str, available: list[str]) -> str:

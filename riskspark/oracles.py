@@ -440,6 +440,9 @@ def all_sql() -> dict[str, str]:
       trim(t, E' \\t\\n\\r') = '' AS rejected FROM (SELECT doc_id, {PADDED} AS t FROM documents)""")
     add("parse_completions", f"""SELECT note_id, CAST(ord AS INTEGER) AS ord, condition, search_query, FALSE AS quarantined FROM ({CONDITIONS})
       UNION ALL SELECT p_partkey, 0, NULL, NULL, TRUE FROM part WHERE p_partkey % 11 = 0""")
+    add("selection_intake", """SELECT p_partkey AS note_id, p_partkey % 6 <> 5 AS ok, CAST(CASE p_partkey % 6 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS INTEGER) AS n_bad,
+      CASE p_partkey % 6 WHEN 0 THEN c || ' ' || c WHEN 1 THEN c WHEN 3 THEN c ELSE '' END AS codes, CASE p_partkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence
+      FROM (SELECT *, 'Z' || p_partkey || '/' || p_size AS c FROM part)""")
     add("provider_routing", """SELECT event_id AS note_id, CASE WHEN event_type IN ('click', 'view', 'error') THEN event_type ELSE 'click' END AS extract,
       CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'error' END AS select, 'click' AS explain FROM events""")
     columns = "note_id, pos, icd10, description, cc, condition, confidence, similarity"

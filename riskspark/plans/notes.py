@@ -25,14 +25,15 @@ def gate(notes: DataFrame, text: str = "sanitized_text") -> DataFrame:
 
 
 def parse_conditions(completions: DataFrame, key: str = "note_id", reply: str = "reply") -> tuple[DataFrame, DataFrame]:
-    """(conditions, quarantine): one row per condition, and the replies without an object."""
-    read = completions.selectExpr("*", f"{N.intake(reply, N.CONDITIONS_TYPE, 'conditions')} AS intake")
+    """(conditions, quarantine): one row per condition, and the replies without an object or
+    with elements that are none; their good elements count all the same."""
+    read = completions.selectExpr("*", f"{N.intake(reply, N.CONDITION, 'conditions')} AS intake")
     conditions = (
         read.selectExpr(key, "posexplode_outer(if(intake.ok, intake.items, null)) AS (pos, c)")
         .where("pos IS NOT NULL")
         .selectExpr(key, "pos + 1 AS ord", "c.condition AS condition", "c.search_query AS search_query")
     )
-    return conditions, read.where("NOT intake.ok").drop("intake")
+    return conditions, read.where("NOT intake.ok OR intake.n_bad > 0").withColumn("n_bad", F.col("intake.n_bad")).drop("intake")
 
 
 def note_conditions(notes: DataFrame, conditions: DataFrame, completions: DataFrame, key: str = "note_id") -> DataFrame:
@@ -51,14 +52,14 @@ def selected_codes(pool: DataFrame, replies: DataFrame, key: str = "note_id", re
     """
     offered = pool.where(F.col("position") <= fv.CANDIDATES_TO_SELECTOR)
     with_pool = offered.select(key).distinct()
-    read = replies.selectExpr(key, f"{N.intake(reply, N.CODES_TYPE, 'selected_codes')} AS intake")
+    read = replies.selectExpr(key, f"{N.intake(reply, N.CODE, 'selected_codes')} AS intake")
     chosen = (
         read.join(with_pool, key, "left_semi")
         .selectExpr(key, "posexplode_outer(if(intake.ok, intake.items, null)) AS (p, c)")
         .where("p IS NOT NULL")
         .selectExpr(
             key, "p + 1 AS pos", "c.icd10", "coalesce(c.description, '') AS description", "coalesce(c.cc, '') AS cc",
-            "coalesce(c.condition, '') AS condition", "c.confidence", "double(null) AS similarity",
+            "coalesce(c.condition, '') AS condition", "try_cast(c.confidence AS double) AS confidence", "double(null) AS similarity",
         )
         .where("icd10 != ''")
     )
