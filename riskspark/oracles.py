@@ -57,7 +57,9 @@ def _bands(lows: list[int], name: str) -> str:
 CODEMAP = f"""codemap AS (
   SELECT {part_code('p_partkey')} AS icd10, d.cc,
     CASE WHEN p_size % 7 = 0 THEN 'age >= 18 and age < 90' END AS mce_rule,
-    CASE p_size % 10 WHEN 0 THEN 'age >= 65' WHEN 1 THEN 'age < 65' WHEN 2 THEN 'age 50+' WHEN 3 THEN 'age == 18' END AS age_rule,
+    CASE p_size % 10 WHEN 0 THEN 'age >= 65' WHEN 1 THEN 'age < 65' WHEN 2 THEN 'age 50+' WHEN 3 THEN 'age == 18'
+      WHEN 4 THEN '(age >= 12 and age <= 55)' WHEN 5 THEN '(age < 30) or (age > 60)' WHEN 6 THEN 'age >= 18 and (age < 80)'
+      WHEN 7 THEN 'not age >= 70' WHEN 8 THEN 'not (age > 40 or (age < 20))' END AS age_rule,
     CASE p_size % 9 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'N/A' END AS sex_rule
   FROM part JOIN domain d ON d.pos = p_partkey % 89)"""
 
@@ -95,7 +97,9 @@ def member_ctes(members: str = CUSTOMER_MEMBERS) -> list[str]:
 
 def _rule(column: str) -> str:
     return f"""CASE {column} WHEN 'age >= 65' THEN age >= 65 WHEN 'age < 65' THEN age < 65 WHEN 'age 50+' THEN age >= 50
-      WHEN 'age >= 18 and age < 90' THEN age >= 18 AND age < 90 ELSE TRUE END"""
+      WHEN 'age >= 18 and age < 90' THEN age >= 18 AND age < 90 WHEN '(age >= 12 and age <= 55)' THEN age BETWEEN 12 AND 55
+      WHEN '(age < 30) or (age > 60)' THEN age < 30 OR age > 60 WHEN 'age >= 18 and (age < 80)' THEN age BETWEEN 18 AND 79
+      WHEN 'not age >= 70' THEN age < 70 WHEN 'not (age > 40 or (age < 20))' THEN age BETWEEN 20 AND 40 ELSE TRUE END"""
 
 
 SEX_OK = "CASE WHEN sex_rule IN ('1', '2') THEN CAST(sex_rule AS INTEGER) = sex ELSE TRUE END"

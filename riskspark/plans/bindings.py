@@ -36,8 +36,9 @@ def code_map(spark: SparkSession, sf_dir: str, ref: RefData) -> DataFrame:
         f"{PART_CODE.format(key='p_partkey')} AS icd10",
         f"get(split('{domain}', ','), int(p_partkey % 89)) AS cc",
         "if(p_size % 7 = 0, 'age >= 18 and age < 90', null) AS MCE_AGE_CONDITION",
-        "CASE p_size % 10 WHEN 0 THEN 'age >= 65' WHEN 1 THEN 'age < 65' WHEN 2 THEN 'age 50+' WHEN 3 THEN 'age == 18' END"
-        " AS AGE_EDIT_CONDITION",
+        "CASE p_size % 10 WHEN 0 THEN 'age >= 65' WHEN 1 THEN 'age < 65' WHEN 2 THEN 'age 50+' WHEN 3 THEN 'age == 18'"
+        " WHEN 4 THEN '(age >= 12 and age <= 55)' WHEN 5 THEN '(age < 30) or (age > 60)' WHEN 6 THEN 'age >= 18 and (age < 80)'"
+        " WHEN 7 THEN 'not age >= 70' WHEN 8 THEN 'not (age > 40 or (age < 20))' END AS AGE_EDIT_CONDITION",
         "CASE p_size % 9 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'N/A' END AS SEX_EDIT_CONDITION",
         "p_partkey AS load_order",
     )
