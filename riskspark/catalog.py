@@ -20,7 +20,7 @@ from riskspark.plans import roster
 from riskspark.session import keeper, shared_dir, shared_root
 from riskspark.sources import fixed_values as fv
 from riskspark.sources import jsonl, reports
-from riskspark.sources.refdata import RefData, load_refdata
+from riskspark.sources.refdata import RefData, load_refdata, read_code_map, read_descriptions
 from riskspark.streaming import deid_stream, rescore_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,18 @@ def code_corpus(d: Data) -> DataFrame:
     return d.corpus
 
 
+@query
+def code_files(d: Data) -> DataFrame:
+    """Map and descriptions written as CSV files and read back; each code's first map row counts."""
+    path = shared_dir(d.spark, "code-files")
+    d.code_map.selectExpr("icd10 AS ICD10", "cc AS CC", "AGE_EDIT_CONDITION").write.option("header", True).csv(f"{path}/map/a")
+    # later rows of the same codes
+    d.code_map.selectExpr("icd10 AS ICD10", "'999' AS CC", "string(null) AS AGE_EDIT_CONDITION").write.option("header", True).csv(f"{path}/map/b")
+    b.descriptions(d.spark, d.dir).select("icd10", "description").write.csv(f"{path}/descriptions")
+    corpus = retrieval.code_corpus(read_descriptions(d.spark, f"{path}/descriptions"), read_code_map(d.spark, f"{path}/map/*"))
+    return corpus.select("icd10", "description", "cc")
+
+
 @query
 def eval_cases(d: Data) -> DataFrame:
     """Case lines written as JSON with comments, blanks and cut lines, read back."""

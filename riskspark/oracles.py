@@ -347,6 +347,7 @@ def all_sql() -> dict[str, str]:
       LEFT JOIN (flags f JOIN flags g USING (member_id)) ON f.hcc = h.hcc AND g.hcc = h.suppressed GROUP BY ALL"""))
     add("dx_map", _with(DOMAIN, CODEMAP, select="""SELECT icd10, cc, mce_rule, age_rule, sex_rule,
       CASE WHEN sex_rule IN ('1', '2') THEN CAST(sex_rule AS INTEGER) END AS sex_edit FROM codemap"""))
+    add("code_files", _with(DOMAIN, f"codes AS ({CORPUS_ROWS})", select="SELECT icd10, description, cc FROM codes"))
     add("code_corpus", _with(DOMAIN, f"codes AS ({CORPUS_ROWS})", select="SELECT * FROM codes"))
     body = """'{"id":"case-' || item_id || '","note":' || CAST(to_json(text) AS VARCHAR) || ',"search_queries":[' || CAST(to_json(text) AS VARCHAR) || '],"expected_icd10":["Z' || item_id || '"]}'"""
     add("eval_cases", f"""SELECT CASE WHEN item_id % 13 = 0 THEN '' ELSE 'case-' || item_id END AS id,

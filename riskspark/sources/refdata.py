@@ -148,6 +148,14 @@ def _text_csv(text: str) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text)))
 
 
+def _coefficient(text: str) -> Decimal:
+    """Scores add up whole millionths, so a finer coefficient is refused rather than cut."""
+    value = Decimal(text)
+    if value != round(value, 6):
+        raise ValueError(f"coefficient {text}: more than six decimals")
+    return value
+
+
 def _parse(tables: dict[str, list[list[str]]]) -> RefData:
     def body(name: str) -> list[list[str]]:
         return [[c.strip() for c in row] for row in tables[name][1:] if row and row[0].strip()]
@@ -167,7 +175,7 @@ def _parse(tables: dict[str, list[list[str]]]) -> RefData:
             if name == "ce_factors":
                 labels[row[0]] = row[1].strip().strip('"')
             values = row[text_columns:]
-            factors[row[0]] = {m: Decimal(v) for m, v in zip(models[name], values) if v}
+            factors[row[0]] = {m: _coefficient(v) for m, v in zip(models[name], values) if v}
 
     variables = list(
         dict.fromkeys(
@@ -203,9 +211,15 @@ def load_refdata(spark: SparkSession, ref_dir: str | None = None, files: dict[st
     return _parse({t: _bounded_csv(spark, f"{ref_dir.rstrip('/')}/{f}") for t, f in names.items()})
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file scan with ``load_order``: by path, then by place in the file."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("load_order", place)
+
+
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
-    """Code→category map as text columns; typed later by ``prepare_code_map``."""
-    return spark.read.option("header", True).csv(path)
+    """Code→category map as text columns with ``load_order``; typed later by ``prepare_code_map``."""
+    return in_file_order(spark.read.option("header", True).csv(path))
 
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
@@ -214,5 +228,4 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     Preamble and header lines need no counting: they carry no known code, so the join
     with the code map leaves them out.
     """
-    df = spark.read.csv(path, schema="icd10 string, description string")
-    return df.withColumn("load_order", F.monotonically_increasing_id())
+    return in_file_order(spark.read.csv(path, schema="icd10 string, description string"))
