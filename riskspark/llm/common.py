@@ -44,6 +44,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Numbers that a table may hold to be sent to every task instead of shuffling texts to it.
+SENT_NUMBERS = 2_000_000
+
+
+def sent_if_small(small: DataFrame, numbers: Column) -> DataFrame:
+    """``small`` with a broadcast hint if its rows' ``numbers`` add up to the bound at most."""
+    total = small.agg(F.sum(numbers)).first()[0] or 0
+    return F.broadcast(small) if total <= SENT_NUMBERS else small
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

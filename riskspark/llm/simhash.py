@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import Keep, by_group, byte_texts, components, runs
+from riskspark.llm.common import Keep, by_group, byte_texts, components, runs, sent_if_small
 
 #: Generator of the binary Golay code (23, 12, 7) and its lengths.
 GENERATOR = 0b110001110101
@@ -39,6 +39,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one key that are compared in one task; more are dealt out in pairs of blocks.
 BLOCK = 65_536
+#: Bits of the sieve through which the keys of more than two fingerprints are found again.
+SIEVE_BITS = 1 << 26
 #: Cells of a comparison at a time.
 CELLS = 4_000_000
 
@@ -153,12 +155,43 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _keys(fps: DataFrame) -> DataFrame:
+def _cell(key: Column) -> Column:
+    """A key's cell of the sieve, as :func:`_cells` has it."""
+    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 26)).bitwiseXOR(F.shiftrightunsigned(key, 47))
+    return folded.bitwiseAND(F.lit(SIEVE_BITS - 1))
+
+
+def _cells(keys: np.ndarray) -> np.ndarray:
+    unsigned = keys.view(np.uint64)
+    return (unsigned ^ unsigned >> np.uint64(26) ^ unsigned >> np.uint64(47)) & np.uint64(SIEVE_BITS - 1)
+
+
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the cell of each of ``keys`` is set.
+
+    It only spares the shuffle of rows whose key isn't asked for; others may pass as well.
+    """
+    cell = _cell(F.col("key"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), cell.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[[w.word for w in words]] = [w.bits for w in words]
+    return out.view(np.uint64)
+
+
+def _keys(fps: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
+    """(key, fp) of every key, or of those that pass the sieve ``asked``."""
+    sieve = None if asked is None else fps.sparkSession.sparkContext.broadcast(asked)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(values), 4096):
                 keys, rows = keys_of(values[i : i + 4096])
+                if sieve is not None:
+                    cells = _cells(keys)
+                    passed = np.flatnonzero(sieve.value[cells >> np.uint64(6)] >> (cells & np.uint64(63)) & np.uint64(1))
+                    keys, rows = keys[passed], rows[passed]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[i : i + 4096][rows])], names=["key", "fp"])
 
     return fps.select("fp").mapInArrow(run, "key bigint, fp bigint")
@@ -213,7 +246,7 @@ def links(fps: DataFrame, keep: Keep) -> DataFrame:
     shared = keep(shared, "shared-keys")
     pairs = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     crowds = shared.where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = _keys(fps).join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = _keys(fps, _sieve(crowds)).join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
@@ -255,5 +288,7 @@ def one_of_each(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str =
     whole = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
     own = whole.select("_row", F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     rows = keep(with_fingerprints(own, "text", words).withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "_row")), "documents")
-    winners = groups(rows, keep, "rank").select(F.col("first._row").alias("_row")).distinct()
-    return whole.join(winners, "_row", "left_semi").drop("_row")
+    winners = groups(rows, keep, "rank").select("first._row").distinct()
+    # rows that go are fewer than those that stay, so that texts may stay in place
+    gone = sent_if_small(keep(rows.select("_row").join(winners, "_row", "left_anti"), "gone"), F.lit(1))
+    return whole.join(gone, "_row", "left_anti").drop("_row")
