@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import Keep, byte_texts
+from riskspark.llm.common import Keep, byte_texts, sent_if_small
 
 #: Odd bases of the two hashes and the constants that mix code points.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -132,22 +132,27 @@ def steps(rows: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.
             size += len(texts[i])
 
 
-def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+def _batch(ids: pa.Array, columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
     signed = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in signed], names=[f.split()[0] for f in schema.split(", ")])
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, signed)], names=["id", *(f.split()[0] for f in schema.split(", "))])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word of ``docs`` (row, text): place, length, identity, keys of halves."""
+    """A row for each line with a word of ``docs`` (row, id, text): place, length, identity, keys of halves."""
+    schema = docs.select("id").schema
+    for field in LINES.split(", "):
+        schema = schema.add(field.split()[0], "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, row, number, start, end in steps(batch.column("row").to_pylist(), byte_texts(batch.column("text"))):
+            rows = batch.column("row").to_pylist()
+            for codes, place, number, start, end in steps(list(range(len(rows))), byte_texts(batch.column("text"))):
                 if len(number):
                     a, b = (Hashes(codes, s) for s in (0, 1))
-                    yield _batch([row, number, end - start, a.of(start, end), b.of(start, end), *halves(a, start, end - start)], LINES)
+                    row = np.array(rows, np.int64)[place]
+                    yield _batch(batch.column("id").take(pa.array(place)), [row, number, end - start, a.of(start, end), b.of(start, end), *halves(a, start, end - start)], LINES)
 
-    return docs.select("row", "text").mapInArrow(run, LINES)
+    return docs.select("row", "id", "text").mapInArrow(run, schema)
 
 
 #: Columns of the keys: ``whole`` marks the line itself among variants of longer ones.
@@ -191,13 +196,16 @@ def variants_of(docs: DataFrame) -> DataFrame:
 def neighbours(docs: DataFrame, distinct: DataFrame, keep: Keep) -> DataFrame:
     """(x, y) of the distinct lines with a verified neighbour that stands earlier."""
     each = distinct.select("x", "y", "len", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key"))
-    shared = each.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("len").alias("short"), F.max("len").alias("long")).where("lo != hi").select("key", (F.col("short") != F.col("long")).alias("mixed"), (F.col("short") == F.col("long")).alias("even"))
+    shared = each.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("len").alias("short"), F.max("len").alias("long")).where("lo != hi")
+    shared = shared.select("key", (F.col("short") != F.col("long")).alias("mixed"), (F.col("short") == F.col("long")).alias("even"))
+    shared = sent_if_small(keep(shared, "shared-halves"), F.lit(3))
     half = (F.col("which") % 2).alias("shared_half")
     met = each.join(shared, "key").groupBy("x", "y", half).agg(F.bool_or("mixed").alias("longer"))
     # what shares the first half (0) differs in the second (2), and the other way about
     asked = met.select("x", "y", F.when(F.col("shared_half") == 0, 2).otherwise(1).alias("half"), F.lit(True).alias("equal"), "longer")
     asked = keep(asked.join(distinct.select("x", "y", "first"), ["x", "y"]), "asked")
     wanted = asked.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "half", "equal", "longer")).alias("wanted"))
+    wanted = sent_if_small(keep(wanted, "wanted"), 4 * F.size("wanted"))
     rows = variants_of(docs.select("row", "text").join(wanted, "row")).distinct().join(asked.select("x", "y", "first").distinct(), ["x", "y"])
     same = Window.partitionBy("key")
     # replaced characters: all of a key are alike; inserted: each with the whole line of that key
@@ -206,6 +214,7 @@ def neighbours(docs: DataFrame, distinct: DataFrame, keep: Keep) -> DataFrame:
     found = rows.withColumn("earlier", least).where("earlier < first").select("x", "y", "first", "earlier").distinct()
     found = keep(found, "found")
     places = found.select(F.explode(F.array("first", "earlier")).alias("p")).distinct().groupBy("p.row").agg(F.collect_list("p.line").alias("ask"))
+    places = sent_if_small(keep(places, "places"), 1 + F.size("ask"))
     texts = docs.select("row", "text").join(places, "row").select("row", F.explode(F.arrays_zip("ask", F.transform("ask", lambda n: F.get(F.split("text", "\n"), n.cast("int"))))).alias("l")).select("row", F.col("l.ask").alias("line"), F.col("l.1").alias("text"))
     texts = keep(texts, "texts")
     left, right = (texts.select(F.col("row").alias(f"{s}_row"), F.col("line").alias(f"{s}_line"), F.col("text").alias(f"{s}_text")) for s in "ab")
@@ -225,28 +234,29 @@ def deduplicated(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text]).alias("doc"), F.col(text).cast("string").alias("text"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
     whole = keep(whole, "whole")
     lines = keep(lines_of(whole), "lines")
-    named = lines.join(whole.select("row", "id"), "row").withColumn("first", F.struct(F.col("id").isNull().alias("none"), "id", "row", "line"))
-    distinct = named.groupBy("x", "y").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("len", "k0", "k1", "k2", "k3")])
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
+    distinct = lines.withColumn("first", first).groupBy("x", "y").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("len", "k0", "k1", "k2", "k3")])
     distinct = keep(distinct, "distinct")
     late = neighbours(whole, distinct, keep).withColumn("late", F.lit(True))
     winners = distinct.join(late, ["x", "y"], "left").where("late is null").select(F.col("first.row").alias("row"), F.col("first.line").alias("line"), F.lit(True).alias("stays"))
-    told = lines.select("row", "line").join(winners, ["row", "line"], "left").groupBy("row").agg(F.count("*").alias("n_lines"), F.collect_list(F.when(F.col("stays").isNull(), F.col("line"))).alias("drop"))
-    told = keep(told, "told")
-    joined = whole.join(told, "row", "left").withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("bigint")})
-    joined = joined.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
-    changed = joined.select("doc", "text", "n_lines", "n_dropped", "drop")
-    out = changed.mapInArrow(_without_lines, changed.drop("drop").schema)
+    gone = lines.select("row", "line").join(winners, ["row", "line"], "left").where("stays is null")
+    drops = sent_if_small(keep(gone.groupBy("row").agg(F.collect_list("line").alias("drop")), "drops"), 1 + F.size("drop"))
+    changed = whole.join(drops, "row", "left").select("doc", "text", "drop")
+    counts = [F.lit(0).cast("bigint").alias(c) for c in ("n_lines", "n_dropped")]
+    out = changed.mapInArrow(_without_lines, changed.select("doc", "text", *counts).schema)
     return out.select(*[F.col("text").alias(c) if c == text else F.col(f"doc.`{c}`") for c in cols], "n_lines", "n_dropped")
 
 
 def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, drop in enumerate(batch.column("drop").to_pylist()):
+        texts, drops = batch.column("text").to_pylist(), batch.column("drop").to_pylist()
+        n_lines = [sum(not x.isspace() and x != b"" for x in t.split(b"\n")) for t in byte_texts(batch.column("text"))]
+        for i, drop in enumerate(drops):
             if drop:
                 gone = set(drop)
                 texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in gone)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), batch.column("n_lines"), batch.column("n_dropped")], names=["doc", "text", "n_lines", "n_dropped"])
+        counts = [pa.array(n_lines, pa.int64()), pa.array([len(d or ()) for d in drops], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), *counts], names=["doc", "text", "n_lines", "n_dropped"])
 
 
 def remaining(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str = "text") -> DataFrame:
