@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,16 +223,15 @@ def fold_words(words: DataFrame, path: str, word: str = "word") -> DataFrame:
     Pieces are hex strings, and ranks lie in a literal array of small maps by hash, as looking
     up a map's key takes time in proportion to its size.
     """
-    ranks = {piece.hex(): rank for piece, rank in Ranks(path).ids.items()}
-    spark, buckets = words.sparkSession, 8192
-    by_hash = spark.createDataFrame(list(ranks.items()), "piece string, rank int").groupBy(F.pmod(F.xxhash64("piece"), F.lit(buckets)).alias("b")).agg(F.map_from_arrays(F.collect_list("piece"), F.collect_list("rank")).alias("m")).collect()
-    filled: list[dict[str, int]] = [{"": -1} for _ in range(buckets)]
-    for row in by_hash:
-        filled[row.b] = row.m
-    table = F.array(*[F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in filled])
+    buckets = 8192
+    filled: list[dict[str, int]] = [{} for _ in range(buckets)]
+    for piece, rank in Ranks(path).ids.items():
+        filled[zlib.crc32(piece.hex().encode()) % buckets][piece.hex()] = rank
+    # one literal, which the optimiser reads once
+    table = F.from_json(F.lit(json.dumps(filled)), "array<map<string,int>>")
 
     def rank_of(piece: Column) -> Column:
-        return F.try_element_at(F.get(table, F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int")), piece)
+        return F.try_element_at(F.get(table, (F.crc32(piece.cast("binary")) % buckets).cast("int")), piece)
 
     def merge(pieces: Column) -> Column:
         ranked = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.struct(rank_of(F.concat(F.get(pieces, i), p)).alias("r"), i.alias("i")))
