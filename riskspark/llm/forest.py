@@ -5,8 +5,10 @@ sides (spill), so a near pair is seldom parted, and hardly ever in all trees. Tr
 on a bounded sample; below their leaves further random splits around the leaf's centre follow,
 one for each doubling of the vectors beyond the sample, so leaves stay alike in size at every
 number of vectors. All vectors go through all trees. Pairs are compared within leaves, in
-double precision, and only verified links leave a task. A leaf that stays large (a crowd that
-no split parts) is compared in pairs of blocks by several tasks, whole.
+double precision. A pair that shares several leaves counts in the first of them only, which the
+leaves that each vector carries along tell, so a leaf gives each of its vectors' number of links
+and one link to the smallest vector that it reaches there, never the pairs. A leaf that stays
+large (a crowd that no split parts) is compared in pairs of blocks by several tasks, whole.
 
 Equal vectors are one class from the start, so a vector that a third of all rows hold is
 compared once.
@@ -26,10 +28,12 @@ from riskspark.llm.common import Keep, by_group, components, runs
 #: Least cosine of a link.
 MIN_COSINE = 0.9
 #: Trees, share of a node that goes to both sides beyond the median on either side, leaf size.
-TREES, SPILL, LEAF = 10, 0.1, 96
+TREES, SPILL, LEAF = 10, 0.04, 96
 #: The sample a forest is fitted on: numbers in all, so it is 64 MB at any dimension.
 SAMPLE_VALUES = 8_000_000
 SAMPLE_ROWS = 16_384
+#: Vectors that go through the trees at a time.
+GATHER = 8192
 #: Vectors of a leaf that one task compares with as many others.
 BLOCK = 2048
 #: Leaves over a block that are sent to every task; with more they are joined by shuffle.
@@ -38,35 +42,40 @@ SEED = 11
 
 
 class Tree:
-    """One tree: a node is (direction, low, high, left, right) or a leaf (centre, directions, margins)."""
+    """One tree: inner nodes (column of ``directions``, low, high, left, right) and leaves
+    (centre, directions of further splits, their margins)."""
 
     def __init__(self, sample: np.ndarray, seed: int, extra: int) -> None:
         self.rng = np.random.default_rng(seed)
         self.extra = extra
-        self.root = self._grow(sample)
+        columns: list[np.ndarray] = []
+        self.root = self._grow(sample, columns)
+        self.directions = np.stack(columns, axis=1) if columns else np.zeros((sample.shape[1], 0))
 
-    def _grow(self, points: np.ndarray) -> tuple:
+    def _grow(self, points: np.ndarray, columns: list[np.ndarray]) -> tuple:
         if len(points) > LEAF:
             direction = self.rng.standard_normal(points.shape[1])
             at = points @ direction
             low, high = np.quantile(at, (0.5 - SPILL, 0.5 + SPILL))
             left, right = points[at <= high], points[at >= low]
             if max(len(left), len(right)) < len(points):
-                return direction, low, high, self._grow(left), self._grow(right)
+                columns.append(direction)
+                return len(columns) - 1, low, high, self._grow(left, columns), self._grow(right, columns)
         centre = points.mean(axis=0)
         directions = self.rng.standard_normal((points.shape[1], self.extra))
         return centre, directions, ((points - centre) @ directions).std(axis=0) * SPILL * 2.5
 
     def leaves(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(leaf, positions) for all points; a point may come in several leaves."""
+        projected = points @ self.directions
         stack = [(self.root, np.arange(len(points)), 1)]
         while stack:
             node, rows, path = stack.pop()
             if not len(rows):
                 continue
             if len(node) == 5:
-                direction, low, high, left, right = node
-                at = points[rows] @ direction
+                column, low, high, left, right = node
+                at = projected[rows, column]
                 stack.append((left, rows[at <= high], path * 2))
                 stack.append((right, rows[at >= low], path * 2 + 1))
                 continue
@@ -88,92 +97,144 @@ def fit(sample: list[list[float]], n: int) -> dict[int, list[Tree]]:
         by_dim.setdefault(len(v), []).append(v)
     out = {}
     for dim, rows in by_dim.items():
-        points = np.array(rows, np.float64)
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        points = _unit(np.array(rows, np.float64))
         extra = max(0, int(np.ceil(np.log2(max(1, n / len(sample))))))
         out[dim] = [Tree(points, SEED + 1000 * dim + t, extra) for t in range(TREES)]
     return out
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
+def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, bounds of each vector)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy())].astype(np.int64)
 
 
-def _unit(vectors: list[np.ndarray]) -> np.ndarray:
-    points = np.stack(vectors).astype(np.float64)
+def _unit(points: np.ndarray) -> np.ndarray:
+    points = points.astype(np.float64)
     points /= np.abs(points).max(axis=1, keepdims=True)  # so that no square is lost or overflows
     return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
-def _assigned(classes: DataFrame, forest: dict[int, list[Tree]], vectors: bool) -> DataFrame:
-    """(leaf, class[, v]): every leaf of every class; a dimension that the sample lacks is one leaf."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(forest)
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, unit vectors) for each length of vectors."""
+    flat, at = _vectors(column)
+    lengths = np.diff(at)
+    for dim in np.unique(lengths):
+        own = np.flatnonzero(lengths == dim)
+        yield own, _unit(flat[at[own][:, None] + np.arange(dim)])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _assigned(classes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
+    """``classes`` with ``leaves``, sorted; a length of vectors that the sample lacks is one leaf."""
+    shared = classes.sparkSession.sparkContext.broadcast(forest)
+    names = classes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_vectors = _vectors(batch.column("v"))
-            dims = np.array([len(v) for v in all_vectors])
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                points = _unit([all_vectors[i] for i in own])
-                trees = shared.value.get(int(dim), [])
-                found = [(t, leaf, own[rows]) for t, tree in enumerate(trees) for leaf, rows in tree.leaves(points)] or [(0, 0, own)]
-                rows = np.concatenate([r for _, _, r in found])
-                key = np.concatenate([np.full(len(r), hash((int(dim), t, leaf)), np.int64) for t, leaf, r in found])
-                columns = [pa.array(key), batch.column("class").take(pa.array(rows))]
-                columns += [batch.column("v").take(pa.array(rows))] if vectors else []
-                yield pa.RecordBatch.from_arrays(columns, names=["leaf", "class", "v"][: len(columns)])
-
-    return classes.mapInArrow(run, "leaf bigint, class bigint" + ", v array<double>" * vectors)
-
-
-def _links(rows: DataFrame) -> DataFrame:
-    """(a, b): links found within (leaf, i, j); across blocks only pairs from one to the other."""
-
-    def pairs(vectors: list[np.ndarray], ids: np.ndarray, blocks: np.ndarray, across: bool) -> np.ndarray:
-        out = [np.zeros((0, 2), np.int64)]
-        dims = np.array([len(v) for v in vectors])
-        for dim in np.unique(dims):  # a leaf's name may meet that of another dimension
-            own = np.flatnonzero(dims == dim)
-            points, name, block = _unit([vectors[i] for i in own]), ids[own], blocks[own]
-            for i in range(0, len(own), 1024):
-                near = points[i : i + 1024] @ points.T >= MIN_COSINE
-                near &= name[i : i + 1024, None] < name[None, :]
-                if across:
-                    near &= block[i : i + 1024, None] != block[None, :]
-                a, b = np.nonzero(near)
-                out.append(np.stack([name[i : i + 1024][a], name[b]], axis=1))
-        return np.concatenate(out)
+        for batch in _gathered(batches, GATHER):
+            rows, leaf = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for own, points in _by_length(batch.column("v")):
+                dim = points.shape[1]
+                trees = shared.value.get(dim, [])
+                found = [(hash((dim, t, name)), own[at]) for t, tree in enumerate(trees) for name, at in tree.leaves(points)] or [(hash((dim, -1)), own)]
+                rows += [r for _, r in found]
+                leaf += [np.full(len(r), name, np.int64) for name, r in found]
+            rows_, leaf_ = np.concatenate(rows), np.concatenate(leaf)
+            order = np.lexsort((leaf_, rows_))
+            offsets = np.r_[0, np.cumsum(np.bincount(rows_, minlength=batch.num_rows))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf_[order]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, "leaves"])
+
+    return classes.mapInArrow(run, classes.withColumn("leaves", F.array().cast("array<bigint>")).schema)
+
+
+def _first_links(points: np.ndarray, ids: np.ndarray, blocks: np.ndarray, across: bool, leaf: int, leaves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs link, aren't counted in another leaf, and are this task's."""
+    n = len(points)
+    linked = np.zeros((n, n), bool)
+    flat, at = leaves
+    owner = np.repeat(np.arange(n), np.diff(at))
+    earlier = flat < leaf
+    names, place, times = np.unique(flat[earlier], return_inverse=True, return_counts=True)
+    common = times[place] > 1
+    member = np.zeros((n, len(names)), np.float32)
+    member[owner[earlier][common], place[common]] = 1
+    member = member[:, times > 1]
+    for i in range(0, n, 1024):
+        part = slice(i, i + 1024)
+        near = (points[part] @ points.T >= MIN_COSINE) & (ids[part, None] != ids[None, :])
+        if across:
+            near &= blocks[part, None] != blocks[None, :]
+        if near.any() and member.shape[1]:
+            some = np.flatnonzero(near.any(axis=0))
+            near[:, some] &= member[part] @ member[some].T == 0
+        linked[part] = near
+    return linked
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each position the first one of those that its links reach."""
+    root = np.full(len(linked), -1)
+    for seed in range(len(linked)):
+        if root[seed] < 0:
+            frontier = np.array([seed])
+            root[seed] = seed
+            while len(frontier):
+                frontier = np.flatnonzero(linked[frontier].any(axis=0) & (root < 0))
+                root[frontier] = seed
+    return root
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(class, root, others): in one task of one leaf, the rows linked to a class and a link of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["leaf", "i", "j"]):
-            key = np.stack([group.column(c).to_numpy() for c in ("leaf", "i", "j")])
-            ids, blocks, vectors = group.column("class").to_numpy(), group.column("block").to_numpy(), _vectors(group.column("v"))
-            changed = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]
-            starts, lengths = runs(np.cumsum(changed))
-            found = [pairs(vectors[s : s + n], ids[s : s + n], blocks[s : s + n], key[1, s] != key[2, s]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True) if n > 1]
-            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
+            group = group.combine_chunks()
+            leaf, first, second, block, ids, n = (group.column(c).to_numpy() for c in ("leaf", "i", "j", "block", "class", "n"))
+            starts, lengths = runs(np.cumsum(np.r_[True, (leaf[1:] != leaf[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+            out = [np.zeros((3, 0), np.int64)]
+            for s, size in zip(starts.tolist(), lengths.tolist(), strict=True):
+                own = group.slice(s, size)
+                for at, points in _by_length(own.column("v")) if size > 1 else ():
+                    flat, bounds = _vectors(own.column("leaves").take(pa.array(at)))
+                    name = ids[s + at]
+                    linked = _first_links(points, name, block[s + at], bool(first[s] != second[s]), int(leaf[s]), (flat, bounds))
+                    hit = np.flatnonzero(linked.any(axis=1))
+                    if len(hit):
+                        others = linked[hit].astype(np.float64) @ n[s + at]
+                        out.append(np.stack([name[hit], name[_roots(linked)[hit]], others.astype(np.int64)]))
+            found = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["class", "root", "others"])
+
+    return rows.mapInArrow(run, "class bigint, root bigint, others bigint")
 
 
 def links(classes: DataFrame, keep: Keep) -> DataFrame:
-    """Distinct links between ``classes`` (class, v) that the forest finds."""
-    n = classes.count()
+    """(class, root, others) of ``classes`` (class, v, n): summed over rows, ``others`` is the
+    number of vectors linked to a class; (class, root) join what all found links join."""
+    count = classes.count()
     dim = max(1, (classes.agg(F.max(F.size("v"))).first()[0] or 1))
     rows = min(SAMPLE_ROWS, max(LEAF, SAMPLE_VALUES // dim))
     sample = [r.v for r in classes.orderBy(F.xxhash64("class")).limit(rows).select("v").collect()]
-    forest = fit(sample, n)
-    large = keep(_assigned(classes, forest, False).groupBy("leaf").count().where(F.col("count") > BLOCK).select("leaf", F.ceil(F.col("count") / BLOCK).alias("blocks")), "large-leaves")
+    placed = keep(_assigned(classes, fit(sample, count)), "placed")
+    large = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where(F.col("count") > BLOCK)
+    large = keep(large.select("leaf", F.ceil(F.col("count") / BLOCK).alias("blocks")), "large-leaves")
     few = large.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    dealt = _assigned(classes, forest, True).join(F.broadcast(large) if few else large, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("bigint"))
+    dealt = placed.withColumn("leaf", F.explode("leaves")).join(F.broadcast(large) if few else large, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("bigint"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "v")
-    return _links(dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")).distinct()
+    dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "n", "v", "leaves")
+    return _counted(dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "class"))
 
 
 def near_vectors(table: DataFrame, keep: Keep, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -185,16 +246,17 @@ def near_vectors(table: DataFrame, keep: Keep, id_col: str = "vec_id", vector: s
     only if no row of it has one, and is then kept. Vectors of other lengths never link. An
     empty table gives an empty result; extra columns are ignored.
     """
-    v = F.col(vector).cast("array<double>")
+    single = dict(table.dtypes)[vector] == "array<float>"  # every float is a double
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.when(F.coalesce(good, F.lit(False)), v).alias("v"))
     rows = keep(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(SEED), "v").alias("y")))), "rows")
     own = rows.where("v is not null")
     classes = keep(own.groupBy("h").agg(F.min("row").alias("class"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")), "classes")
-    found = keep(links(classes.select("class", "v"), keep), "links")
-    sizes = classes.select(F.col("class").alias("b"), "n")
-    both = found.union(found.select("b", "a")).toDF("a", "b").join(sizes, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    roots = components(found, keep, "roots")
+    found = links(classes.select("class", "v", "n"), keep).groupBy("class", "root").agg(F.sum("others").alias("others"))
+    found = keep(found, "links")
+    both = found.groupBy(F.col("class").alias("a")).agg(F.sum("others").alias("others"))
+    roots = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")), keep, "roots")
     member = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     member = keep(member.select("h", "class", "n", "root", "least"), "members")
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
