@@ -4,6 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 as the next one's ``docs``. All but the last return the columns of ``documents``; a stage that
 changes a text also renews ``n_chars``. Null and empty texts, repeated rows and ids, empty
 tables and extra columns behave as the operators of the stages say.
+
+What a stage keeps in the shared folder goes when a later stage begins, as its result has been
+written by then; so write a stage's result before calling the next one in the same session.
 """
 
 from __future__ import annotations
@@ -15,30 +18,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import bpe, lines, mixing, rules, simhash
-from riskspark.llm.common import keeping, small_batches, table
+from riskspark.llm.common import Keep, keeping, small_batches, table
+from riskspark.session import run_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
+KEPT = "stage-of-pipeline"
+
+
+def _keeping(spark: SparkSession, stage: str) -> Keep:
+    """Keeps steps of a stage, without those of the stages before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = path(run_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in files.globStatus(path(folder, f"{KEPT}-*")) or ():
+        files.delete(old.getPath(), True)
+    return keeping(spark, f"{KEPT}-{stage}")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the distributions of their language accept."""
-    return rules.accepted(docs, keeping(spark, "pipeline-rules"))
+    return rules.accepted(docs, _keeping(spark, "rules"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier, up to one edit; emptied documents go."""
-    kept = lines.remaining(docs, keeping(spark, "pipeline-lines"))
+    kept = lines.remaining(docs, _keeping(spark, "lines"))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints are linked: that of the smallest id."""
-    return simhash.one_of_each(docs, keeping(spark, "pipeline-near"))
+    return simhash.one_of_each(docs, _keeping(spark, "near"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeated(mixing.mix(docs, keeping(spark, "pipeline-mix"))).select(docs.columns)
+    return mixing.repeated(mixing.mix(docs, _keeping(spark, "mix"))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import Keep, count_words, text_of
+from riskspark.llm.common import Keep, count_words, sent_if_small, text_of
 
 #: Fixed values of the mix: weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -64,22 +64,25 @@ def mix(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str = "text",
     sized = keep(sized.drop(*without), "sized")
     shared = targets(sized, source, **shares)
     bucket = F.substring("_order", 1, BUCKET_DIGITS)
-    buckets = sized.groupBy(F.col(source).alias("source"), bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("source", "bucket", "n", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
+    buckets = sized.groupBy(F.col(source).alias("_source"), bucket.alias("_bucket")).agg(F.sum("size").alias("_n"))
+    running = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_start", F.coalesce(F.sum("_n").over(running), F.lit(0)))
     shared = shared.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    shared = shared.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint"))
-    plan = buckets.join(shared, buckets.source.eqNullSafe(shared.source)).select(buckets.source.alias("_source"), "bucket", "start", "n", "source_size", "target", "whole", "rest")
-    plan = keep(plan, "plan")
-    joined = sized.join(plan, sized[source].eqNullSafe(plan["_source"]) & (bucket == plan["bucket"]))
-    # Whole buckets below the target take all, those above it nothing; only the bucket that
-    # reaches it needs an order inside.
-    inside = (F.col("start") < F.col("rest")) & (F.col("rest") < F.col("start") + F.col("n"))
-    plain = joined.where(~inside).withColumn("part", F.when(F.col("rest") >= F.col("start") + F.col("n"), F.col("size")).otherwise(0))
-    order = Window.partitionBy("_source", "bucket").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    cut = joined.where(inside).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - at)))
-    rows = plain.unionByName(cut).drop("_source", "bucket", "start", "n", "rest", "_order")
+    shared = shared.withColumn("_rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint"))
+    shared = keep(shared.select(F.col("source").alias("_of"), "source_size", "target", "whole", "_rest"), "shares")
+    # The bucket in which a source's target is reached: those before it take all, those after
+    # it nothing, and only it needs an order inside. Without one all take all.
+    reached = buckets.join(shared, F.col("_source").eqNullSafe(F.col("_of"))).where(F.col("_start") + F.col("_n") > F.col("_rest"))
+    reached = reached.groupBy("_source").agg(F.min(F.struct("_bucket", "_start")).alias("_cut"))
+    plan = shared.join(reached, F.col("_of").eqNullSafe(F.col("_source")), "left").drop("_source")
+    plan = sent_if_small(keep(plan, "plan"), F.lit(1))
+    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("_of")))
+    inside = F.coalesce(bucket == F.col("_cut._bucket"), F.lit(False))
+    plain = joined.where(~inside).withColumn("part", F.when(F.col("_cut").isNull() | (bucket < F.col("_cut._bucket")), F.col("size")).otherwise(0))
+    order = Window.partitionBy("_of").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_cut._start") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    cut = joined.where(inside).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - at)))
+    rows = plain.unionByName(cut).drop("_of", "_cut", "_rest", "_order")
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("whole", "part", "size", "source_size")})
 
 
