@@ -80,3 +80,25 @@ def test_blocks_of_a_large_leaf(spark, keep, monkeypatch):
     rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.01).tolist()) for i in range(130)] + [(500, (-np.ones(8)).tolist())]
     got = R.near_vectors(frame(spark, rows), keep).collect()
     assert {r.n_links for r in got if r.vec_id < 200} == {129} and {r.component_id for r in got} == {0, 500}
+
+
+@pytest.mark.parametrize("rows", [16_384, 500])
+def test_links_of_unequal_near_vectors_in_groups_of_any_size(spark, keep, monkeypatch, rows):
+    """Groups from 10 to a third of all rows, mean cosine 0.93, with n up to 12 times the sample."""
+    monkeypatch.setattr(R, "SAMPLE_ROWS", rows)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    sizes = [2000, 600, 150, 40, *[10] * 20]
+    noise = lambda n: unit(rng.normal(size=(n, 64))) * (1 / 0.93 - 1) ** 0.5
+    parts = [unit(unit(rng.normal(size=64)) + noise(n)) for n in sizes] + [unit(rng.normal(size=(6000 - sum(sizes), 64)))]
+    points = np.concatenate(parts)
+    linked = points @ points.T >= 0.9
+    want = linked.sum(axis=1) - 1
+    data = frame(spark, [(i, p.tolist()) for i, p in enumerate(points)]).selectExpr("vec_id AS class", "embedding AS v", "1L AS n")
+    got = np.zeros(len(points), int)
+    for r in R.links(data, keep).groupBy("class").sum("others").collect():
+        got[r[0]] = r[1]
+    assert (got <= want).all()
+    bounds = np.cumsum([0, *sizes])
+    for s, e in [*zip(bounds[:4], bounds[1:5], strict=True), (bounds[4], bounds[-1])]:
+        assert got[s:e].sum() >= 0.99 * want[s:e].sum() > 0
