@@ -1,10 +1,15 @@
 """Quality rules: counts of words and lines, and divergence from a language's distribution.
 
 A document's histograms of character classes and of common words are compared with those of
-all documents of its language by Jensen-Shannon distance (square root of the divergence in
+its language by Jensen-Shannon distance (square root of the divergence in
 bits: 0 for equal, 1 for disjoint histograms). A text too short for a stable histogram is not
 judged by it. Everything is array expressions inside a row, one aggregate by language and one
 join with its few rows.
+
+:func:`quality` takes a language's sums as its reference, as the query's SQL twin does.
+:func:`accepted` takes one vote of each document that passes the base rules, so that neither a
+long text nor a source makes the reference, and rejects only what is far from all that a clean
+text could be like.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "stop": r"[.,;:!?'\"()-]", "sy
 #: (characters, distance of classes) and (common words, distance of words).
 CLASS_GUARDS = ((200, 0.32), (1000, 0.22))
 WORD_GUARD = (40, 0.85)
-#: A language with fewer documents is compared with all languages together.
+#: A language with fewer documents is compared with all languages together (in :func:`quality`).
 MIN_LANGUAGE_DOCS = 20
 #: Languages whose references are sent to every task; with more they are joined by shuffle.
 BROADCAST_LANGUAGES = 4096
@@ -105,15 +110,68 @@ def references(rows: DataFrame, lang: str) -> DataFrame:
     return own.join(F.broadcast(every)).select("ref_lang", pick("classes", "all_classes").alias("ref_classes"), pick("common", "all_common").alias("ref_common"))
 
 
-def js_distance(left: Column, right: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of counts; null if one is empty."""
-    total = lambda h: F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
+def js_distance(left: Column, right: Column, kind: str = "bigint") -> Column:
+    """Jensen-Shannon distance of two histograms of counts or shares; null if one is empty."""
+    total = lambda h: F.aggregate(h, F.lit(0).cast(kind), lambda a, x: a + x).cast("double")
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     both = lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
     summed = let(F.struct(total(left).alias("l"), total(right).alias("r")), lambda t: F.aggregate(F.zip_with(left, right, lambda a, b: both(a / t["l"], b / t["r"])), F.lit(0.0), lambda a, x: a + x))
     return F.when((total(left) > 0) & (total(right) > 0), F.sqrt(F.greatest(summed, F.lit(0.0))))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def _shares(column: str, size: int) -> list[Column]:
+    """The bins' shares of a histogram; null if it is empty."""
+    total = F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return [F.when(total > 0, F.get(F.col(column), F.lit(i)) / total).alias(f"{column}{i}") for i in range(size)]
+
+
+def _median(column: str) -> Column:
+    """The median in bounded memory; the mean of the middle two of an even number."""
+    return ((F.percentile_approx(column, 0.5) - F.percentile_approx(-F.col(column), 0.5)) / 2).alias(column)
+
+
+def voted_references(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    """(lang, ref_classes, ref_common, all_classes), of documents that pass the base rules.
+
+    A document's histogram is one vote for its source and a source's is one for its language:
+    medians of shares of character classes, means of shares of common words. ``all_classes``
+    is the median over all sources of any language.
+    """
+    classes, common = ([f"{name}{i}" for i in range(size)] for name, size in (("classes", len(CLASSES) + 2), ("common", len(COMMON_WORDS))))
+    votes = rows.where(~base_failed()).select(F.col(lang).alias("ref_lang"), F.col(source).alias("ref_source"), *_shares("classes", len(classes)), *_shares("common", len(common)))
+    middle = lambda names: [_median(c) for c in names]
+    mean = lambda names: [F.avg(c).alias(c) for c in names]
+    by_source = votes.groupBy("ref_lang", "ref_source").agg(*middle(classes), *mean(common))
+    own = by_source.groupBy("ref_lang").agg(*middle(classes), *mean(common))
+    every = by_source.agg(*middle(classes)).select(F.array(*classes).alias("all_classes"))
+    # one row beside one row per language
+    filled = lambda names: F.array(*[F.coalesce(c, F.lit(0.0)) for c in names])
+    return own.select("ref_lang", filled(classes).alias("ref_classes"), filled(common).alias("ref_common")).join(F.broadcast(every))
+
+
+def _far_from_all(rows: DataFrame, lang: str) -> DataFrame:
+    """Measured rows with ``kept``, by voted references.
+
+    Classes are compared with those of the language and of all sources, whichever is nearer;
+    words with those of the language. No number of documents changes the rule.
+    """
+    refs = voted_references(rows, lang, "_source")
+    few = refs.select("ref_lang").limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    joined = rows.join(F.broadcast(refs) if few else refs, rows[lang].eqNullSafe(refs["ref_lang"]), "left")
+    real = lambda name: F.transform(name, lambda x: x.cast("double"))
+    nearest = lambda name, refs_: F.coalesce(F.least(*[js_distance(real(name), r, "double") for r in refs_]), F.lit(0.0))
+    common = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    found = joined.withColumn("class_distance", nearest("classes", [F.col("ref_classes"), F.col("all_classes")]))
+    far = (common >= WORD_GUARD[0]) & (nearest("common", [F.col("ref_common")]) > WORD_GUARD[1])
+    for chars, distance in CLASS_GUARDS:
+        far = far | (F.col("_chars") >= chars) & (F.col("class_distance") > distance)
+    return found.withColumn("kept", ~base_failed() & ~far)
+
+
 def judged(rows: DataFrame, lang: str = "lang") -> DataFrame:
     """Measured rows with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``."""
     refs = references(rows, lang)
@@ -124,7 +182,7 @@ def judged(rows: DataFrame, lang: str = "lang") -> DataFrame:
         {
             "class_distance": js_distance(F.col("classes"), F.col("ref_classes")),
             "word_distance": js_distance(F.col("common"), F.col("ref_common")),
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
+            "base_failed": base_failed(),
         }
     )
     far = (common >= WORD_GUARD[0]) & (F.coalesce("word_distance", F.lit(0.0)) > WORD_GUARD[1])
@@ -144,8 +202,8 @@ def quality(docs: DataFrame, keep: Keep, text: str = "text", lang: str = "lang")
     return judged(keep(measured(docs.drop(*[c for c in made if c in docs.columns]), text).drop(*[text]), "measured"), lang)
 
 
-def accepted(docs: DataFrame, keep: Keep, text: str = "text", lang: str = "lang") -> DataFrame:
+def accepted(docs: DataFrame, keep: Keep, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with exactly their columns: texts are kept beside the counts."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.col(source) if source in docs.columns else F.lit(None).cast("string")).alias("_source"))
     rows = keep(measured(packed).drop("text"), "measured")
-    return judged(rows).where("kept").select("_doc.*")
+    return _far_from_all(rows, "lang").where("kept").select("_doc.*")

@@ -158,5 +158,15 @@ def test_far_from_its_language_is_rejected(docs, keep):
     assert set(got) == set(range(30)) and set(got.values()) == {"own"}
 
 
+@pytest.mark.parametrize("n_sources", [1, 2, 4])
+def test_junk_of_a_hot_source_does_not_make_the_reference(docs, keep, n_sources):
+    """A third of the rows and one very long text are digits; they go and clean texts stay."""
+    clean = [(i, " ".join(f"the word{i}x{k} of thing{k} is" for k in range(60)), "en", f"s{i % n_sources}") for i in range(60)]
+    digits = lambda i, n: " ".join(f"{k * 7919 + i:012d}" for k in range(n))
+    junk = [(100 + i, digits(i, 300), "en", "s0" if n_sources == 1 else "hot") for i in range(30)] + [(200, digits(1, 20_000), "en", "s0")]
+    got = {r.doc_id for r in rules.accepted(docs([*clean, *junk]), keep).collect()}
+    assert got == {r[0] for r in clean}
+
+
 def test_no_documents_no_verdicts(docs, keep):
     assert rules.quality(docs([]), keep).collect() == [] and rules.accepted(docs([]), keep).collect() == []
