@@ -157,16 +157,18 @@ def _far_from_all(rows: DataFrame, lang: str) -> DataFrame:
     """Measured rows with ``kept``, by voted references.
 
     Classes are compared with those of the language and of all sources, whichever is nearer;
-    words with those of the language. No number of documents changes the rule.
+    words with those of the language and the listed words of English, German, French and
+    Spanish. No number of documents changes the rule.
     """
     refs = voted_references(rows, lang, "_source")
     few = refs.select("ref_lang").limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     joined = rows.join(F.broadcast(refs) if few else refs, rows[lang].eqNullSafe(refs["ref_lang"]), "left")
     real = lambda name: F.transform(name, lambda x: x.cast("double"))
+    listed = [F.array(*[F.lit(float(i // 10 == k)) for i in range(len(COMMON_WORDS))]) for k in range(len(COMMON_WORDS) // 10)]
     nearest = lambda name, refs_: F.coalesce(F.least(*[js_distance(real(name), r, "double") for r in refs_]), F.lit(0.0))
     common = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
     found = joined.withColumn("class_distance", nearest("classes", [F.col("ref_classes"), F.col("all_classes")]))
-    far = (common >= WORD_GUARD[0]) & (nearest("common", [F.col("ref_common")]) > WORD_GUARD[1])
+    far = (common >= WORD_GUARD[0]) & (nearest("common", [F.col("ref_common"), *listed]) > WORD_GUARD[1])
     for chars, distance in CLASS_GUARDS:
         far = far | (F.col("_chars") >= chars) & (F.col("class_distance") > distance)
     return found.withColumn("kept", ~base_failed() & ~far)

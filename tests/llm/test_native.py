@@ -158,6 +158,15 @@ def test_far_from_its_language_is_rejected(docs, keep):
     assert set(got) == set(range(30)) and set(got.values()) == {"own"}
 
 
+def test_small_languages_keep_their_clean_documents(docs, keep):
+    """Few documents of a language among many of another, long and with many common words."""
+    text = lambda i, words: " ".join(f"{w} name{i}x{k} of{k}" for k, w in enumerate(words * 8))
+    english, spanish = list(rules.COMMON_WORDS[:10]), list(rules.COMMON_WORDS[30:])
+    rows = [(i, text(i, english), "en", f"s{i % 3}") for i in range(60)] + [(100 + i, text(i, spanish), ("es", None)[i % 2], "s0") for i in range(8)]
+    got = {r.doc_id for r in rules.accepted(docs(rows), keep).collect()}
+    assert got == {r[0] for r in rows}
+
+
 @pytest.mark.parametrize("n_sources", [1, 2, 4])
 def test_junk_of_a_hot_source_does_not_make_the_reference(docs, keep, n_sources):
     """A third of the rows and one very long text are digits; they go and clean texts stay."""
