@@ -132,6 +132,34 @@ VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
   SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
 
+def _clusters() -> str:
+    """Three rounds and a last assignment, each over all pairs of vector and centroid."""
+    steps = []
+    for i in range(4):
+        steps.append(f"""a{i} AS (SELECT rid, min((d, k)) AS best FROM (SELECT v.rid, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{i} c) GROUP BY rid)""")
+        if i < 3:
+            steps.append(f"""s{i} AS (SELECT k, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT best[2] AS k, unnest(e) AS x, generate_subscripts(e, 1) AS place FROM a{i} JOIN v USING (rid)) GROUP BY k, place),
+      m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY place) AS e FROM s{i} GROUP BY k),
+      c{i + 1} AS (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (k))""")
+    return f"""WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS k, e FROM v QUALIFY k < 16), {', '.join(steps)},
+      f AS (SELECT v.vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance FROM a3 JOIN v USING (rid)),
+      h AS (SELECT k, sha256(array_to_string(e, ',')) AS centroid_sha256 FROM c3)
+      SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM f JOIN h ON k = cluster"""
+
+
+LEAKS = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+  p AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+  h AS (SELECT rid, item_id, n, i FROM p JOIN g USING (n, gram)),
+  c AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS x FROM h) GROUP BY rid),
+  t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+  SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_secret_owners": _secrets(),
@@ -140,4 +168,6 @@ def all_sql() -> dict[str, str]:
         "op7_divergence": _rules(),
         "op8_line_neighbours": LINES,
         "op9_forest": VECTORS,
+        "op11_equal_average": _clusters(),
+        "op13_wu_manber": LEAKS,
     }

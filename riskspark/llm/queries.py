@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, chat, factors, forest, lines, mixing, oracles, rules, secrets, simhash, toxicity
+from riskspark.llm import bpe, centroids, chat, decontamination, factors, forest, lines, mixing, oracles, rules, secrets, simhash, spelling, toxicity
 from riskspark.llm.common import keeping, small_batches, table
 
 
@@ -79,5 +79,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.clustered(table(spark, sf_dir, "embeddings"), keeping(spark, "op11"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_vector_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), keeping(spark, "op12"))
+
+
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    out = decontamination.contaminated(docs, items, keeping(spark, "op13"))
+    n_hit = F.aggregate(F.zip_with("hit_stop", "hit_first", lambda b, a: b - a), F.lit(0).cast("bigint"), lambda n, x: n + x)
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), digest, (F.size("hit_first") > 0).alias("contaminated"))
+
+
 ORACLES: dict[str, str] = oracles.all_sql()
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_owners, op2_simhash, op3_positive_unlabelled, op4_factorisation, op5_chat_round_trip, op6_water_filling, op7_divergence, op8_line_neighbours, op9_forest, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_owners, op2_simhash, op3_positive_unlabelled, op4_factorisation, op5_chat_round_trip, op6_water_filling, op7_divergence, op8_line_neighbours, op9_forest, op10_byte_bpe, op11_equal_average, op12_vector_trie, op13_wu_manber)}
