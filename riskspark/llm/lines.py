@@ -260,6 +260,11 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def remaining(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without repeated lines; documents that had lines and lost all of them go."""
-    out = deduplicated(docs, keep, id_col, text)
-    return out.where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines"))).drop("n_lines", "n_dropped")
+    """``docs`` without repeated lines; documents that had lines and lost all of them go.
+
+    All columns but the text stay as they are, whatever their names.
+    """
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_doc")
+    out = deduplicated(docs.select(others, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), keep, "id", "text")
+    stays = out.where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    return stays.select(*[F.col("text").alias(c) if c == text else F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -86,11 +86,13 @@ def mix(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str = "text",
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("whole", "part", "size", "source_size")})
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The rows of the mix: each document as often as it is taken, in whole texts.
+def repeated(docs: DataFrame, keep: Keep, id_col: str = "doc_id", text: str = "text", source: str = "source", **options: object) -> DataFrame:
+    """The rows of the mix: each of ``docs`` as often as it is taken, in whole texts and with its own columns.
 
     The one document of a source that is taken in part counts as whole from half its words on.
     """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (text, "text"), (source, "source"))])
+    mixed = mix(packed, keep, "id", "text", "source", without=("text",), **options)
     extra = ((F.col("size") > 0) & (F.col("part") * 2 >= F.col("size"))).cast("bigint")
     times = F.array_repeat(F.lit(0), (F.col("whole") + extra).cast("int"))
-    return mixed.withColumn("_time", F.explode(times)).drop("_time", "size", "source_size", "target", "whole", "part")
+    return mixed.select("_doc", F.explode(times).alias("_time")).select("_doc.*")

@@ -78,38 +78,41 @@ def _rules() -> str:
     common = [f"w{i}" for i in range(len(rules.COMMON_WORDS))]
     counted = ", ".join(f"count(*) FILTER (w = {_q(w)}) AS w{i}" for i, w in enumerate(rules.COMMON_WORDS))
 
-    def distance(bins: list[str]) -> str:
-        own, ref = "(" + " + ".join(bins) + ")", "(" + " + ".join(f"r.{b}" for b in bins) + ")"
-        share = lambda b, total: f"(CAST({b} AS DOUBLE) / {total})"
+    def distance(bins: list[str], refs: list[str]) -> str:
+        own, ref = "(" + " + ".join(bins) + ")", "(" + " + ".join(refs) + ")"
         terms = []
-        for b in bins:
-            p, q = share(b, own), share(f"r.{b}", ref)
+        for b, r in zip(bins, refs, strict=True):
+            p, q = f"(CAST({b} AS DOUBLE) / {own})", f"(CAST({r} AS DOUBLE) / {ref})"
             m = f"(({p} + {q}) / 2)"
             terms.append(f"((CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0 END) / 2)")
-        return f"CASE WHEN {own} > 0 AND {ref} > 0 THEN sqrt(greatest({' + '.join(terms)}, 0)) ELSE 0 END"
-
-    every = ", ".join(f"sum({b}) AS {b}" for b in names + common)
-    picked = ", ".join(f"CASE WHEN l.n < {rules.MIN_LANGUAGE_DOCS} THEN a.{b} ELSE l.{b} END AS {b}" for b in names + common)
-    far = [f"(chars >= {n} AND class_distance > {x})" for n, x in rules.CLASS_GUARDS] + [f"(n_common >= {rules.WORD_GUARD[0]} AND word_distance > {rules.WORD_GUARD[1]})"]
-    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+        return f"CASE WHEN {own} > 0 AND {ref} > 0 THEN sqrt(greatest({' + '.join(terms)}, 0)) END"
+
+    named = lambda a, bins: [f"{a}.{b}" for b in bins]
+    votes = ", ".join([f"{b} * 4096 // nullif(chars, 0) AS {b}" for b in names] + [f"{b} * 1048576 // nullif(n_common, 0) AS {b}" for b in common])
+    middle = ", ".join(f"quantile_cont({b}, 0.5) AS {b}" for b in names)
+    by_source = ", ".join(f"floor(sum({b}) / count({b})) AS {b}" for b in common)
+    by_lang = ", ".join(f"coalesce(CAST(sum({b}) AS DOUBLE) / count({b}), 0) AS {b}" for b in common)
+    class_distance = f"coalesce(least({distance(named('h', names), named('r', names))}, {distance(named('h', names), named('a', names))}), 0)"
+    listed = [distance(named("h", common), [str(int(i // 10 == k)) for i in range(len(common))]) for k in range(4)]
+    word_distance = f"coalesce(least({distance(named('h', common), named('r', common))}, {', '.join(listed)}), 0)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
       words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '{WORD}') AS ws FROM d)),
       win AS (SELECT rid, i, w || ' ' || lead(w, 1) OVER x || ' ' || lead(w, 2) OVER x AS g FROM words WINDOW x AS (PARTITION BY rid ORDER BY i)),
       rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM
         (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win WHERE g IS NOT NULL) WHERE n > 1) GROUP BY 1),
       wc AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars, {counted} FROM words GROUP BY 1),
-      m AS (SELECT rid, doc_id, lang, length(t) AS chars, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+      m AS (SELECT rid, doc_id, lang, source, length(t) AS chars, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
         {without('[#*$%&|<>]')} AS n_symbols, coalesce(n_repeat_words, 0) AS n_repeat_words,
         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS n_dup_lines,
         {', '.join(f'{c} AS c{i}' for i, c in enumerate(classes))}, {', '.join(f'coalesce({w}, 0) AS {w}' for w in common)}
         FROM d LEFT JOIN wc USING (rid) LEFT JOIN rep USING (rid)),
-      h AS (SELECT *, word_chars - ({' + '.join(names[:-2])}) AS c_letters, chars - word_chars AS c_space, {' + '.join(common)} AS n_common FROM m),
-      l AS (SELECT lang, count(*) AS n, {every} FROM h GROUP BY lang), a AS (SELECT {every} FROM h),
-      r AS (SELECT l.lang, {picked} FROM l CROSS JOIN a),
-      j AS (SELECT h.doc_id, h.n_words, h.word_chars, h.n_symbols, h.n_dup_lines, h.n_repeat_words, h.chars, h.n_common,
-        n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-        {distance([f'h.{b}' for b in names]).replace('r.h.', 'r.')} AS class_distance, {distance([f'h.{b}' for b in common]).replace('r.h.', 'r.')} AS word_distance
-        FROM h JOIN r ON h.lang IS NOT DISTINCT FROM r.lang)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(far)}) AS kept FROM j"""
+      h AS (SELECT *, word_chars - ({' + '.join(names[:-2])}) AS c_letters, chars - word_chars AS c_space, {' + '.join(common)} AS n_common,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+      b AS (SELECT lang, source, {middle}, {by_source} FROM (SELECT lang, source, {votes} FROM h WHERE NOT base_failed) GROUP BY lang, source),
+      r AS (SELECT lang, {middle}, {by_lang} FROM b GROUP BY lang), a AS (SELECT {middle} FROM b),
+      j AS (SELECT h.*, {class_distance} AS class_distance, {word_distance} AS word_distance FROM h LEFT JOIN r ON h.lang IS NOT DISTINCT FROM r.lang CROSS JOIN a)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT
+        ((chars >= 200 AND class_distance > 0.32) OR (chars >= 1000 AND class_distance > 0.22) OR (n_common >= 40 AND word_distance > 0.85)) AS kept FROM j"""
 
 
 # edit distance by shared ends, as levenshtein() there counts bytes

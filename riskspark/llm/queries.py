@@ -54,7 +54,7 @@ def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = rules.quality(docs, keeping(spark, "op7"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

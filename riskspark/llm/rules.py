@@ -3,13 +3,12 @@
 A document's histograms of character classes and of common words are compared with those of
 its language by Jensen-Shannon distance (square root of the divergence in
 bits: 0 for equal, 1 for disjoint histograms). A text too short for a stable histogram is not
-judged by it. Everything is array expressions inside a row, one aggregate by language and one
-join with its few rows.
+judged by it. Everything is array expressions inside a row, two small aggregates and one
+join with one row per language.
 
-:func:`quality` takes a language's sums as its reference, as the query's SQL twin does.
-:func:`accepted` takes one vote of each document that passes the base rules, so that neither a
-long text nor a source makes the reference, and rejects only what is far from all that a clean
-text could be like.
+A reference is made of votes: of each document that passes the base rules, averaged by source and
+then by language, so that neither a long text nor a source makes it. A text is rejected only if it
+is far from all that a clean text could be like. Votes are whole numbers, so verdicts don't depend on how the rows are dealt.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "stop": r"[.,;:!?'\"()-]", "sy
 #: (characters, distance of classes) and (common words, distance of words).
 CLASS_GUARDS = ((200, 0.32), (1000, 0.22))
 WORD_GUARD = (40, 0.85)
-#: A language with fewer documents is compared with all languages together (in :func:`quality`).
-MIN_LANGUAGE_DOCS = 20
+#: Parts into which a vote divides a histogram: of classes (few, as medians hold each value that occurs) and of words.
+CLASS_PARTS, WORD_PARTS = 4096, 1 << 20
 #: Languages whose references are sent to every task; with more they are joined by shuffle.
 BROADCAST_LANGUAGES = 4096
 
@@ -92,24 +91,6 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("classes", classes).drop("_classes")
 
 
-def _sums(column: str, size: int) -> Column:
-    return F.array(*[F.sum(F.get(F.col(column), F.lit(i))) for i in range(size)]).alias(column)
-
-
-def references(rows: DataFrame, lang: str) -> DataFrame:
-    """(lang, ref_classes, ref_common): histograms of all documents of a language.
-
-    Languages with few documents get those of all languages.
-    """
-    bins = len(CLASSES) + 2
-    own = rows.groupBy(F.col(lang).alias("ref_lang")).agg(F.count("*").alias("n"), _sums("classes", bins), _sums("common", len(COMMON_WORDS)))
-    every = own.agg(_sums("classes", bins).alias("all_classes"), _sums("common", len(COMMON_WORDS)).alias("all_common"))
-    few = F.col("n") < MIN_LANGUAGE_DOCS
-    pick = lambda own_, all_: F.when(few, F.col(all_)).otherwise(F.col(own_))
-    # one row beside one row per language
-    return own.join(F.broadcast(every)).select("ref_lang", pick("classes", "all_classes").alias("ref_classes"), pick("common", "all_common").alias("ref_common"))
-
-
 def js_distance(left: Column, right: Column, kind: str = "bigint") -> Column:
     """Jensen-Shannon distance of two histograms of counts or shares; null if one is empty."""
     total = lambda h: F.aggregate(h, F.lit(0).cast(kind), lambda a, x: a + x).cast("double")
@@ -123,44 +104,38 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _shares(column: str, size: int) -> list[Column]:
-    """The bins' shares of a histogram; null if it is empty."""
+def _votes(column: str, size: int, parts: int) -> list[Column]:
+    """The bins' shares of a histogram in whole parts; null if it is empty."""
     total = F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return [F.when(total > 0, F.get(F.col(column), F.lit(i)) / total).alias(f"{column}{i}") for i in range(size)]
-
-
-def _median(column: str) -> Column:
-    """The median in bounded memory; the mean of the middle two of an even number."""
-    return ((F.percentile_approx(column, 0.5) - F.percentile_approx(-F.col(column), 0.5)) / 2).alias(column)
+    return [F.when(total > 0, F.floor(F.get(F.col(column), F.lit(i)) * parts / total)).alias(f"{column}{i}") for i in range(size)]
 
 
 def voted_references(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """(lang, ref_classes, ref_common, all_classes), of documents that pass the base rules.
 
     A document's histogram is one vote for its source and a source's is one for its language:
-    medians of shares of character classes, means of shares of common words. ``all_classes``
-    is the median over all sources of any language.
+    medians of parts of character classes (exact: a median holds at most the parts that occur),
+    means of parts of common words. ``all_classes`` is the median over all sources of any language.
     """
     classes, common = ([f"{name}{i}" for i in range(size)] for name, size in (("classes", len(CLASSES) + 2), ("common", len(COMMON_WORDS))))
-    votes = rows.where(~base_failed()).select(F.col(lang).alias("ref_lang"), F.col(source).alias("ref_source"), *_shares("classes", len(classes)), *_shares("common", len(common)))
-    middle = lambda names: [_median(c) for c in names]
-    mean = lambda names: [F.avg(c).alias(c) for c in names]
-    by_source = votes.groupBy("ref_lang", "ref_source").agg(*middle(classes), *mean(common))
-    own = by_source.groupBy("ref_lang").agg(*middle(classes), *mean(common))
-    every = by_source.agg(*middle(classes)).select(F.array(*classes).alias("all_classes"))
+    votes = rows.where(~base_failed()).select(F.col(lang).alias("ref_lang"), F.col(source).alias("ref_source"), *_votes("classes", len(classes), CLASS_PARTS), *_votes("common", len(common), WORD_PARTS))
+    middle = [F.percentile(c, F.lit(0.5)).alias(c) for c in classes]
+    by_source = votes.groupBy("ref_lang", "ref_source").agg(*middle, *[F.floor(F.sum(c) / F.count(c)).alias(c) for c in common])
+    own = by_source.groupBy("ref_lang").agg(*middle, *[(F.sum(c) / F.count(c)).alias(c) for c in common])
+    every = by_source.agg(*middle).select(F.array(*classes).alias("all_classes"))
     # one row beside one row per language
     filled = lambda names: F.array(*[F.coalesce(c, F.lit(0.0)) for c in names])
     return own.select("ref_lang", filled(classes).alias("ref_classes"), filled(common).alias("ref_common")).join(F.broadcast(every))
 
 
-def _far_from_all(rows: DataFrame, lang: str) -> DataFrame:
-    """Measured rows with ``kept``, by voted references.
+def judged(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    """Measured rows with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``, by voted references.
 
     Classes are compared with those of the language and of all sources, whichever is nearer;
     words with those of the language and the listed words of English, German, French and
     Spanish. No number of documents changes the rule.
     """
-    refs = voted_references(rows, lang, "_source")
+    refs = voted_references(rows, lang, source)
     few = refs.select("ref_lang").limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     joined = rows.join(F.broadcast(refs) if few else refs, rows[lang].eqNullSafe(refs["ref_lang"]), "left")
     real = lambda name: F.transform(name, lambda x: x.cast("double"))
@@ -168,44 +143,37 @@ def _far_from_all(rows: DataFrame, lang: str) -> DataFrame:
     nearest = lambda name, refs_: F.coalesce(F.least(*[js_distance(real(name), r, "double") for r in refs_]), F.lit(0.0))
     common = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
     found = joined.withColumn("class_distance", nearest("classes", [F.col("ref_classes"), F.col("all_classes")]))
-    far = (common >= WORD_GUARD[0]) & (nearest("common", [F.col("ref_common"), *listed]) > WORD_GUARD[1])
+    found = found.withColumn("word_distance", nearest("common", [F.col("ref_common"), *listed]))
+    far = (common >= WORD_GUARD[0]) & (F.col("word_distance") > WORD_GUARD[1])
     for chars, distance in CLASS_GUARDS:
         far = far | (F.col("_chars") >= chars) & (F.col("class_distance") > distance)
-    return found.withColumn("kept", ~base_failed() & ~far)
+    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def judged(rows: DataFrame, lang: str = "lang") -> DataFrame:
-    """Measured rows with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``."""
-    refs = references(rows, lang)
-    few = refs.select("ref_lang").limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    joined = rows.join(F.broadcast(refs) if few else refs, rows[lang].eqNullSafe(refs["ref_lang"])).drop("ref_lang")
-    common = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    out = joined.withColumns(
-        {
-            "class_distance": js_distance(F.col("classes"), F.col("ref_classes")),
-            "word_distance": js_distance(F.col("common"), F.col("ref_common")),
-            "base_failed": base_failed(),
-        }
-    )
-    far = (common >= WORD_GUARD[0]) & (F.coalesce("word_distance", F.lit(0.0)) > WORD_GUARD[1])
-    for chars, distance in CLASS_GUARDS:
-        far = far | (F.col("_chars") >= chars) & (F.coalesce("class_distance", F.lit(0.0)) > distance)
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_classes", "ref_common", "_chars")
+#: Columns that the verdict adds.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+
+
+def _packed(docs: DataFrame, carried: list[str], text: str, lang: str, source: str) -> DataFrame:
+    """Columns to carry in one struct, beside text, language and source."""
+    other = lambda c: F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("_doc"), F.col(f"`{text}`").alias("text"), other(lang).alias("_lang"), other(source).alias("_source"))
 
 
-def quality(docs: DataFrame, keep: Keep, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` (without the text unless it is to be kept by the caller) with counts and verdicts.
+def quality(docs: DataFrame, keep: Keep, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``docs`` without the text, with counts, distances and verdicts.
 
     Null texts count as empty: no words, so the base rules reject them. A null language is a
-    language. Equal rows are judged alike and stay separate. Without documents the result is
-    empty. Columns of ``docs`` that clash with a count are replaced.
+    language and a null source a source; so is a missing column. Equal rows are judged alike and
+    stay separate. Without documents the result is empty. Columns of ``docs`` that have the
+    name of one that is added are replaced; all others stay.
     """
-    made = ("class_distance", "word_distance", "base_failed", "kept", "common", "classes", "_chars", "_words")
-    return judged(keep(measured(docs.drop(*[c for c in made if c in docs.columns]), text).drop(*[text]), "measured"), lang)
+    carried = [c for c in docs.columns if c != text and c not in MADE]
+    rows = keep(measured(_packed(docs, carried, text, lang, source)).drop("text"), "measured")
+    return judged(rows, "_lang", "_source").select(*[F.col(f"_doc.`{c}`") for c in carried], *MADE)
 
 
 def accepted(docs: DataFrame, keep: Keep, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with exactly their columns: texts are kept beside the counts."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.col(source) if source in docs.columns else F.lit(None).cast("string")).alias("_source"))
-    rows = keep(measured(packed).drop("text"), "measured")
-    return _far_from_all(rows, "lang").where("kept").select("_doc.*")
+    rows = keep(measured(_packed(docs, docs.columns, text, lang, source)).drop("text"), "measured")
+    return judged(rows, "_lang", "_source").where("kept").select(*[F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -115,8 +115,8 @@ def test_targets_equal_the_loop(spark, docs, keep, sizes):
 
 def test_mix_repeats_whole_texts(docs, keep):
     rows = [(i, f"text number {i} here", "en", "ab"[i % 2]) for i in range(40)]
-    got = mixing.repeated(mixing.mix(docs(rows, whole="clash"), keep)).collect()
-    assert {r.text for r in got} <= {t for _, t, *_ in rows} and len(got) == 60
+    got = mixing.repeated(docs(rows, whole="clash"), keep).collect()
+    assert {r.text for r in got} <= {t for _, t, *_ in rows} and len(got) == 60 and {r.whole for r in got} == {"clash"}
     assert mixing.mix(docs([]), keep).collect() == []
 
 
@@ -177,5 +177,16 @@ def test_junk_of_a_hot_source_does_not_make_the_reference(docs, keep, n_sources)
     assert got == {r[0] for r in clean}
 
 
+def test_verdicts_do_not_depend_on_partitions_or_columns(spark, keep):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = lambda df: sorted((r.doc_id, r.kept, r.class_distance, r.word_distance) for r in rules.quality(df, keep).collect())
+    want = found(rows)
+    assert found(rows.repartition(7)) == want and found(rows.orderBy("text").coalesce(1)) == want
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    verdicts = rules.quality(rows.withColumn("common", F.lit(1)).withColumn("_chars", F.lit(2)).withColumn("_words", F.lit(3)), keep).collect()
+    assert all((r.common, r._chars, r._words) == (1, 2, 3) for r in verdicts)
+    assert not [r.doc_id for r in verdicts if labels.get(r.doc_id) == 1 and not r.base_failed and not r.kept]
+
+
 def test_no_documents_no_verdicts(docs, keep):
     assert rules.quality(docs([]), keep).collect() == [] and rules.accepted(docs([]), keep).collect() == []

@@ -95,11 +95,3 @@ def test_blocks_of_a_crowd_lose_no_link(spark, keep, monkeypatch):
 
 def test_empty_table(docs, keep):
     assert S.near_duplicates(docs([]), keep).collect() == []
-    assert S.one_of_each(docs([]), keep).collect() == []
-
-
-def test_one_of_each_keeps_the_smallest_id(docs, keep):
-    rows = [(7, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (9, None), (8, ""), (1, "quite another text than that")]
-    got = S.one_of_each(docs(rows, rank=1, fp=2), keep).collect()
-    assert order((r.doc_id, r.text) for r in got) == order([(3, "a b c d e"), (8, ""), (1, "quite another text than that")])
-    assert got[0].rank == 1
