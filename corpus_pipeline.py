@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, lines, mixing, rules, simhash
+from riskspark.llm import bpe, lines, mixing, near_copies, rules
 from riskspark.llm.common import Keep, keeping, small_batches, table
 from riskspark.session import run_dir
 
@@ -47,13 +47,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints are linked: that of the smallest id."""
-    return simhash.one_of_each(docs, _keeping(spark, "near"))
+    """One document of each group of texts with a similarity of 0.8 or more in five-word shingles: that of the smallest id."""
+    return near_copies.one_of_each(docs, _keeping(spark, "near"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeated(mixing.mix(docs, _keeping(spark, "mix"))).select(docs.columns)
+    return mixing.repeated(docs, _keeping(spark, "mix"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
