@@ -4,37 +4,43 @@ Identical texts are indexed once: a corpus row points to ``text_id``, the smalle
 document key among its copies, and counts of copies keep document frequencies right.
 Identical query texts are searched once for the same reason.
 
-Search is exact. Terms with long posting lists ("heavy" terms) carry little weight, so a
-query first scores its light terms. If its k-th best light score already beats anything
-the heavy terms alone could give, only documents that can still reach the top k have
-their heavy terms looked up; otherwise the query reads the heavy lists too.
+The index is stored in blocks of documents (:mod:`blocks`), each with its terms' postings and
+largest weights. A search reads the blocks where they lie: queries go to them in passes of
+bounded size, a block is passed over by all queries whose k-th score it cannot reach, and
+of each task only k rows for each query are shuffled. That is exact at every size.
+
+Terms are known by a hash of 64 bits; texts of documents and queries travel no further than to their terms.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from riskspark.functions.text import ngrams
+from riskspark.operators.blocks import best_of_pass, packed
+from riskspark.session import keeper
 from riskspark.sources import fixed_values as fv
 
-#: Posting lists longer than this are read only by queries that need them.
-HEAVY_POSTINGS = 20_000
-#: Scores are ordered to this many decimals, so ties do not depend on summation order.
-ORDER_DECIMALS = 9
-_MARGIN = 1e-8
+#: Postings that one task of a search goes through, about.
+TASK_POSTINGS = 1_000_000
+#: Terms of the queries of one pass, at least and at most: 16 bytes each in every task.
+LEAST_PASS, LARGEST_PASS = 1 << 14, 1 << 20
+#: Passes that run in one job, before their results are written.
+PASSES_TOGETHER = 16
 
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    """terms(term, df, idf, n_postings, max_weight), postings(term, text_id, weight, df),
-    docs(doc, text_id)."""
+    """terms(term, h, df, idf, n_postings, max_weight), blocks (see :mod:`blocks`),
+    docs(doc, text_id, copy): copies of a text are numbered in the order of their keys."""
 
     terms: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     docs: DataFrame
 
 
@@ -48,6 +54,15 @@ def _lazy(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def _vectors(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, terms, weights) of rows (keys…, h, raw): terms in order, weights of length one."""
+    grouped = weighted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "raw"))).alias("pairs"))
+    norm = F.sqrt(F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x["raw"] * x["raw"]))
+    # bound to a lambda variable, so that it is computed once for an array
+    weights = F.get(F.transform(F.array(norm), lambda n: F.transform("pairs", lambda x: x["raw"] / n)), F.lit(0))
+    return grouped.select(*keys, F.col("pairs.h").alias("terms"), weights.alias("weights"))
+
+
 def build_index(corpus: DataFrame, doc: str = "icd10", text: str = "description", keep=_lazy) -> TfidfIndex:
     """The index of a corpus. ``keep(df, name)`` may write a step and read it back, so
     that the steps after it do not compute it again."""
@@ -57,28 +72,24 @@ def build_index(corpus: DataFrame, doc: str = "icd10", text: str = "description"
     texts = rows.groupBy("text_hash").agg(
         F.min("doc").alias("text_id"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
-    counts = keep(term_counts(texts, ["text_hash", "text_id", "copies"], "text"), "counts")
+    counts = keep(term_counts(texts, ["text_hash", "text_id", "copies"], "text").withColumn("h", F.xxhash64("term")), "counts")
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1
-    frequency = keep(counts.groupBy("term").agg(F.sum("copies").alias("df")), "frequency")
-    by_text = Window.partitionBy("text_id")
-    postings = keep(
-        counts.join(frequency, "term")
-        .select("term", "text_id", "df", ((1 + F.log("tf")) * idf).alias("raw"))
-        .withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(by_text)))
-        .select("term", "text_id", "weight", "df"),
-        "postings",
-    )
-    # every posting carries its term's frequency, so the term table needs no second join
-    terms = keep(
-        postings.groupBy("term")
-        .agg(F.max("df").alias("df"), F.count(F.lit(1)).alias("n_postings"), F.max("weight").alias("max_weight"))
-        .select("term", "df", idf.alias("idf"), "n_postings", "max_weight"),
-        "terms",
-    )
+    frequency = keep(counts.groupBy("h", "term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n_postings")), "frequency")
+    weighted = counts.select("h", "text_id", "tf").join(frequency.select("h", "df"), "h").select("text_id", "h", ((1 + F.log("tf")) * idf).alias("raw"))
+    vectors = keep(_vectors(weighted, ["text_id"]), "vectors")
+    # documents with the same heaviest term stand together
+    lead = F.element_at("terms", F.array_position("weights", F.array_max("weights")).cast("int"))
+    size = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+    placed = vectors.withColumn("lead", F.when(F.size("terms") > 0, lead)).repartitionByRange(1 + size // TASK_POSTINGS, "lead", "text_id")
+    blocks = keep(packed(placed.sortWithinPartitions("lead", "text_id")), "blocks")
+    # a block has the largest weights of its terms, so postings needn't be listed again
+    top = blocks.select(F.explode(F.arrays_zip("terms", "tops")).alias("p")).groupBy(F.col("p.terms").alias("h")).agg(F.max("p.tops").alias("max_weight"))
+    terms = keep(frequency.join(top, "h").select("term", "h", "df", idf.alias("idf"), "n_postings", "max_weight"), "terms")
+    copies = Window.partitionBy("text_id").orderBy("doc")
     pointers = texts.select("text_hash", "text_id")
-    docs = keep(rows.select("doc", "text_hash").join(pointers, "text_hash").select("doc", "text_id"), "docs")
-    return TfidfIndex(terms, postings, docs)
+    docs = rows.select("doc", "text_hash").join(pointers, "text_hash").select("doc", "text_id", F.row_number().over(copies).alias("copy"))
+    return TfidfIndex(terms, blocks, keep(docs, "docs"))
 
 
 def corpus_fingerprint(corpus: DataFrame, doc: str, text: str) -> str:
@@ -91,133 +102,111 @@ def corpus_fingerprint(corpus: DataFrame, doc: str, text: str) -> str:
     return f"{row.n}_{row.h1}_{row.h2}".replace("-", "m")
 
 
+def source_version(corpus: DataFrame, doc: str, text: str) -> str | None:
+    """Names, sizes and times of the files that a corpus is read from, with its plan; None without files."""
+    files = corpus.inputFiles()
+    if not files:
+        return None
+    path = corpus.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = corpus.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for f in sorted(files):
+        status = path(f).getFileSystem(conf).getFileStatus(path(f))
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join([doc, text, str(corpus.schema), str(corpus.semanticHash()), *seen]).encode()).hexdigest()
+
+
 def _read_index(spark, path: str) -> TfidfIndex:
-    return TfidfIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("terms", "postings", "docs")))
+    return TfidfIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("terms", "blocks", "docs")))
+
+
+def _there(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def stored_index(corpus: DataFrame, path: str, doc: str = "icd10", text: str = "description") -> TfidfIndex:
     """The index kept under ``path`` for exactly this corpus; built when there is none.
 
     Each content has its own folder and a marker written last, so a build that was cut
-    short is never taken for a finished one.
+    short is never taken for a finished one. The content is hashed once for each version of
+    the source files; as long as they stand, a further search reads nothing of the corpus.
     """
-    spark = corpus.sparkSession
-    folder = f"{path.rstrip('/')}/{corpus_fingerprint(corpus, doc, text)}"
-    try:
-        spark.read.parquet(f"{folder}/complete")
-        return _read_index(spark, folder)
-    except AnalysisException:
-        pass
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    build_index(corpus, doc, text, keep)
-    spark.range(1).write.mode("overwrite").parquet(f"{folder}/complete")
+    spark, root = corpus.sparkSession, path.rstrip("/")
+    version = source_version(corpus, doc, text)
+    known = _there(spark, f"{root}/versions/{version}") if version else None
+    content = known.first().content if known is not None else corpus_fingerprint(corpus, doc, text)
+    folder = f"{root}/{content}"
+    if _there(spark, f"{folder}/complete") is None:
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        build_index(corpus, doc, text, keep)
+        spark.range(1).write.mode("overwrite").parquet(f"{folder}/complete")
+    if version and known is None:
+        spark.createDataFrame([(content,)], "content string").write.mode("overwrite").parquet(f"{root}/versions/{version}")
     return _read_index(spark, folder)
 
 
-def query_weights(texts: DataFrame, index: TfidfIndex) -> DataFrame:
-    """Normalised weights of the known terms: (query_text, term, weight, n_postings, bound)."""
-    counts = term_counts(texts.select("query_text"), ["query_text"], "query_text")
-    by_query = Window.partitionBy("query_text")
-    return (
-        counts.join(index.terms, "term")
-        .withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-        .withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(by_query)))
-        .select("query_text", "term", "weight", "n_postings", (F.col("weight") * F.col("max_weight")).alias("bound"))
-    )
-
-
-def _partial_scores(weights: DataFrame, index: TfidfIndex) -> DataFrame:
-    """(query_text, text_id, part): products over shared terms."""
-    lists = index.postings.selectExpr("term", "text_id", "weight AS doc_weight")
-    return weights.join(lists, "term").select(
-        "query_text", "text_id", (F.col("weight") * F.col("doc_weight")).alias("part")
-    )
-
-
-def _sum_parts(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("query_text", "text_id").agg(F.sum("part").alias("similarity"))
-
-
-def text_scores(texts: DataFrame, index: TfidfIndex, k: int, heavy_postings: int | None) -> DataFrame:
-    """(query_text, text_id, similarity), complete for every text that can be in a top k."""
-    weights = query_weights(texts, index)
-    if heavy_postings is None:
-        return _sum_parts(_partial_scores(weights, index))
-    is_heavy = F.col("n_postings") > heavy_postings
-    heavy = weights.where(is_heavy)
-    light = _sum_parts(_partial_scores(weights.where(~is_heavy), index))
+def query_vectors(asked: DataFrame, index: TfidfIndex) -> DataFrame:
+    """(qh, terms, weights) of the distinct queries (qh, query_text): known terms, normalised.
 
-    best = Window.partitionBy("query_text").orderBy(F.desc("similarity"))
-    kth = (
-        light.withColumn("rn", F.row_number().over(best))
-        .where(F.col("rn") <= k)
-        .groupBy("query_text")
-        .agg(F.min("similarity").alias("kth"), F.count(F.lit(1)).alias("found"))
-        .where(F.col("found") == k)
-        .select("query_text", "kth")
-    )
-    rest = heavy.groupBy("query_text").agg(F.sum("bound").alias("rest"))
-    state = rest.join(kth, "query_text", "left").select(
-        "query_text", "rest", "kth", (F.coalesce("kth", F.lit(0.0)) > F.col("rest") + _MARGIN).alias("closed")
-    )
-    # closed queries: only texts that can still reach the k-th score, completed by lookup
-    reachable = (
-        light.join(state, "query_text", "left")
-        .where(~F.coalesce("closed", F.lit(False)) | (F.col("similarity") + F.col("rest") >= F.col("kth") - _MARGIN))
-    )
-    looked_up = (
-        reachable.where("closed")
-        .select("query_text", "text_id")
-        .join(heavy.select("query_text", "term", "weight"), "query_text")
-        .join(index.postings.selectExpr("term", "text_id", "weight AS doc_weight"), ["term", "text_id"])
-        .select("query_text", "text_id", (F.col("weight") * F.col("doc_weight")).alias("part"))
-    )
-    # open queries: the heavy lists in full
-    opened = _partial_scores(heavy.join(state.where("NOT closed").select("query_text"), "query_text", "left_semi"), index)
-    return _sum_parts(
-        reachable.select("query_text", "text_id", F.col("similarity").alias("part")).unionByName(looked_up).unionByName(opened)
-    )
-
-
-def search(
-    queries: DataFrame,
-    index: TfidfIndex,
-    k: int = fv.HITS_PER_SEARCH,
-    query_keys: list[str] | None = None,
-    query: str = "query",
-    heavy_postings: int | None = HEAVY_POSTINGS,
-) -> DataFrame:
+    A query becomes the hashes of its terms where it is read; its text isn't shuffled.
+    """
+    hashed = asked.selectExpr("qh", f"transform({ngrams('query_text')}, t -> xxhash64(t)) AS t")
+    counts = hashed.groupBy("qh").agg(F.any_value("t").alias("t")).selectExpr("qh", "explode(t) AS h").groupBy("qh", "h").agg(F.count(F.lit(1)).alias("tf"))
+    raw = counts.join(index.terms.select("h", "idf"), "h").select("qh", "h", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    return _vectors(raw, ["qh"])
+
+
+def best_texts(vectors: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
+    """(qh, text_id, similarity): the best ``k`` texts of every query, in passes over the blocks."""
+    spark = vectors.sparkSession
+    keep = keeper(spark, "search")
+    numbered = keep(vectors.withColumn("number", F.monotonically_increasing_id()), "queries")
+    total, largest = numbered.agg(F.sum(F.size("terms")), F.max(F.size("terms"))).first()
+    share = -(-(total or 0) // (2 * spark.sparkContext.defaultParallelism))
+    passes = max(1, -(-(total or 0) // min(LARGEST_PASS, max(LEAST_PASS, share, largest or 0))))
+    dealt = numbered.withColumn("turn", F.pmod(F.xxhash64("qh"), F.lit(passes)))
+    found, written = [], []
+    for i in range(passes):
+        found.append(best_of_pass(index.blocks, dealt.where(F.col("turn") == i).select("number", "terms", "weights").collect(), k))
+        if len(found) == PASSES_TOGETHER or i == passes - 1:
+            together = found[0]
+            for more in found[1:]:
+                together = together.union(more)
+            written.append(keep(together, f"found-{i}") if passes > PASSES_TOGETHER else together)
+            found = []
+    every = written[0]
+    for more in written[1:]:
+        every = every.union(more)
+    best = Window.partitionBy("number").orderBy(F.desc("similarity"), F.asc("text_id"))
+    top = every.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
+    return top.join(numbered.select("number", "qh"), "number").select("qh", "text_id", "similarity")
+
+
+def search(queries: DataFrame, index: TfidfIndex, k: int = fv.HITS_PER_SEARCH, query_keys: list[str] | None = None, query: str = "query") -> DataFrame:
     """Top ``k`` documents of every query: (query keys…, rank, doc, similarity).
 
     Ordered by similarity, then document key; only positive similarities. The reported
     similarity has three decimals.
     """
     keys = query_keys or ["query_id"]
-    asked = queries.select(*keys, F.col(query).alias("query_text"))
-    if heavy_postings is not None:
-        longest = index.terms.agg(F.max("n_postings")).first()[0]
-        if longest is None or longest <= heavy_postings:
-            heavy_postings = None
-    scores = text_scores(asked.select("query_text").distinct(), index, k, heavy_postings)
-    scores = scores.withColumn("similarity", F.round("similarity", ORDER_DECIMALS)).where("similarity > 0")
-
-    best_texts = Window.partitionBy("query_text").orderBy(F.desc("similarity"), F.asc("text_id"))
-    top_texts = scores.withColumn("rn", F.row_number().over(best_texts)).where(F.col("rn") <= k).drop("rn")
+    asked = queries.select(*keys, F.col(query).alias("query_text"), F.sha2(F.col(query), 256).alias("qh"))
+    top = best_texts(query_vectors(asked, index), index, k)
     # no more than k copies of one text can be among k hits
-    first_copies = Window.partitionBy("text_id").orderBy("doc")
-    copies = index.docs.withColumn("rn", F.row_number().over(first_copies)).where(F.col("rn") <= k).drop("rn")
-    best_docs = Window.partitionBy("query_text").orderBy(F.desc("similarity"), F.asc("doc"))
+    best_docs = Window.partitionBy("qh").orderBy(F.desc("similarity"), F.asc("doc"))
     hits = (
-        top_texts.join(copies, "text_id")
+        top.join(index.docs.where(F.col("copy") <= k), "text_id")
         .withColumn("rank", F.row_number().over(best_docs))
         .where(F.col("rank") <= k)
-        .select("query_text", "rank", "doc", F.round("similarity", 3).alias("similarity"))
+        .select("qh", "rank", "doc", F.round("similarity", 3).alias("similarity"))
     )
-    return asked.join(hits, "query_text").select(*keys, "rank", "doc", "similarity")
+    return asked.select(*keys, "qh").join(hits, "qh").select(*keys, "rank", "doc", "similarity")
 
 
 def code_corpus(descriptions: DataFrame, code_map: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from riskspark.operators import blocks
 from riskspark.operators import retrieval as R
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "the", "of", "é1", "a"]
@@ -55,11 +56,17 @@ def data(spark):
     )
 
 
-@pytest.mark.parametrize("heavy", [None, 0, 3, 15, 60])
-@pytest.mark.parametrize("k", [1, 5])
-def test_search_equals_brute_force(spark, data, heavy, k):
+@pytest.mark.parametrize("k", [1, 5, 200])
+@pytest.mark.parametrize("small", [False, True])
+def test_search_equals_brute_force(spark, data, monkeypatch, small, k):
+    """Also with many tasks, blocks of a few documents and queries in many passes."""
     corpus, queries, c, q = data
-    found = R.search(q, R.build_index(c), k, heavy_postings=heavy)
+    if small:
+        for name, value in (("TASK_POSTINGS", 150), ("LEAST_PASS", 8), ("LARGEST_PASS", 9), ("PASSES_TOGETHER", 3)):
+            monkeypatch.setattr(R, name, value)
+        for name, value in (("BLOCK_DOCS", 7), ("BLOCK_POSTINGS", 40), ("CELLS", 30)):
+            monkeypatch.setattr(blocks, name, value)
+    found = R.search(q, R.build_index(c), k)
     assert sorted(map(tuple, found.collect())) == brute(corpus, queries, k)
 
 
@@ -69,8 +76,35 @@ def test_weights_by_hand(spark):
     terms = {r.term: r for r in index.terms.collect()}
     assert terms["red"].df == 2 and terms["red"].idf == 1.0
     assert abs(terms["apple"].idf - (math.log(3 / 2) + 1)) < 1e-12
-    norms = index.postings.groupBy("text_id").agg({"weight": "count"}).count()
-    assert norms == 2 and all(abs(r.s - 1) < 1e-9 for r in index.postings.selectExpr("text_id", "weight * weight AS w").groupBy("text_id").agg({"w": "sum"}).toDF("t", "s").collect())
+    rows = index.blocks.collect()
+    weights = {}
+    for r in rows:
+        for i in range(len(r.terms)):
+            for p in range(r.starts[i], r.starts[i + 1]):
+                weights.setdefault(r.ids[r.docs[p]], []).append(r.weights[p])
+            assert r.tops[i] == max(r.weights[r.starts[i] : r.starts[i + 1]])
+    assert set(weights) == {"a", "b"} and all(abs(sum(x * x for x in w) - 1) < 1e-9 for w in weights.values())
+
+
+def test_a_further_search_reads_no_corpus_and_shuffles_no_block(spark, tmp_path):
+    """From stored files: the content is hashed once, blocks are read in place, query texts stay."""
+    path = f"{tmp_path}/corpus"
+    spark.createDataFrame([(i, f"word{i % 7} text{i} of {i % 3}") for i in range(300)], "icd10 long, description string").write.parquet(path)
+    corpus, asked = spark.read.parquet(path), spark.createDataFrame([(1, "word3 text17")], "query_id int, query string")
+    R.stored_index(corpus, f"{tmp_path}/index")
+    calls = []
+    old, R.corpus_fingerprint = R.corpus_fingerprint, lambda *a: calls.append(a)
+    try:
+        index = R.stored_index(corpus, f"{tmp_path}/index")
+    finally:
+        R.corpus_fingerprint = old
+    found = R.search(asked, index, 3)
+    assert [r.doc for r in found.collect() if r.rank == 1] == [17] and not calls
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert exchanges and not any("weights" in e or "query_text" in e for e in exchanges) and "corpus" not in plan
+    spark.createDataFrame([(1, "other words")], "icd10 long, description string").write.mode("append").parquet(path)
+    assert R.stored_index(spark.read.parquet(path), f"{tmp_path}/index").docs.count() == 301
 
 
 def test_index_is_reused_until_a_row_changes(spark, tmp_path):
