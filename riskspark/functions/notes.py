@@ -31,14 +31,15 @@ def unfenced(reply: str) -> str:
 
 def intake(reply: str, element: str, field: str) -> str:
     """Struct (ok, items, n_bad) of a reply: whether it holds a JSON object, the objects of
-    its list, and how many elements are none (a field that is no list counts as one).
+    its list (by their JSON type, so a string that looks like one is none), and how many elements are none (a field that is no list counts as one).
 
     A reply that is no object, or has no such list, gives an empty list.
     """
-    raw = f"from_json(body, 'struct<{field}:array<string>>').{field}"
-    items = f"transform(filter(raw, e -> startswith(e, '{{')), e -> from_json(e, '{element}'))"
+    raw = f"try_variant_get(try_parse_json(body), '$.{field}', 'array<variant>')"
+    is_object = "coalesce(startswith(schema_of_variant(e), 'OBJECT'), false)"
+    items = f"transform(filter(raw, e -> {is_object}), e -> from_json(to_json(e), '{element}'))"
     other = f"if(get_json_object(body, '$.{field}') IS NOT NULL, 1, 0)"
-    bad = f"if(raw IS NULL, {other}, size(filter(raw, e -> NOT coalesce(startswith(e, '{{'), false))))"
+    bad = f"if(raw IS NULL, {other}, size(filter(raw, e -> NOT {is_object})))"
     ok = "coalesce(startswith(body, '{') AND try_parse_json(body) IS NOT NULL, false)"
     read = f"transform(array({raw}), raw -> named_struct('ok', {ok}, 'items', coalesce({items}, array()), 'n_bad', {bad}))[0]"
     return f"transform(array({unfenced(reply)}), body -> {read})[0]"

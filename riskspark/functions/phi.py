@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from riskspark.sources import fixed_values as fv
 
+#: A month's name or its short form, and a day in its month.
+_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?"
+_DAY = r"\d{1,2}(?:st|nd|rd|th)?"
+
 #: Pattern types in pass order. An e-mail goes before a URL; a security number, a card
 #: and an address go before a phone, whose pattern would take part of them.
 PATTERNS = {
@@ -13,7 +17,7 @@ PATTERNS = {
     "CREDIT_CARD": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b",
     "IP_ADDRESS": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "PHONE_NUMBER": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\b\d{3}[ .-])\d{3}[ .-]\d{4}\b",
-    "DATE_TIME": r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b",
+    "DATE_TIME": rf"\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}[/-]\d{{1,2}}[/-]\d{{1,2}}|(?i:{_MONTH} {_DAY},? \d{{4}}|{_DAY} {_MONTH},? \d{{4}}))\b",
 }
 
 #: What a text must contain for a pattern to match at all; tested first, because most
@@ -25,7 +29,7 @@ NEEDS = {
     "CREDIT_CARD": r"{s} rlike r'\d{{4}}[ -]?\d{{4}}'",
     "IP_ADDRESS": r"{s} rlike r'\d\.\d'",
     "PHONE_NUMBER": r"{s} rlike r'\d{{3}}[ .-]\d{{4}}'",
-    "DATE_TIME": r"{s} rlike r'\d[/-]\d'",
+    "DATE_TIME": r"{s} rlike r'\d[/-]\d|[A-Za-z][.,]? \d{{4}}|\d,? \d{{4}}'",
     "MRN": "(contains(lower({s}), 'mrn') OR contains(lower({s}), 'medical record'))",
 }
 

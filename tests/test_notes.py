@@ -164,3 +164,16 @@ def test_audit(spark):
 def test_unfenced(spark):
     df = spark.createDataFrame([("``` a ```",), (" a ",)], "r string").selectExpr(f"{E.unfenced('r')} AS b")
     assert [r.b for r in df.collect()] == ["a", "a"]
+
+
+def test_elements_are_told_by_their_json_type(spark):
+    replies = ['["{not json", {"icd10":"I10"}]', '["{\\"icd10\\":\\"I11\\"}", 5, null, [1]]', '[{"icd10":7,"confidence":1.0},{}]', '"{"', "{}"]
+    df = spark.createDataFrame([(i, f'{{"selected_codes":{r}}}') for i, r in enumerate(replies)], "note_id int, reply string")
+    rows = df.selectExpr("note_id", f"{E.intake('reply', E.CODE, 'selected_codes')} AS i").selectExpr("note_id", "i.ok", "i.n_bad", "transform(i.items, x -> coalesce(x.icd10, '')) AS codes").orderBy("note_id").collect()
+    assert [tuple(r)[1:] for r in rows] == [(True, 1, ["I10"]), (True, 4, []), (True, 0, ["7", ""]), (True, 1, []), (True, 1, [])]
+
+
+def test_dates_in_words_are_removed(spark):
+    texts = ["Seen March 14, 2026 at noon", "on 3rd Sept. 2025.", "in may 2, 1999", "May be 12 or 2024", "May 2024", "Marching 14, 2026"]
+    out = deid.deidentify(spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")).orderBy("note_id").collect()
+    assert [r.sanitized_text for r in out] == ["Seen [REDACTED_DATE_TIME_1] at noon", "on [REDACTED_DATE_TIME_1].", "in [REDACTED_DATE_TIME_1]", *texts[3:]]
