@@ -448,13 +448,13 @@ def toxicity_rate(d: Data) -> DataFrame:
 # note steps -----------------------------------------------------------------------------
 
 
-#: Every third note ends in keywords; every fifth is 70 letters with 30 blanks around them.
-PADDED = "CASE WHEN doc_id % 5 = 0 THEN concat('          ', repeat('x', 70), '                    ') ELSE concat(text, CASE WHEN doc_id % 3 = 0 THEN ' Patient history' ELSE '' END) END"
-
-
 @query
 def clinical_gate(d: Data) -> DataFrame:
-    docs = b.table(d.spark, d.dir, "documents").selectExpr("doc_id", f"{PADDED} AS text")
+    """Every whole text, every third with keywords at its end; beside each fifth a row of 70 letters with 30 blanks around them."""
+    docs = b.table(d.spark, d.dir, "documents")
+    whole = docs.selectExpr("doc_id", "concat(text, if(doc_id % 3 = 0, ' Patient history', '')) AS text")
+    padded = docs.where("doc_id % 5 = 0").selectExpr("-1 - doc_id AS doc_id", "concat(repeat(' ', 10), repeat('x', 70), repeat(' ', 20)) AS text")
+    docs = whole.unionByName(padded)
     return N.gate(docs, "text").select("doc_id", "keyword_hits", "is_clinical", "rejected")
 
 

@@ -66,17 +66,6 @@ def phrase_tokens(text: str) -> str:
     return f"regexp_extract_all(lower({text}), r'{_WORD}+', 0)"
 
 
-def phrase_keys(tokens: str, longest: int) -> str:
-    """Token n-grams of one up to ``longest`` tokens."""
-    parts = [tokens]
-    for n in range(2, longest + 1):
-        words = ", ".join(f"{tokens}[i + {j}]" for j in range(n))
-        parts.append(
-            f"if(size({tokens}) >= {n}, transform(sequence(0, greatest(size({tokens}) - {n}, 0)), i -> concat_ws(' ', {words})), array())"
-        )
-    return f"concat({', '.join(parts)})"
-
-
 def names_pattern(keys: str) -> str:
     """A pattern for any of the names, longest first; tokens may be apart by any
     non-word characters. Null where there is no name, which leaves a text alone."""

@@ -7,7 +7,7 @@ known names, joined with the distinct word n-grams of each note. Every match bec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import phi
@@ -24,14 +24,39 @@ def name_table(gazetteer: DataFrame) -> DataFrame:
     )
 
 
+#: Places of the hashes of names' first tokens, a byte each.
+FIRST_TOKENS = 1 << 18
+
+
+def _place(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(FIRST_TOKENS)).cast("int")
+
+
+def _runs(tokens: str, marks: bytes, lengths: list[int]) -> Column:
+    """Distinct token runs of the given lengths, of those that start with a token that a name may start with."""
+
+    def of_text(t: Column) -> Column:
+        every = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1))
+        starts = F.filter(every, lambda i: F.substring(F.lit(marks), _place(F.get(t, i)) + 1, F.lit(1)) == F.lit(b"\x01"))
+        named = F.transform(starts, lambda i: F.array(*[F.when(i + n <= F.size(t), F.array_join(F.slice(t, i + 1, F.lit(n)), " ")) for n in lengths]))
+        return F.array_distinct(F.flatten(named))
+
+    # bound to a lambda variable, so that a text is cut into tokens once
+    return F.get(F.transform(F.array(F.expr(tokens)), of_text), F.lit(0))
+
+
 def names_in_notes(notes: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
     """(key, one array of names per type) for the notes that hold any known name.
 
-    Only word runs travel, not texts; the result is as large as the matches.
+    Only runs that start like a name travel, not texts; the result is as large as the matches.
     """
     names = name_table(gazetteer)
-    longest = names.agg(F.max("n_tokens")).first()[0] or 1
-    runs = notes.selectExpr(key, f"{phi.phrase_tokens(text)} AS t").selectExpr(key, f"explode({phi.phrase_keys('t', longest)}) AS name")
+    # bounded: a mark for each place of a first token's hash, and the numbers of tokens that occur
+    marks = bytearray(FIRST_TOKENS)
+    for r in names.select(_place(F.substring_index("name", " ", 1)).alias("place")).distinct().collect():
+        marks[r.place] = 1
+    lengths = sorted(r.n_tokens for r in names.select("n_tokens").distinct().collect()) or [1]
+    runs = notes.select(key, F.explode(_runs(phi.phrase_tokens(text), bytes(marks), lengths)).alias("name"))
     found = runs.join(names.select("entity_type", "name"), "name")
     return found.groupBy(key).agg(
         *[F.collect_set(F.when(F.col("entity_type") == t, F.col("name"))).alias(f"names_{t}") for t in phi.GAZETTEER_TYPES]

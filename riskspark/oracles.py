@@ -7,7 +7,6 @@ rather than following the array expressions of the jobs. Reference tables are in
 from __future__ import annotations
 
 from riskspark.functions import phi
-from riskspark.catalog import PADDED
 from riskspark.plans.bindings import NOTE_TAILS, TAIL_SURVIVORS, note_text
 from riskspark.sources import fixed_values as fv
 from riskspark.sources.refdata import builtin_refdata
@@ -442,7 +441,8 @@ def all_sql() -> dict[str, str]:
 
     # note steps
     add("clinical_gate", f"""SELECT doc_id, {KEYWORD_HITS.format(t='t')} AS keyword_hits, length({STRIPPED.format(t='t')}) > 80 OR {KEYWORD_HITS.format(t='t')} >= 2 AS is_clinical,
-      trim(t, E' \\t\\n\\r') = '' AS rejected FROM (SELECT doc_id, {PADDED} AS t FROM documents)""")
+      trim(t, E' \\t\\n\\r') = '' AS rejected FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' Patient history' ELSE '' END AS t FROM documents
+      UNION ALL SELECT -1 - doc_id, repeat(' ', 10) || repeat('x', 70) || repeat(' ', 20) FROM documents WHERE doc_id % 5 = 0)""")
     add("parse_completions", f"""SELECT note_id, CAST(ord AS INTEGER) AS ord, condition, search_query, FALSE AS quarantined FROM ({CONDITIONS})
       UNION ALL SELECT p_partkey, 0, NULL, NULL, TRUE FROM part WHERE p_partkey % 11 = 0""")
     add("selection_intake", """SELECT p_partkey AS note_id, p_partkey % 6 <> 5 AS ok, CAST(CASE p_partkey % 6 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS INTEGER) AS n_bad,

@@ -177,3 +177,12 @@ def test_dates_in_words_are_removed(spark):
     texts = ["Seen March 14, 2026 at noon", "on 3rd Sept. 2025.", "in may 2, 1999", "May be 12 or 2024", "May 2024", "Marching 14, 2026"]
     out = deid.deidentify(spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")).orderBy("note_id").collect()
     assert [r.sanitized_text for r in out] == ["Seen [REDACTED_DATE_TIME_1] at noon", "on [REDACTED_DATE_TIME_1].", "in [REDACTED_DATE_TIME_1]", *texts[3:]]
+
+
+def test_names_of_any_length_and_none(spark):
+    notes = spark.createDataFrame([(1, "Dr ann marie o'hara met Ann, ANN-MARIE and Bo"), (2, ""), (3, None), (4, "ann")], "note_id int, text string")
+    names = [("PERSON", "Ann Marie"), ("PERSON", "bo"), ("LOCATION", "met ann ann marie and"), ("PERSON", "marie x")]
+    table = lambda rows: spark.createDataFrame(rows, "entity_type string, phrase string")
+    found = {r.note_id: (sorted(r.names_PERSON), r.names_LOCATION) for r in deid.names_in_notes(notes, table(names), "note_id", "text").collect()}
+    assert found == {1: (["ann marie", "bo"], ["met ann ann marie and"])}
+    assert deid.names_in_notes(notes, table([]), "note_id", "text").collect() == []
