@@ -42,11 +42,22 @@ def applicable_model(age: str, ltimcaid: str, dual_status: str) -> str:
         END"""
 
 
+def unreadable_columns(members: DataFrame) -> str:
+    """SQL: names of a member's demographics that are present but no whole numbers."""
+    present = [c for c in DEFAULTS if c in members.columns]
+    found = [f"if({c} IS NOT NULL AND try_cast({c} AS int) IS NULL, '{c}', null)" for c in present]
+    return f"array_compact(array({', '.join(found)}))" if found else "cast(array() AS array<string>)"
+
+
 def bad_demographics(members: DataFrame) -> DataFrame:
     """Members whose demographics are present but no whole numbers."""
-    present = [c for c in DEFAULTS if c in members.columns]
-    bad = " OR ".join(f"({c} IS NOT NULL AND try_cast({c} AS int) IS NULL)" for c in present)
-    return members.where(bad or "false")
+    return members.where(f"size({unreadable_columns(members)}) > 0")
+
+
+def readable_members(members: DataFrame) -> DataFrame:
+    """The others: those that can be scored. Whole-number columns need no test."""
+    texts = members.select(*[c for c, t in members.dtypes if c in DEFAULTS and t != "int"])
+    return members.where(f"size({unreadable_columns(texts)}) = 0") if texts.columns else members
 
 
 def with_defaults(members: DataFrame) -> DataFrame:

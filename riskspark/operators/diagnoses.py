@@ -57,16 +57,11 @@ def edits_hold(row: str = "", mce_edits: bool = True) -> str:
     return "(" + " AND ".join(conditions) + ")"
 
 
-def category_items(dx: DataFrame, code_map: DataFrame, ref: RefData, key: str = "member_id", mce_edits: bool = True) -> DataFrame:
-    """Per member, the distinct (category, edits) that its codes point to.
-
-    The map joins before the shuffle (Spark broadcasts it while its size allows, and
-    splits hot codes of a shuffled join otherwise). The sets hold at most one entry per
-    category and edit combination and are built on the map side first, so a member with
-    any number of rows sends one small row per task: one shuffle, by member.
+def typed_categories(code_map: DataFrame, ref: RefData, mce_edits: bool = True) -> DataFrame:
+    """(icd10, packed, item): each map row whose category is in the model, with its edits.
 
     A category whose edits are one age interval and at most one sex, which is nearly
-    every row of a real map, travels as one number (``packed``); others as ``items``.
+    every row of a real map, travels as one number (``packed``); others as ``item``.
     """
     rules = ["age_edit"] + (["mce"] if mce_edits else [])
     ends = [interval_ends(r) for r in rules]
@@ -77,19 +72,48 @@ def category_items(dx: DataFrame, code_map: DataFrame, ref: RefData, key: str =
         f"shiftleft(bigint(hcc_pos), 30) | shiftleft({low} - {MIN_AGE}, 17) | shiftleft({high} - {MIN_AGE}, 4)"
         " | bigint(coalesce(sex_edit + 1, 0))"
     )
-    typed = (
+    return (
         prepare_code_map(code_map)
         .selectExpr("icd10", f"int(get({ref.position_of_cc()}, cc)) AS hcc_pos", "mce", "age_edit", "sex_edit")
         .where("hcc_pos > 0")
         .selectExpr("icd10", "hcc_pos", "mce", "age_edit", "sex_edit", f"if({simple}, {packed}, null) AS packed")
         .selectExpr("icd10", "packed", "if(packed IS NULL, struct(hcc_pos, mce, age_edit, sex_edit), null) AS item")
     )
+
+
+def category_items(
+    dx: DataFrame, code_map: DataFrame, ref: RefData, key: str = "member_id", mce_edits: bool = True, added: str | None = None
+) -> DataFrame:
+    """Per member, the distinct (category, edits) that its codes point to.
+
+    The map joins before the shuffle (Spark broadcasts it while its size allows, and
+    splits hot codes of a shuffled join otherwise). The sets hold at most one entry per
+    category and edit combination and are built on the map side first, so a member with
+    any number of rows sends one small row per task: one shuffle, by member.
+
+    ``added`` names a boolean column of ``dx``: its rows are kept apart as
+    ``packed_added`` and ``items_added``, in the same aggregate.
+    """
+    tags = [added] if added else []
+    mapped = normalize_diagnoses(dx).select(key, "icd10", *tags).join(typed_categories(code_map, ref, mce_edits), "icd10")
+    sets = {"packed": "packed", "items": "item"}
+    if not added:
+        return mapped.groupBy(key).agg(*[F.collect_set(c).alias(name) for name, c in sets.items()])
+    own = [F.collect_set(F.when(~F.col(added), F.col(c))).alias(name) for name, c in sets.items()]
+    more = [F.collect_set(F.when(F.col(added), F.col(c))).alias(f"{name}_added") for name, c in sets.items()]
+    return mapped.groupBy(key).agg(*own, *more)
+
+
+def arriving_items(dx: DataFrame, code_map: DataFrame, ref: RefData, key: str = "member_id", mce_edits: bool = True) -> DataFrame:
+    """The sets of ``category_items`` as a streaming aggregate, with ``n_rows`` seen so far.
+
+    Members whose codes are on no map row have a row as well, with empty sets.
+    """
+    codes = dx.withColumn("icd10", F.expr(normalize_code("icd10"))).select(key, "icd10")
     return (
-        normalize_diagnoses(dx)
-        .select(key, "icd10")
-        .join(typed, "icd10")
+        codes.join(typed_categories(code_map, ref, mce_edits), "icd10", "left")
         .groupBy(key)
-        .agg(F.collect_set("packed").alias("packed"), F.collect_set("item").alias("items"))
+        .agg(F.collect_set("packed").alias("packed"), F.collect_set("item").alias("items"), F.count(F.lit(1)).alias("n_rows"))
     )
 
 

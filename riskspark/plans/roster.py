@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.functions.demographics import member_features
+from riskspark.functions.demographics import member_features, readable_members
 from riskspark.operators.diagnoses import category_items
 from riskspark.operators.model import (
     by_file_order,
@@ -36,18 +36,30 @@ def score_roster(
     Diagnoses are reduced to one small row per member before they meet the roster, so
     the join by member never sees a hot key. ``scored_only`` keeps members that have at
     least one code; by default members without codes get their demographic scores.
+    Members whose demographics are present but no whole numbers are not scored
+    (``demographics.bad_demographics``, ``sources.rejects`` for a table of them).
     """
-    items = category_items(dx, code_map, ref, key, mce_edits)
-    features = member_features(members, cutoff)
-    if scored_only:
-        with_codes = dx.where(F.trim("icd10") != "").select(key).distinct()
+    return score_items(members, category_items(dx, code_map, ref, key, mce_edits), ref, key, cutoff, mce_edits, dx if scored_only else None)
+
+
+def score_items(
+    members: DataFrame, items: DataFrame, ref: RefData, key: str = "member_id", cutoff: str = fv.CUTOFF_DATE, mce_edits: bool = True,
+    only: DataFrame | None = None, how: str = "left",
+) -> DataFrame:
+    """``score_roster`` from the sets of ``category_items``; ``only`` keeps members with a code there.
+
+    With ``how="inner"`` only members with a row of sets are scored.
+    """
+    features = member_features(readable_members(members), cutoff)
+    if only is not None:
+        with_codes = only.where(F.trim("icd10") != "").select(key).distinct()
         features = features.join(with_codes, key, "left_semi")
-    scored = with_model(features.join(items, key, "left"), ref, mce_edits)
+    scored = with_model(features.join(items, key, how), ref, mce_edits)
     return scored.withColumn("applicable_score", F.expr(pick_score(ref)))
 
 
-def member_result(scored: DataFrame, ref: RefData, key: str = "member_id") -> DataFrame:
-    """Flat result: labels, joined lists, nine scores."""
+def member_result(scored: DataFrame, ref: RefData, key: str = "member_id", *carried: str) -> DataFrame:
+    """Flat result: labels, joined lists, nine scores, then further columns to keep."""
     return scored.select(
         key,
         "age",
@@ -61,6 +73,7 @@ def member_result(scored: DataFrame, ref: RefData, key: str = "member_id") -> Da
         *ref.models,
         "applicable_model",
         "applicable_score",
+        *carried,
     )
 
 
@@ -141,12 +154,23 @@ def contributions(scored: DataFrame, ref: RefData, key: str = "member_id") -> Da
 
 
 def what_if(members: DataFrame, dx: DataFrame, added: DataFrame, code_map: DataFrame, ref: RefData, key: str = "member_id") -> DataFrame:
-    """Scores before and after hypothetical codes, for the members that get some."""
-    asked = members.join(added.select(key).distinct(), key, "left_semi")
-    base = scores_long(score_roster(asked, dx, code_map, ref, key), ref.models, key)
-    more = scores_long(score_roster(asked, dx.select(key, "icd10").unionByName(added.select(key, "icd10")), code_map, ref, key), ref.models, key)
-    return (
-        base.join(more.select(key, "model", F.col("score").alias("score_after")), [key, "model"])
-        .withColumn("difference", F.round(F.col("score_after") - F.col("score"), 3))
-        .select(key, "model", "score", "score_after", "difference")
+    """Scores before and after hypothetical codes, for the members that get some.
+
+    One aggregate by member keeps what the added codes bring apart; both scores are then
+    expressions over the same row. Diagnoses of members that are not asked stay behind.
+    """
+    keys = added.select(key).distinct()
+    tagged = dx.select(key, "icd10").join(keys, key, "left_semi").withColumn("added", F.lit(False)).unionByName(
+        added.select(key, "icd10").withColumn("added", F.lit(True))
+    )
+    items = category_items(tagged, code_map, ref, key, added="added")
+    both = member_features(readable_members(members).join(keys, key, "left_semi")).join(items, key, "left")
+    for name in ("packed", "items"):
+        both = both.withColumn(f"{name}_after", F.concat(name, f"{name}_added")).drop(f"{name}_added")
+    carried = [c for c in both.columns if c not in ("packed", "items")]
+    before = with_model(both, ref).select(*carried, F.struct(*ref.models).alias("before"))
+    after = with_model(before.withColumnsRenamed({"packed_after": "packed", "items_after": "items"}), ref)
+    entries = ", ".join(f"'{m}', before.{m}, {m}" for m in ref.models)
+    return after.selectExpr(key, f"stack({len(ref.models)}, {entries}) AS (model, score, score_after)").withColumn(
+        "difference", F.round(F.col("score_after") - F.col("score"), 3)
     )

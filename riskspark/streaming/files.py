@@ -23,3 +23,15 @@ def written_batches(spark: SparkSession, path: str, schema: StructType) -> DataF
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.read.parquet(path)
     return spark.createDataFrame([], schema)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a folder; none where there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(hadoop)] if files.exists(hadoop) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)

@@ -1,9 +1,16 @@
 """Diagnoses arriving over time: members they touch are scored again.
 
-Every batch appends its rows to a history kept by member bucket, reads back only the
-buckets it touched, scores the touched members on their full history, and writes their
-results under its own number. Replaying a batch overwrites what it wrote; the current
-score of a member is the one of its latest batch.
+A streaming aggregate keeps each member's categories (the sets of ``category_items``, a few
+numbers a member) in the state store. A batch merges what arrived into the sets of the
+members it touches and scores these; it never reads earlier diagnoses, so its cost does not
+grow with history. The number of state partitions is ``spark.sql.shuffle.partitions`` at
+the first start.
+
+Results stand under run and batch. A run is the life of one checkpoint: a batch replayed by
+the same run overwrites itself, and a run that starts without a checkpoint (lost, say) gets
+a new number and rebuilds the sets from the source, whose files must still be there. As
+sets only grow, the current result of a member is the one with most rows behind it, and of
+those the latest; a run that is still catching up hides nothing.
 """
 
 from __future__ import annotations
@@ -11,32 +18,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.operators.diagnoses import arriving_items
 from riskspark.plans import bindings
-from riskspark.plans.roster import member_result, score_roster
+from riskspark.plans.roster import member_result, score_items
 from riskspark.sources.refdata import RefData
-from riskspark.streaming.files import arriving_rows
+from riskspark.streaming.files import arriving_rows, folder_names, make_folder
+
+
+def run_number(spark: SparkSession, out: str) -> int:
+    """The run that the checkpoint under ``out`` belongs to; a new one without checkpoint."""
+    runs = [int(name.split("=")[1]) for name in folder_names(spark, f"{out}/scores") if name.startswith("run=")]
+    latest = max(runs, default=-1)
+    if latest >= 0 and "offsets" in folder_names(spark, f"{out}/checkpoint"):
+        return latest
+    # before the first batch, so that no restart can take this run for the one before
+    make_folder(spark, f"{out}/scores/run={latest + 1}")
+    return latest + 1
 
 
-def start(dx: DataFrame, members: DataFrame, code_map: DataFrame, ref: RefData, out: str, buckets: int = 16, key: str = "member_id"):
+def start(dx: DataFrame, members: DataFrame, code_map: DataFrame, ref: RefData, out: str, key: str = "member_id"):
     """Starts the query over a streaming DataFrame (member, icd10)."""
+    here = f"{out}/scores/run={run_number(members.sparkSession, out)}"
 
     def rescore(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(key, "icd10").withColumn("member_bucket", F.pmod(F.hash(key), F.lit(buckets)))
-        here = f"{out}/history/batch_id={batch_id}"
-        # one file set per bucket and batch, not one per bucket and task
-        rows.repartition("member_bucket", F.pmod(F.xxhash64(key), F.lit(4))).write.mode("overwrite").partitionBy("member_bucket").parquet(here)
-        touched = spark.read.parquet(here).select(key, "member_bucket").distinct()
-        # as literals, so that the scan leaves the other buckets' files alone
-        numbers = [r.member_bucket for r in touched.select("member_bucket").distinct().collect()]
-        history = spark.read.parquet(f"{out}/history").where((F.col("batch_id") <= batch_id) & F.col("member_bucket").isin(numbers))
-        full = history.join(touched, [key, "member_bucket"], "left_semi").select(key, "icd10")
-        asked = members.join(touched.select(key), key, "left_semi")
-        result = member_result(score_roster(asked, full, code_map, ref, key), ref, key)
-        result.write.mode("overwrite").parquet(f"{out}/scores/batch_id={batch_id}")
+        scored = score_items(members, batch, ref, key, how="inner")
+        result = member_result(scored, ref, key, "n_rows")
+        result.write.mode("overwrite").parquet(f"{here}/batch_id={batch_id}")
 
     return (
-        dx.writeStream.foreachBatch(rescore)
+        arriving_items(dx, code_map, ref, key)
+        .writeStream.outputMode("update")
+        .foreachBatch(rescore)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -44,10 +56,10 @@ def start(dx: DataFrame, members: DataFrame, code_map: DataFrame, ref: RefData,
 
 
 def current_scores(spark: SparkSession, out: str, key: str = "member_id") -> DataFrame:
-    """Latest result row of every member."""
+    """Current result row of every member."""
     rows = spark.read.parquet(f"{out}/scores")
-    columns = [c for c in rows.columns if c not in (key, "batch_id")]
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch_id").alias("r"))
+    columns = [c for c in rows.columns if c not in (key, "run", "batch_id", "n_rows")]
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("n_rows", "run", "batch_id")).alias("r"))
     return latest.select(key, "r.*")
 
 
