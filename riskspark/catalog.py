@@ -19,7 +19,7 @@ from riskspark.plans import notes as N
 from riskspark.plans import roster
 from riskspark.session import keeper, shared_dir, shared_root
 from riskspark.sources import fixed_values as fv
-from riskspark.sources import jsonl, reports
+from riskspark.sources import jsonl, rejects, reports
 from riskspark.sources.refdata import RefData, load_refdata, read_code_map, read_descriptions
 from riskspark.streaming import deid_stream, rescore_stream
 
@@ -89,10 +89,10 @@ class Data:
         pool = keep(self.full_pool(), "pool")
         return N.selected_codes(pool, b.selection_replies(pool))
 
-    def note_results(self) -> tuple[DataFrame, DataFrame]:
+    def note_steps(self, notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         patients = self.members.withColumnRenamed("member_id", "note_id")
-        return N.note_to_score(
-            self.notes, self.completions, b.selection_replies, patients, self.corpus, self.code_map, self.code_index(), self.ref, self.names,
+        return N.note_steps(
+            notes, self.completions, b.selection_replies, patients, self.corpus, self.code_map, self.code_index(), self.ref, self.names,
             keeper(self.spark, "notes"),
         )
 
@@ -309,6 +309,19 @@ def what_if(d: Data) -> DataFrame:
     return roster.what_if(d.members, d.dx, added, d.code_map, d.ref)
 
 
+@query
+def roster_intake(d: Data) -> DataFrame:
+    """Demographics as text, some of them no numbers: scores of the readable, reasons of the others."""
+    wrong = {"sex": ("% 11", "'unknown'"), "orec": ("% 13", "concat(string(orec), '.5')"), "dual_status": ("% 17", "' '")}
+    text = {c: f"if(member_id {test} = 0, {value}, concat(' ', string({c})))" for c, (test, value) in wrong.items()}
+    typed = d.members.selectExpr("member_id", "dob", *[f"{text.get(c, f'string({c})')} AS {c}" for c in ("sex", "orec", "dual_status", "ltimcaid", "nemcaid")])
+    path = shared_dir(d.spark, "roster-intake")
+    rejects.write_roster(typed, path)
+    good, bad = rejects.read_roster(typed, path)
+    scored = roster.score_roster(good, d.dx, d.code_map, d.ref).selectExpr("member_id", "'' AS reasons", "applicable_model", "applicable_score")
+    return scored.unionByName(bad.selectExpr("member_id", "array_join(reasons, ' ') AS reasons"), allowMissingColumns=True)
+
+
 # retrieval ------------------------------------------------------------------------------
 
 
@@ -425,6 +438,16 @@ def leak_rate(d: Data) -> DataFrame:
     return evaluate.hit_rate(evaluate.leaks(evaluate.audit_records(*b.audit_inputs(d.spark, d.dir))), "leaked", "leak_rate")
 
 
+@query
+def pipeline_audit(d: Data) -> DataFrame:
+    """Leaks and lexicon terms in what the note pipeline writes: sanitized texts and summaries."""
+    notes = d.notes.withColumn("identifiers", F.expr(phi.raw_identifiers("text")))
+    sanitized, codes, scored = d.note_steps(notes)
+    out = evaluate.pipeline_audit(sanitized, N.summaries(codes, scored, d.ref))
+    listed = [f"array_join({c}, ' | ') AS {c}" for c in ("leaked_in_text", "leaked_in_summary", "terms")]
+    return out.selectExpr("note_id", "n_identifiers", *listed)
+
+
 def _toxic(d: Data) -> DataFrame:
     flags = b.table(d.spark, d.dir, "labels").select("doc_id", "toxic")
     outputs = (
@@ -516,7 +539,7 @@ def member_summary(d: Data) -> DataFrame:
 
 @query
 def note_to_score(d: Data) -> DataFrame:
-    _, scored = d.note_results()
+    _, _, scored = d.note_steps(d.notes)
     return scored.selectExpr("note_id", "age", f"{joined_hccs('hcc_active', d.ref)} AS hccs", "applicable_model", "applicable_score")
 
 

@@ -173,6 +173,29 @@ def toxic_hits(records: DataFrame, terms: list[str] | None = None) -> DataFrame:
     return records.withColumn("terms", F.expr(f"filter(array({words}), t -> contains(lower(output), t))"))
 
 
+def pipeline_audit(sanitized: DataFrame, summaries: DataFrame, key: str = "note_id") -> DataFrame:
+    """What a run has written, held against the identifiers of each raw note.
+
+    ``sanitized`` has the sanitized text and ``identifiers``, taken from the raw text before
+    it was dropped; ``summaries`` is (key, summary). Per note: n_identifiers, the identifiers
+    left in the text and in the summary, and lexicon terms in either. Texts are read where
+    they lie; only identifiers and hits meet the summaries. A missing text or summary leaks
+    nothing.
+    """
+    words = ", ".join(f"'{t}'" for t in fv.TOXIC_TERMS)
+    left_in = lambda c: f"filter(identifiers, v -> v != '' AND contains(lower({c}), lower(v)))"
+    in_text = sanitized.selectExpr(
+        key, "identifiers", f"{left_in('sanitized_text')} AS in_text", f"filter(array({words}), t -> contains(lower(sanitized_text), t)) AS said"
+    )
+    return in_text.join(summaries.select(key, "summary"), key, "left").selectExpr(
+        key,
+        "size(identifiers) AS n_identifiers",
+        "in_text AS leaked_in_text",
+        f"{left_in('summary')} AS leaked_in_summary",
+        f"filter(array({words}), t -> array_contains(said, t) OR contains(lower(summary), t)) AS terms",
+    )
+
+
 def hit_rate(records: DataFrame, column: str, name: str) -> DataFrame:
     hit = F.when(F.size(column) > 0, 1.0).otherwise(0.0)
     return records.agg(

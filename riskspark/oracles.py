@@ -401,6 +401,11 @@ def all_sql() -> dict[str, str]:
       CAST(CAST(b.score AS DECIMAL(12,3)) - CAST(a.score AS DECIMAL(12,3)) AS DOUBLE) AS difference
       FROM long a JOIN long2 b USING (member_id, model) WHERE member_id % 3 = 0"""))
 
+    wrong = " || ' ' || ".join(f"CASE WHEN member_id % {n} = 0 THEN '{c}' ELSE '' END" for n, c in ((11, "sex"), (13, "orec"), (17, "dual_status")))
+    add("roster_intake", _with(*score, select=f"""SELECT member_id, reasons, CASE WHEN reasons = '' THEN applicable_model END AS applicable_model,
+      CASE WHEN reasons = '' THEN score END AS applicable_score
+      FROM (SELECT *, trim(replace({wrong}, '  ', ' ')) AS reasons FROM long WHERE model = applicable_model)"""))
+
     # retrieval
     add("tokenize", f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format(t='text')}) AS token FROM documents) GROUP BY ALL")
     add("ngrams", f"""SELECT ngram, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (
@@ -466,6 +471,15 @@ def all_sql() -> dict[str, str]:
     gated_conditions = f"SELECT * FROM ({CONDITIONS}) WHERE note_id IN ({gated})"
     add("note_to_score", _with(DOMAIN, *deid, *pool_ctes(6, gated_conditions), *note_ctes, *LISTS, select=f"""SELECT note_id, age, coalesce(hccs, '') AS hccs,
       applicable_model, applicable_score FROM {scored_notes} LEFT JOIN hl USING (member_id)"""))
+    left_in = lambda c: f"array_to_string(list_filter(ids, lambda v: contains(lower({c}), lower(v))), ' | ')"
+    add("pipeline_audit", _with(DOMAIN, *deid, *pool_ctes(6, gated_conditions), *note_ctes, *LISTS, note_lists, f"""said AS (SELECT note_id,
+        'Identified ICD-10 codes: ' || replace(codes, ' ', ', ') || '. Active HCCs: ' || replace(coalesce(hccs, ''), ' ', ', ') || '. Applicable model '
+        || coalesce(applicable_model, 'None') || ' with score ' || coalesce(CAST(applicable_score AS VARCHAR), 'None') || '.' AS summary
+        FROM cl LEFT JOIN {scored_notes} USING (note_id) LEFT JOIN hl USING (member_id))""",
+        f"""held AS (SELECT note_id, {RAW_IDS.format(t='text')} AS ids, s, coalesce(summary, '') AS summary, s || chr(10) || coalesce(summary, '') AS output
+        FROM deid LEFT JOIN said USING (note_id))""",
+        select=f"""SELECT note_id, CAST(len(ids) AS INTEGER) AS n_identifiers, {left_in('s')} AS leaked_in_text, {left_in('summary')} AS leaked_in_summary,
+        array_to_string({TOXIC_LIST}, ' | ') AS terms FROM held"""))
     quoted = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '[]' ELSE '[''' || replace({c}, ' ', ''', ''') || ''']' END"
     add("explain_prompts", _with(DOMAIN, *deid, *pool_ctes(6), *note_ctes, *LISTS, note_lists,
         "nc AS (SELECT note_id, string_agg('''' || condition || '''', ', ' ORDER BY ord) AS names FROM conds GROUP BY 1)",

@@ -91,20 +91,44 @@ def note_to_score(
     gazetteer: DataFrame | None = None,
     keep=lambda df, step: df,
 ) -> tuple[DataFrame, DataFrame]:
-    """De-identify, gate, extract, retrieve, select, score: (selected codes, scores).
+    """De-identify, gate, extract, retrieve, select, score: (selected codes, scores)."""
+    _, codes, scored = note_steps(notes, completions, make_replies, members, corpus, code_map, index, ref, gazetteer, keep)
+    return codes, scored
+
+
+def note_steps(
+    notes: DataFrame,
+    completions: DataFrame,
+    make_replies,
+    members: DataFrame,
+    corpus: DataFrame,
+    code_map: DataFrame,
+    index: TfidfIndex,
+    ref: RefData,
+    gazetteer: DataFrame | None = None,
+    keep=lambda df, step: df,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``note_to_score`` with all sanitized notes in front, also those that the gate stops.
 
     ``completions`` are recorded extraction replies, ``make_replies(pool)`` gives the
     recorded selection replies. ``members`` is keyed by ``note_id`` and holds the
     demographics of each note's patient; only notes with codes and demographics score.
     ``keep`` may write a step that several later ones use.
     """
-    sanitized = keep(gate(deidentify(notes, gazetteer)), "sanitized").where("is_clinical AND NOT rejected")
+    every = keep(gate(deidentify(notes, gazetteer)), "sanitized")
+    sanitized = every.where("is_clinical AND NOT rejected")
     conditions, _ = parse_conditions(completions)
     asked = note_conditions(sanitized, conditions, completions)
     pool = keep(pool_with_records(candidate_pool(asked, index), corpus), "pool")
     codes = keep(selected_codes(pool, make_replies(pool)), "codes")
     scored = score_roster(members, codes.select("note_id", "icd10"), code_map, ref, key="note_id", scored_only=True)
-    return codes, scored
+    return every, codes, scored
+
+
+def summaries(codes: DataFrame, scored: DataFrame, ref: RefData, key: str = "note_id") -> DataFrame:
+    """(note, summary): one line for each note with codes, scored or not."""
+    with_hccs = scored.withColumn("hccs", F.expr(joined_hccs("hcc_active", ref)))
+    return code_lists(codes, key).select(key, "codes").join(with_hccs, key, "left").selectExpr(key, f"{summary_line('codes', 'hccs')} AS summary")
 
 
 def summary_line(codes: str, hccs: str) -> str:

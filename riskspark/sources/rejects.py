@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from riskspark.functions.demographics import DEFAULTS, unreadable_columns
 
@@ -36,7 +36,7 @@ def read_roster(like: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 
     Each side reads its own folder only. The sides may be empty.
     """
-    schema = StructType(list(like.schema)).add("reasons", "array<string>").add("rejected", "int")
+    schema = StructType(list(like.schema)).add("reasons", ArrayType(StringType())).add("rejected", IntegerType())
     stored = like.sparkSession.read.schema(schema).parquet(path)
     side = lambda n: stored.where(F.col("rejected") == n).drop("rejected")
     return side(0).drop("reasons"), side(1)

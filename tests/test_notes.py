@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.functions import cards
+from riskspark.functions import cards, phi
 from riskspark.functions import notes as E
 from riskspark.operators import deid, evaluate, history
 from riskspark.plans import notes as N
@@ -186,3 +186,18 @@ def test_names_of_any_length_and_none(spark):
     found = {r.note_id: (sorted(r.names_PERSON), r.names_LOCATION) for r in deid.names_in_notes(notes, table(names), "note_id", "text").collect()}
     assert found == {1: (["ann marie", "bo"], ["met ann ann marie and"])}
     assert deid.names_in_notes(notes, table([]), "note_id", "text").collect() == []
+
+
+def test_audit_finds_what_a_switched_off_scan_lets_through(spark):
+    notes = spark.createDataFrame(NOTES, "note_id int, text string").withColumn("identifiers", F.expr(phi.raw_identifiers("text")))
+    said = spark.createDataFrame([(1, "Codes: none, call 555-123-4567. I hate it"), (4, None), (99, "nobody")], "note_id int, summary string")
+    audit = lambda **how: {r.note_id: r for r in evaluate.pipeline_audit(deid.deidentify(notes, **how), said).collect()}
+    on, off = audit(), audit(enabled=False, fail_open=True)
+    assert set(on) == set(off) == {1, 2, 3, 4, 5, 6}
+    assert [on[k].leaked_in_text for k in (1, 2, 3)] == [[], [], []]
+    assert "123-45-6789" in off[2].leaked_in_text and "555-123-4567" in off[1].leaked_in_text
+    assert on[1].leaked_in_summary == ["555-123-4567"] and on[1].terms == ["hate"] and not on[2].leaked_in_summary
+    assert on[4].n_identifiers == 0 and not on[4].leaked_in_summary and not on[4].terms
+    assert not on[5].leaked_in_text and not on[6].leaked_in_text
+    withheld = audit(enabled=False)
+    assert not any(r.leaked_in_text for r in withheld.values())

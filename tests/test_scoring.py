@@ -9,6 +9,7 @@ from riskspark.functions.demographics import bad_demographics, member_features
 from riskspark.functions.rules import compile_rule, rule_fails_open, rule_holds
 from riskspark.operators.diagnoses import code_to_category
 from riskspark.plans import roster
+from riskspark.sources import rejects
 from riskspark.sources.refdata import builtin_refdata, category_name, load_refdata
 
 REF = builtin_refdata()
@@ -216,3 +217,41 @@ def test_reference_folder(spark, tmp_path):
     loaded = load_refdata(spark, str(tmp_path))
     assert loaded == REF
     assert len(REF.domain) == 79 and sum(len(b) for _, b in REF.hierarchy) == 57 and len(REF.interactions) == 25
+
+
+def test_unreadable_members_are_rejected_not_scored(spark, tmp_path):
+    rows = [("a", "x", "1"), ("b", " 1 ", None), ("c", None, "2.5"), ("d", "", "y"), ("e", "2", "0"), ("e", "2", "0")]
+    members = spark.createDataFrame(rows, "member_id string, sex string, orec string")
+    path = str(tmp_path / "roster")
+    for _ in range(2):  # written again, the same stands there
+        counts = rejects.write_roster(members, path)
+    assert counts == {"n_members": 6, "n_rejected": 3, "n_sex": 2, "n_orec": 2, "n_ltimcaid": 0, "n_nemcaid": 0, "n_dual_status": 0}
+    good, bad = rejects.read_roster(members, path)
+    assert sorted(r.member_id for r in good.collect()) == ["b", "e", "e"] and good.columns == members.columns
+    assert {r.member_id: r.reasons for r in bad.collect()} == {"a": ["sex"], "c": ["orec"], "d": ["sex", "orec"]}
+    dx = spark.createDataFrame([("a", "X18"), ("b", "X18")], "member_id string, icd10 string")
+    scored = roster.score_roster(members, dx, code_map(spark), REF)
+    assert sorted(r.member_id for r in scored.select("member_id").collect()) == ["b", "e", "e"]
+    more = roster.what_if(members, dx, dx, code_map(spark), REF)
+    assert {r.member_id for r in more.collect()} == {"b"}
+    none = members.where("false")
+    assert rejects.write_roster(none, str(tmp_path / "none"))["n_members"] == 0
+    assert [side.count() for side in rejects.read_roster(none, str(tmp_path / "none"))] == [0, 0]
+    with pytest.raises(ValueError):
+        rejects.write_roster(members.withColumn("reasons", F.lit(1)), path)
+
+
+def test_what_if_is_one_aggregate(spark):
+    """Equal to scoring twice, and the diagnoses are aggregated once."""
+    members = spark.createDataFrame([(k, *demo) for k, (demo, *_) in GOLDEN.items()], SCHEMA)
+    dx = spark.createDataFrame([("G1", "X18"), ("G3", "X85"), ("G3", "X85"), ("G9", "X1")], "member_id string, icd10 string")
+    added = spark.createDataFrame([("G1", "X85"), ("G1", "X18"), ("G2", "x1.11"), ("G3", ""), ("G4", "none"), ("G9", "X2")], "member_id string, icd10 string")
+    out = roster.what_if(members, dx, added, code_map(spark), REF)
+    got = {(r.member_id, r.model): (r.score, r.score_after) for r in out.collect()}
+    before = roster.scores_long(roster.score_roster(members, dx, code_map(spark), REF), REF.models).collect()
+    after = roster.scores_long(roster.score_roster(members, dx.unionByName(added), code_map(spark), REF), REF.models).collect()
+    asked = {"G1", "G2", "G3", "G4"}
+    assert {k: v[0] for k, v in got.items()} == {(r.member_id, r.model): r.score for r in before if r.member_id in asked}
+    assert {k: v[1] for k, v in got.items()} == {(r.member_id, r.model): r.score for r in after if r.member_id in asked}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set(") == 4, plan  # own and added, packed and not, all in one
