@@ -16,7 +16,7 @@ from riskspark.operators import deid, diagnoses, evaluate, history, retrieval
 from riskspark.operators.model import joined_groups, joined_hccs, joined_interactions, pick_score
 from riskspark.plans import bindings as b
 from riskspark.plans import notes as N
-from riskspark.plans import roster
+from riskspark.plans import providers, roster
 from riskspark.session import keeper, shared_dir, shared_root
 from riskspark.sources import fixed_values as fv
 from riskspark.sources import jsonl, rejects, reports
@@ -586,24 +586,13 @@ def conversation_history(d: Data) -> DataFrame:
 # providers ------------------------------------------------------------------------------
 
 
+def _provider_runs(d: Data) -> DataFrame:
+    p = b.provider_outputs(d.spark, d.dir)
+    return providers.provider_runs(p["cases"], p["predicted"], p["gold"], p["timings"], p["members"], d.code_map, d.ref, ["alpha", "beta"])
+
+
 def _provider_rows(d: Data) -> DataFrame:
-    keys = ["case_id", "provider"]
-    p = b.provider_outputs(d.spark, d.dir, keeper(d.spark, "providers"))
-    cases = p["cases"]
-    gold = cases.join(p["gold"], "case_id")
-    prf = evaluate.code_prf(cases, p["predicted"], gold, keys)
-    return evaluate.provider_rows(_provider_scores(d, p), prf, p["timings"], p["predicted"], keys)
-
-
-def _provider_scores(d: Data, p: dict[str, DataFrame]) -> DataFrame:
-    """Each case of each provider is scored as a member of its own."""
-    key = F.struct("case_id", "provider").alias("run")
-    members = p["cases"].join(p["members"], "case_id").drop("member_id").select(key, "*").drop("case_id", "provider")
-    dx = p["predicted"].select(key, "icd10")
-    scored = roster.score_roster(members, dx, d.code_map, d.ref, key="run")
-    return scored.select(
-        "run.case_id", "run.provider", F.expr(joined_hccs("hcc_active", d.ref)).alias("hccs"), F.col("applicable_score").alias("score")
-    )
+    return providers.provider_rows(_provider_runs(d))
 
 
 @query
@@ -614,7 +603,7 @@ def code_prf(d: Data) -> DataFrame:
 
 @query
 def provider_compare(d: Data) -> DataFrame:
-    return evaluate.provider_compare(_provider_rows(d), "alpha", "beta")
+    return providers.provider_compare(_provider_runs(d), "alpha", "beta")
 
 
 @query

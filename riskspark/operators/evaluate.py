@@ -33,17 +33,16 @@ def set_overlap(predicted: DataFrame, gold: DataFrame, keys: list[str], item: st
     )
 
 
+def prf_columns(tp: Column, n_predicted: Column, n_gold: Column) -> list[Column]:
+    p = F.when(n_predicted > 0, tp / n_predicted).otherwise(0.0)
+    r = F.when(n_gold > 0, tp / n_gold).otherwise(1.0)
+    return [F.round(p, 3).alias("code_precision"), F.round(r, 3).alias("code_recall"), F.round(harmonic(p, r), 3).alias("code_f1")]
+
+
 def code_prf(cases: DataFrame, predicted: DataFrame, gold: DataFrame, keys: list[str], item: str = "icd10") -> DataFrame:
     """Precision, recall and F1 of the code set of each case; F1 from unrounded parts."""
     counts = cases.select(*keys).distinct().join(set_overlap(predicted, gold, keys, item), keys, "left").fillna(0)
-    p = F.when(F.col("n_predicted") > 0, F.col("tp") / F.col("n_predicted")).otherwise(0.0)
-    r = F.when(F.col("n_gold") > 0, F.col("tp") / F.col("n_gold")).otherwise(1.0)
-    return counts.select(
-        *keys,
-        F.round(p, 3).alias("code_precision"),
-        F.round(r, 3).alias("code_recall"),
-        F.round(harmonic(p, r), 3).alias("code_f1"),
-    )
+    return counts.select(*keys, *prf_columns(F.col("tp"), F.col("n_predicted"), F.col("n_gold")))
 
 
 # retrieval ---------------------------------------------------------------------------
@@ -208,37 +207,6 @@ def hit_rate(records: DataFrame, column: str, name: str) -> DataFrame:
 # providers ---------------------------------------------------------------------------
 
 
-def provider_rows(scored: DataFrame, prf: DataFrame, timings: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per case and provider: codes, categories, score, P/R/F1, latency.
-
-    ``timings`` is (case, provider, step, seconds), ``codes`` (case, provider, icd10).
-    """
-    latency = (
-        timings.groupBy(*keys, "step")
-        .agg(F.round(F.sum("seconds"), 3).alias("seconds"))
-        .groupBy(*keys)
-        .agg(F.round(F.sum("seconds"), 3).alias("latency_total"))
-    )
-    lists = codes.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("icd10")), " ").alias("codes"))
-    return (
-        prf.join(latency, keys, "left")
-        .join(lists, keys, "left")
-        .join(scored.select(*keys, "hccs", "score"), keys, "left")
-        .fillna("", ["codes", "hccs"])
-    )
-
-
-def provider_compare(rows: DataFrame, first: str, second: str, case: str = "case_id") -> DataFrame:
-    """The two providers of each case side by side; the difference only where both ran."""
-    pick = lambda p, c: F.max(F.when(F.col("provider") == p, F.col(c))).alias(f"{c}_{p}")
-    columns = ["codes", "hccs", "score", "code_f1", "latency_total"]
-    wide = rows.groupBy(case).agg(*[pick(p, c) for p in (first, second) for c in columns])
-    a, b = f"split(codes_{first}, ' ')", f"split(codes_{second}, ' ')"
-    # splitting an empty list gives one empty string, which is no code
-    both = f"array_sort(array_union(array_except({a}, {b}), array_except({b}, {a})))"
-    return wide.withColumn("code_difference", F.expr(f"array_join(array_remove({both}, ''), ' ')"))
-
-
 def provider_aggregate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("provider").agg(
         F.count(F.lit(1)).alias("n_cases"), rounded_mean("code_f1").alias("mean_f1"), rounded_mean("latency_total").alias("mean_latency")
