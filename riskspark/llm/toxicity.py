@@ -28,6 +28,8 @@ BUCKETS, FEATURES, MIN_POSITIVES = 1 << 18, 1024, 3
 MIN_SPREAD = 4.0
 #: Bounds of the samples that are fitted on: positive and unlabelled documents.
 POSITIVES, UNLABELLED = 3_000, 9_000
+#: Largest class prior, so that the unlabelled side keeps at least half of the risk.
+MAX_PRIOR = 0.5
 STEPS, RATE, SHRINK = 400, 0.1, 1e-4
 
 
@@ -66,25 +68,41 @@ def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -
 
 
 def _features(texts: DataFrame) -> DataFrame:
+    """(positive, words) of (id, positive, text), one row per id and side.
+
+    Of several texts under one id the one with the smallest hash counts, so an id with any
+    share of the rows is one document of the sample.
+    """
+    hashed = texts.select("id", "positive", F.xxhash64("text").alias("pick"), "text")
+    shape = hashed.drop("text").withColumn("words", F.lit(None).cast("array<bigint>")).schema
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(word_hashes(t, BUCKETS)) for t in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int64()))], names=["positive", "words"])
+            kept = [batch.column(c) for c in ("id", "positive", "pick")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=["id", "positive", "pick", "words"])
 
-    return texts.select("positive", "text").mapInArrow(run, "positive boolean, words array<bigint>")
+    one = hashed.mapInArrow(run, shape).groupBy("id", "positive").agg(F.min(F.struct("pick", "words")).alias("first"))
+    return one.select("positive", "first.words")
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Keep, id_col: str, text: str, label: str, folds: int, held_out: int) -> Model | None:
-    """A model learnt from the labels outside the held-out fold; None without positives."""
+    """A model learnt from the labels outside the held-out fold; None without positives.
+
+    The class prior is the share of positives among the labelled documents, taken for a
+    random sample of all, and is at most ``MAX_PRIOR``. Labels that name little but positives
+    overstate it: scores then come out too high, though toxic texts still score highest.
+    """
     known = keep(labelled(docs, labels, label, id_col, folds, held_out), "labelled")
     total, toxic = known.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
     if not toxic:
         return None
-    prior = min(toxic / total, 0.5)
+    prior = min(toxic / total, MAX_PRIOR)
     positives = hash_sample(known.where("label = 1").select(id_col), id_col, POSITIVES).withColumn("positive", F.lit(True))
     others = hash_sample(docs.select(id_col).distinct(), id_col, UNLABELLED).withColumn("positive", F.lit(False))
     asked = keep(positives.unionByName(others), "asked")
-    sample = keep(_features(docs.select(id_col, F.col(text).cast("string").alias("text")).join(asked, id_col)), "sample")
+    texts = docs.select(id_col, F.col(text).cast("string").alias("text")).join(asked, id_col)
+    sample = keep(_features(texts.select(F.col(id_col).alias("id"), "positive", "text")), "sample")
     counts = sample.groupBy("positive").count().collect()
     n = {r.positive: r["count"] for r in counts}
     if not n.get(True) or not n.get(False):
@@ -102,8 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Keep, id_col: str, text: str,
     matrix = {True: np.zeros((n[True], len(words)), np.float32), False: np.zeros((n[False], len(words)), np.float32)}
     at = {True: 0, False: 0}
     for row in used.toLocalIterator():
-        if at[row.positive] < len(matrix[row.positive]):
-            matrix[row.positive][at[row.positive], slot[row.w]] = 1
+        matrix[row.positive][at[row.positive], slot[row.w]] = 1
         at[row.positive] += 1
     return Model(slot, *nonnegative_pu(matrix[True], matrix[False], prior))
 

@@ -55,6 +55,26 @@ def test_toxicity_held_out(docs, labels_of, keep):
     assert {r.doc_id: r.predicted for r in got}[9002] == 1
 
 
+def test_toxicity_with_one_id_as_a_third_of_the_rows(docs, labels_of, keep):
+    """The id counts as one document of the sample, whatever its share and its texts."""
+    rows, labels = corpus()
+    hot = next(d for d, _, bad in labels if bad and not held(d, 5, 0))
+    crowd = [(hot, f"vile clean{i % 7}") for i in range(300)]
+    got = toxicity.toxicity(docs(rows + crowd), labels_of(labels), keep).collect()
+    check(got, rows + crowd, 5, 0)
+    assert accuracy(got, labels, 2, 5, 0) > 0.97
+    sample = toxicity._features(docs(rows + crowd).selectExpr("doc_id AS id", "true AS positive", "text"))
+    assert sample.count() == len(rows)
+
+
+def test_toxicity_from_positives_only(docs, labels_of, keep):
+    """The prior is overstated and scores are too high, but the order holds."""
+    rows, labels = corpus()
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs(rows), labels_of([x for x in labels if x[2]]), keep).collect()}
+    toxic = {d for d, _, bad in labels if bad}
+    assert min(got[d] for d in toxic) > max(s for d, s in got.items() if d not in toxic)
+
+
 def test_quality_held_out(docs, labels_of, keep):
     rows, labels = corpus()
     rows += ODD
