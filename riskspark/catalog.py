@@ -537,15 +537,24 @@ def member_summary(d: Data) -> DataFrame:
     return lists.join(scored, "note_id", "left").selectExpr("note_id", f"{N.summary_line('codes', 'hccs')} AS summary")
 
 
+@query
+def note_as_query(d: Data) -> DataFrame:
+    """Candidates of clinical notes without any recorded reply: each whole note is its own query."""
+    notes = keeper(d.spark, "own-query")(_prompt_notes(d, b.notes_with_findings(d.spark, d.dir)), "notes")
+    none = d.completions.where("false")
+    asked = N.note_conditions(notes, N.parse_conditions(none)[0], none)
+    return retrieval.candidate_pool(asked, d.code_index()).select("note_id", "position", "icd10", "similarity", "for_condition")
+
+
 @query
 def note_to_score(d: Data) -> DataFrame:
     _, _, scored = d.note_steps(d.notes)
     return scored.selectExpr("note_id", "age", f"{joined_hccs('hcc_active', d.ref)} AS hccs", "applicable_model", "applicable_score")
 
 
-def _prompt_notes(d: Data) -> DataFrame:
+def _prompt_notes(d: Data, notes: DataFrame | None = None) -> DataFrame:
     """De-identified notes that pass the gate: all that a prompt may see of a note."""
-    return N.gate(deid.deidentify(d.notes, d.names)).where("is_clinical AND NOT rejected").select("note_id", "sanitized_text")
+    return N.gate(deid.deidentify(d.notes if notes is None else notes, d.names)).where("is_clinical AND NOT rejected").select("note_id", "sanitized_text")
 
 
 @query
@@ -583,6 +592,17 @@ def conversation_history(d: Data) -> DataFrame:
     return out.selectExpr("conv_id", "turn", "role", f"{UNNUMBERED.format(c='content')} AS content_md5", "messages")
 
 
+@query
+def request_messages(d: Data) -> DataFrame:
+    """Messages of every open request; a conversation's number stands for its note and patient."""
+    turns = b.table(d.spark, d.dir, "conversations")
+    patients = d.members.withColumnRenamed("member_id", "note_id")
+    out = N.request_messages(
+        turns, d.completions, b.selection_replies, patients, d.corpus, d.code_map, d.code_index(), d.ref, d.names, keeper(d.spark, "requests")
+    )
+    return out.selectExpr("conv_id", "turn", "position", "role", f"{UNNUMBERED.format(c='content')} AS content_md5")
+
+
 # providers ------------------------------------------------------------------------------
 
 

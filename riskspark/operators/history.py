@@ -46,6 +46,28 @@ def conversation_history(turns: DataFrame, gazetteer: DataFrame | None = None) -
     return running_sums(messages, "conv_id", "turn", {"one": "messages", "size": "chars"}).drop("one", "size")
 
 
+def open_requests(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn): the last user message of each conversation that no assistant message follows."""
+    last = lambda role: F.max(F.when(F.col("role") == role, F.col("turn")))
+    ends = turns.groupBy("conv_id").agg(last("user").alias("turn"), last("assistant").alias("answered"))
+    return ends.where("turn IS NOT NULL AND (answered IS NULL OR answered < turn)").select("conv_id", "turn")
+
+
+def request_messages(history: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(conv_id, turn, position, role, content): the messages sent for each request, one a row.
+
+    ``history`` is ``conversation_history``, ``prompts`` (conv_id, turn, prompt) the text that
+    stands in place of a request's own message. A conversation has one request at a time, the
+    latest one of ``prompts``, so no message is copied and the result grows with the history.
+    The long texts of the prompts meet single messages only, never a whole conversation.
+    """
+    asked = prompts.groupBy("conv_id").agg(F.max("turn").alias("request"))
+    numbered = history.join(asked, "conv_id")
+    before = numbered.where("turn < request").select("conv_id", F.col("request").alias("turn"), F.col("messages").alias("position"), "role", "content")
+    own = numbered.where("turn = request").select("conv_id", "turn", F.col("messages").alias("position"), "role")
+    return before.unionByName(own.join(prompts.select("conv_id", "turn", F.col("prompt").alias("content")), ["conv_id", "turn"]))
+
+
 def history_of(history: DataFrame, requests: DataFrame) -> DataFrame:
     """Messages of the history of each request (conv_id, turn), in long form."""
     asked = requests.select("conv_id", F.col("turn").alias("request_turn")).distinct()

@@ -464,8 +464,8 @@ def all_sql() -> dict[str, str]:
       string_agg('''' || icd10 || ' (' || description || ', CC' || cc || ')''', ', ' ORDER BY pos) AS code_texts FROM selected GROUP BY 1)"""
     note_ctes = [c for c in [*note_score_ctes(chosen)] if c is not DOMAIN]
     scored_notes = "(SELECT mf.note_id, mf.member_id, mf.age, mf.applicable_model, score AS applicable_score FROM mf JOIN long ON long.member_id = mf.member_id AND model = mf.applicable_model)"
-    add("member_summary", _with(DOMAIN, *pool_ctes(6), *note_ctes, *LISTS, note_lists, select=f"""SELECT note_id, 'Identified ICD-10 codes: ' || replace(codes, ' ', ', ')
-      || '. Active HCCs: ' || replace(coalesce(hccs, ''), ' ', ', ') || '. Applicable model ' || coalesce(applicable_model, 'None') || ' with score '
+    add("member_summary", _with(DOMAIN, *pool_ctes(6), *note_ctes, *LISTS, note_lists, select=f"""SELECT note_id, '{fv.SUMMARY_CODES}' || replace(codes, ' ', ', ')
+      || '{fv.SUMMARY_HCCS}' || replace(coalesce(hccs, ''), ' ', ', ') || '{fv.SUMMARY_MODEL}' || coalesce(applicable_model, 'None') || '{fv.SUMMARY_SCORE}'
       || coalesce(CAST(applicable_score AS VARCHAR), 'None') || '.' AS summary FROM cl LEFT JOIN {scored_notes} USING (note_id) LEFT JOIN hl USING (member_id)"""))
     gated = f"SELECT note_id FROM deid WHERE {clinical}"
     gated_conditions = f"SELECT * FROM ({CONDITIONS}) WHERE note_id IN ({gated})"
@@ -473,30 +473,41 @@ def all_sql() -> dict[str, str]:
       applicable_model, applicable_score FROM {scored_notes} LEFT JOIN hl USING (member_id)"""))
     left_in = lambda c: f"array_to_string(list_filter(ids, lambda v: contains(lower({c}), lower(v))), ' | ')"
     add("pipeline_audit", _with(DOMAIN, *deid, *pool_ctes(6, gated_conditions), *note_ctes, *LISTS, note_lists, f"""said AS (SELECT note_id,
-        'Identified ICD-10 codes: ' || replace(codes, ' ', ', ') || '. Active HCCs: ' || replace(coalesce(hccs, ''), ' ', ', ') || '. Applicable model '
-        || coalesce(applicable_model, 'None') || ' with score ' || coalesce(CAST(applicable_score AS VARCHAR), 'None') || '.' AS summary
+        '{fv.SUMMARY_CODES}' || replace(codes, ' ', ', ') || '{fv.SUMMARY_HCCS}' || replace(coalesce(hccs, ''), ' ', ', ') || '{fv.SUMMARY_MODEL}'
+        || coalesce(applicable_model, 'None') || '{fv.SUMMARY_SCORE}' || coalesce(CAST(applicable_score AS VARCHAR), 'None') || '.' AS summary
         FROM cl LEFT JOIN {scored_notes} USING (note_id) LEFT JOIN hl USING (member_id))""",
         f"""held AS (SELECT note_id, {RAW_IDS.format(t='text')} AS ids, s, coalesce(summary, '') AS summary, s || chr(10) || coalesce(summary, '') AS output
         FROM deid LEFT JOIN said USING (note_id))""",
         select=f"""SELECT note_id, CAST(len(ids) AS INTEGER) AS n_identifiers, {left_in('s')} AS leaked_in_text, {left_in('summary')} AS leaked_in_summary,
         array_to_string({TOXIC_LIST}, ' | ') AS terms FROM held"""))
     quoted = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '[]' ELSE '[''' || replace({c}, ' ', ''', ''') || ''']' END"
-    add("explain_prompts", _with(DOMAIN, *deid, *pool_ctes(6), *note_ctes, *LISTS, note_lists,
-        "nc AS (SELECT note_id, string_agg('''' || condition || '''', ', ' ORDER BY ord) AS names FROM conds GROUP BY 1)",
-        f"""ctx AS (SELECT d.note_id, s, concat_ws(chr(10), 'Conditions extracted: [' || names || ']', 'ICD-10 codes selected: [' || code_texts || ']',
-          'Active HCCs: ' || {quoted('hccs')} || chr(10) || 'Applicable model: ' || applicable_model || chr(10) || 'Risk score: ' || CAST(applicable_score AS VARCHAR)
-          || chr(10) || 'All CE scores: ' || ce || chr(10) || 'Interactions triggered: ' || {quoted('inters')}) AS c
-          FROM (SELECT * FROM deid WHERE {clinical} AND {STRIPPED.format(t='s')} <> '') d LEFT JOIN nc ON nc.note_id = d.note_id LEFT JOIN cl ON cl.note_id = d.note_id
-          LEFT JOIN {scored_notes} sn ON sn.note_id = d.note_id LEFT JOIN hl USING (member_id) LEFT JOIN il USING (member_id) LEFT JOIN {CE_TEXT} e USING (member_id))""",
-        "p AS (SELECT note_id, CASE WHEN c = '' THEN s ELSE s || chr(10) || chr(10) || '--- Analysis results (use these to craft your response) ---' || chr(10) || c END AS prompt FROM ctx)",
+    def explained(notes: str) -> list[str]:
+        """Prompts ``p`` of the notes (note_id, s) that the SQL text gives."""
+        return [
+            "nc AS (SELECT note_id, string_agg('''' || condition || '''', ', ' ORDER BY ord) AS names FROM conds GROUP BY 1)",
+            f"""ctx AS (SELECT d.note_id, s, concat_ws(chr(10), '{fv.EXPLAIN_CONDITIONS}[' || names || ']', '{fv.EXPLAIN_CODES}[' || code_texts || ']',
+              '{fv.EXPLAIN_HCCS}' || {quoted('hccs')} || chr(10) || '{fv.EXPLAIN_MODEL}' || applicable_model || chr(10) || '{fv.EXPLAIN_SCORE}' || CAST(applicable_score AS VARCHAR)
+              || chr(10) || '{fv.EXPLAIN_CE_SCORES}' || ce || chr(10) || '{fv.EXPLAIN_INTERACTIONS}' || {quoted('inters')}) AS c
+              FROM ({notes}) d LEFT JOIN nc ON nc.note_id = d.note_id LEFT JOIN cl ON cl.note_id = d.note_id
+              LEFT JOIN {scored_notes} sn ON sn.note_id = d.note_id LEFT JOIN hl USING (member_id) LEFT JOIN il USING (member_id) LEFT JOIN {CE_TEXT} e USING (member_id))""",
+            f"p AS (SELECT note_id, CASE WHEN c = '' THEN s ELSE s || chr(10) || chr(10) || '{fv.EXPLAIN_RESULTS}' || chr(10) || c END AS prompt FROM ctx)",
+        ]
+
+    gated_notes = f"SELECT * FROM deid WHERE {clinical} AND {STRIPPED.format(t='s')} <> ''"
+    add("explain_prompts", _with(DOMAIN, *deid, *pool_ctes(6), *note_ctes, *LISTS, note_lists, *explained(gated_notes),
         select=f"SELECT note_id, {UNNUMBERED.replace('(s,', '(prompt,')} AS prompt_md5 FROM p"))
+    own = f"SELECT note_id, 1 AS ord, CAST(NULL AS VARCHAR) AS condition, s AS search_query FROM ({gated_notes})"
+    ending = f"""SELECT note_id, n.text || coalesce(' Assessment: ' || p_name || ' ' || lower(p_type), '') AS text
+      FROM ({NOTES}) n LEFT JOIN part ON p_partkey = note_id"""
+    add("note_as_query", _with(DOMAIN, *deid_ctes(ending), *pool_ctes(6, own), select="""SELECT note_id, position, icd10, similarity,
+      coalesce(for_condition, '') AS for_condition FROM pool"""))
     add("select_prompts", _with(DOMAIN, *deid, *pool_ctes(6),
         """listed AS (SELECT note_id, count(*) AS n, '[' || string_agg('{"condition":"' || condition || '","search_query":"' || search_query || '"}', ',' ORDER BY ord) || ']' AS c
           FROM conds GROUP BY 1)""",
         """offered AS (SELECT note_id, count(*) AS n, '[' || string_agg('{"icd10":"' || icd10 || '","description":"' || description || '","cc":"' || cc || '","similarity":'
           || CAST(similarity AS VARCHAR) || ',"for_condition":"' || for_condition || '"}', ',' ORDER BY position) || ']' AS k FROM pool JOIN codes USING (icd10) WHERE position <= 25 GROUP BY 1)""",
-        f"""p AS (SELECT d.note_id, offered.n AS n_candidates, listed.n AS n_conditions, 'Clinical notes:' || chr(10) || s || chr(10) || chr(10) || 'Extracted conditions: ' || c
-          || chr(10) || chr(10) || 'ICD-10 candidates:' || chr(10) || k AS prompt FROM deid d JOIN offered USING (note_id) JOIN listed USING (note_id)
+        f"""p AS (SELECT d.note_id, offered.n AS n_candidates, listed.n AS n_conditions, '{fv.SELECT_NOTES}' || chr(10) || s || chr(10) || chr(10) || '{fv.SELECT_CONDITIONS}' || c
+          || chr(10) || chr(10) || '{fv.SELECT_CANDIDATES}' || chr(10) || k AS prompt FROM deid d JOIN offered USING (note_id) JOIN listed USING (note_id)
           WHERE {clinical} AND {STRIPPED.format(t='s')} <> '')""",
         select=f"""SELECT note_id, {UNNUMBERED.replace('(s,', '(prompt,')} AS prompt_md5, CAST(n_candidates AS INTEGER) AS n_candidates,
           CAST(n_conditions AS INTEGER) AS n_conditions FROM p"""))
@@ -506,6 +517,19 @@ def all_sql() -> dict[str, str]:
       md5(regexp_replace(CASE WHEN role = 'user' THEN s ELSE text END, '_\\d+\\]', ']', 'g')) AS content_md5,
       count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS messages FROM deid"""))
 
+    asked = """asked AS (SELECT conv_id, turn FROM conversations c WHERE role = 'user'
+      AND NOT EXISTS (SELECT 1 FROM conversations l WHERE l.conv_id = c.conv_id AND l.turn > c.turn AND l.role IN ('user', 'assistant')))"""
+    sent = f"""sent AS (SELECT conv_id AS note_id, turn, s, {clinical} AS is_clinical FROM deid JOIN asked USING (conv_id, turn)
+      WHERE {STRIPPED.format(t='s')} <> '')"""
+    of_requests = f"SELECT * FROM ({CONDITIONS}) WHERE note_id IN (SELECT note_id FROM sent WHERE is_clinical)"
+    add("request_messages", _with(DOMAIN, *deid_ctes(said), asked, sent, *pool_ctes(6, of_requests), *note_ctes, *LISTS, note_lists,
+        *explained("SELECT note_id, s FROM sent"),
+        """placed AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN s ELSE text END AS content,
+          count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM deid)""",
+        """msgs AS (SELECT conv_id, sent.turn, position, role, CASE WHEN placed.turn = sent.turn THEN prompt ELSE content END AS content
+          FROM placed JOIN sent ON sent.note_id = conv_id AND placed.turn <= sent.turn JOIN p ON p.note_id = conv_id)""",
+        select=f"SELECT conv_id, turn, position, role, {UNNUMBERED.replace('(s,', '(content,')} AS content_md5 FROM msgs"))
+
     # providers
     add("code_prf", _with(*PROVIDER_BASE, select="SELECT * FROM prf"))
     add("eval_report", _with(*PROVIDER_BASE, *PROVIDER_SCORES, select="SELECT * FROM prow UNION ALL BY NAME SELECT CAST(NULL AS BIGINT) AS case_id, * FROM ptotal"))

@@ -104,6 +104,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id AS note_id", f"{note_text()} AS text")
 
 
+def notes_with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that end in words of a code's description; those beyond the last code have none."""
+    findings = table(spark, sf_dir, "part").selectExpr("p_partkey AS note_id", "concat(' Assessment: ', p_name, ' ', lower(p_type)) AS finding")
+    return notes(spark, sf_dir).join(findings, "note_id", "left").selectExpr("note_id", "concat(text, coalesce(finding, '')) AS text")
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known names: customers, nations and suppliers."""
     people = table(spark, sf_dir, "customer").selectExpr("'PERSON' AS entity_type", "c_name AS phrase")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import notes as N
+from riskspark.operators import history
 from riskspark.operators.deid import deidentify
 from riskspark.operators.model import joined_hccs, joined_interactions
 from riskspark.operators.retrieval import TfidfIndex, candidate_pool
@@ -135,8 +136,8 @@ def summary_line(codes: str, hccs: str) -> str:
     """SQL text of the one-line summary of a result; blanks separate list entries."""
     listed = lambda c: f"replace(coalesce({c}, ''), ' ', ', ')"
     return (
-        f"concat('Identified ICD-10 codes: ', {listed(codes)}, '. Active HCCs: ', {listed(hccs)}, "
-        "'. Applicable model ', coalesce(applicable_model, 'None'), ' with score ', coalesce(string(applicable_score), 'None'), '.')"
+        f"concat('{fv.SUMMARY_CODES}', {listed(codes)}, '{fv.SUMMARY_HCCS}', {listed(hccs)}, "
+        f"'{fv.SUMMARY_MODEL}', coalesce(applicable_model, 'None'), '{fv.SUMMARY_SCORE}', coalesce(string(applicable_score), 'None'), '.')"
     )
 
 
@@ -171,16 +172,16 @@ def explain_prompts(notes: DataFrame, conditions: DataFrame, codes: DataFrame, s
     blank = lambda c: f"filter(split({c}, ' '), x -> x != '')"
     parts = ", ".join(
         [
-            f"if(size(condition_texts) > 0, concat('Conditions extracted: ', {_quoted('condition_texts')}), null)",
-            f"if(size(code_texts) > 0, concat('ICD-10 codes selected: ', {_quoted('code_texts')}), null)",
-            f"if(applicable_model IS NOT NULL, concat('Active HCCs: ', {_quoted(blank('hccs'))}, '\\nApplicable model: ', applicable_model,"
-            f" '\\nRisk score: ', string(applicable_score), '\\nAll CE scores: ', ce, '\\nInteractions triggered: ', {_quoted(blank('inter'))}), null)",
+            f"if(size(condition_texts) > 0, concat('{fv.EXPLAIN_CONDITIONS}', {_quoted('condition_texts')}), null)",
+            f"if(size(code_texts) > 0, concat('{fv.EXPLAIN_CODES}', {_quoted('code_texts')}), null)",
+            f"if(applicable_model IS NOT NULL, concat('{fv.EXPLAIN_HCCS}', {_quoted(blank('hccs'))}, '\\n{fv.EXPLAIN_MODEL}', applicable_model,"
+            f" '\\n{fv.EXPLAIN_SCORE}', string(applicable_score), '\\n{fv.EXPLAIN_CE_SCORES}', ce, '\\n{fv.EXPLAIN_INTERACTIONS}', {_quoted(blank('inter'))}), null)",
         ]
     )
     return df.selectExpr(key, "sanitized_text", f"concat_ws('\\n', {parts}) AS context").selectExpr(
         key,
         "if(context = '', sanitized_text, concat(sanitized_text,"
-        " '\\n\\n--- Analysis results (use these to craft your response) ---\\n', context)) AS prompt",
+        f" '\\n\\n{fv.EXPLAIN_RESULTS}\\n', context)) AS prompt",
     )
 
 
@@ -201,10 +202,40 @@ def select_prompts(notes: DataFrame, conditions: DataFrame, pool: DataFrame, key
     )
     return notes.join(offered, key).join(listed, key, "left").selectExpr(
         key,
-        "concat('Clinical notes:\\n', sanitized_text, '\\n\\nExtracted conditions: ', coalesce(c, '[]'), '\\n\\nICD-10 candidates:\\n', k) AS prompt",
+        f"concat('{fv.SELECT_NOTES}\\n', sanitized_text, '\\n\\n{fv.SELECT_CONDITIONS}', coalesce(c, '[]'), '\\n\\n{fv.SELECT_CANDIDATES}\\n', k) AS prompt",
     )
 
 
+def request_messages(
+    turns: DataFrame,
+    completions: DataFrame,
+    make_replies,
+    members: DataFrame,
+    corpus: DataFrame,
+    code_map: DataFrame,
+    index: TfidfIndex,
+    ref: RefData,
+    gazetteer: DataFrame | None = None,
+    keep=lambda df, step: df,
+) -> DataFrame:
+    """What the explaining step is sent for every open request of ``turns``: history, then the request with its results.
+
+    (conv_id, turn, position, role, content) from (conv_id, turn, role, text). The other inputs
+    are those of ``note_to_score``, keyed by ``note_id``, which is the conversation here. A request
+    that the gate doesn't take for clinical is sent without results; an empty one isn't sent.
+    """
+    said = keep(history.conversation_history(turns, gazetteer), "history")
+    own = said.join(history.open_requests(turns), ["conv_id", "turn"], "left_semi")
+    requests = keep(gate(own.selectExpr("conv_id AS note_id", "turn", "content AS sanitized_text")).where("NOT rejected"), "requests")
+    clinical = requests.where("is_clinical").select("note_id")
+    conditions = keep(parse_conditions(completions)[0].join(clinical, "note_id", "left_semi"), "conditions")
+    pool = keep(pool_with_records(candidate_pool(conditions, index), corpus), "pool")
+    codes = keep(selected_codes(pool, make_replies(pool)), "codes")
+    scored = score_roster(members, codes.select("note_id", "icd10"), code_map, ref, key="note_id", scored_only=True)
+    prompts = explain_prompts(requests, conditions, codes, scored, ref).join(requests.select("note_id", "turn"), "note_id")
+    return history.request_messages(said, prompts.withColumnRenamed("note_id", "conv_id"))
+
+
 def pending_prompts(prompts: DataFrame, outputs: DataFrame, key: str = "note_id") -> DataFrame:
     """Prompts that have no recorded output yet."""
     return prompts.join(outputs.select(key), key, "left_anti")

@@ -447,6 +447,23 @@ RAW_PHONE_PATTERN = r"\b\d{3}-\d{3}-\d{4}\b"
 RAW_EMAIL_PATTERN = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
 RAW_MRN_PATTERN = r"(?i)MRN[:#]?\s*([A-Za-z0-9\-]{4,})"
 
+# Wording of the prompts and of the summary line, in the order in which it stands there.
+EXPLAIN_RESULTS = "--- Analysis results (use these to craft your response) ---"
+EXPLAIN_CONDITIONS = "Conditions extracted: "
+EXPLAIN_CODES = "ICD-10 codes selected: "
+EXPLAIN_HCCS = "Active HCCs: "
+EXPLAIN_MODEL = "Applicable model: "
+EXPLAIN_SCORE = "Risk score: "
+EXPLAIN_CE_SCORES = "All CE scores: "
+EXPLAIN_INTERACTIONS = "Interactions triggered: "
+SELECT_NOTES = "Clinical notes:"
+SELECT_CONDITIONS = "Extracted conditions: "
+SELECT_CANDIDATES = "ICD-10 candidates:"
+SUMMARY_CODES = "Identified ICD-10 codes: "
+SUMMARY_HCCS = ". Active HCCs: "
+SUMMARY_MODEL = ". Applicable model "
+SUMMARY_SCORE = " with score "
+
 # Sizes of the retrieval steps.
 HITS_PER_CONDITION = 6
 HITS_PER_SEARCH = 10

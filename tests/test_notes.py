@@ -129,6 +129,23 @@ def test_history_runs_over_blocks(spark):
     assert history.history_of(messages, spark.createDataFrame([(1, 9)], "conv_id int, turn int")).count() == 10
 
 
+def test_open_requests_and_their_messages(spark):
+    rows = [
+        (1, 0, "user", "SSN 123-45-6789"), (1, 1, "assistant", "a"), (1, 2, "user", "b"), (1, 3, "system", "later"),
+        (2, 0, "user", "answered"), (2, 1, "assistant", "c"), (3, 5, "user", "first"), (3, 9, "user", "second"), (4, 0, None, "x"), (4, 1, "assistant", None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    asked = history.open_requests(turns)
+    assert sorted(map(tuple, asked.collect())) == [(1, 2), (3, 9)]
+    prompts = spark.createDataFrame([(1, 0, "old"), (1, 2, "B"), (3, 9, "S"), (8, 1, "nobody")], "conv_id int, turn int, prompt string")
+    sent = history.request_messages(history.conversation_history(turns), prompts).orderBy("conv_id", "position").collect()
+    assert [tuple(r) for r in sent] == [
+        (1, 2, 1, "user", "SSN [REDACTED_US_SSN_1]"), (1, 2, 2, "assistant", "a"), (1, 2, 3, "user", "B"), (3, 9, 1, "user", "first"), (3, 9, 2, "user", "S"),
+    ]
+    empty = turns.where("false")
+    assert history.open_requests(empty).count() == 0 and history.request_messages(history.conversation_history(empty), prompts).count() == 0
+
+
 def test_metrics(spark):
     cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id int")
     pool = spark.createDataFrame([(1, "b", 0.9, 1, 1), (1, "a", 0.8, 1, 2), (1, "c", 0.8, 2, 1), (2, "x", 0.5, 1, 1)], "case_id int, doc string, similarity double, ord int, rank int")
