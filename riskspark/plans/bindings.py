@@ -6,7 +6,8 @@ Only column expressions: members from ``customer``, the code map and description
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskspark.sources.refdata import RefData
 
@@ -154,8 +155,6 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selection_replies(pool: DataFrame) -> DataFrame:
     """Recorded selection replies: the first three candidates, or prose for every fifth note."""
-    from pyspark.sql import functions as F
-
     picked = pool.where("position <= 3").groupBy("note_id").agg(
         F.expr(
             "to_json(named_struct('selected_codes', transform(array_sort(collect_list(struct(position, icd10, description, cc, for_condition))),"
@@ -166,31 +165,63 @@ def selection_replies(pool: DataFrame) -> DataFrame:
     return picked.selectExpr("note_id", "if(note_id % 5 = 0, 'I would pick the first ones.', concat('```json\\n', body, '\\n```')) AS reply")
 
 
+#: Places of hashes of passages' anchors and of their first tokens, a byte each.
+ANCHOR_PLACES = 1 << 18
+
+
+def anchors_in(tokens: str, first: bytes, marks: bytes, lengths: list[int]) -> Column:
+    """Distinct (n, anchor) of the runs of ``n`` tokens that start at a marked token and have a marked place.
+
+    An anchor hashes a run's token hashes.
+    """
+    marked = lambda where, x: F.substring(F.lit(where), anchor_place(x) + 1, F.lit(1)) == F.lit(b"\x01")
+
+    def of_text(h: Column) -> Column:
+        every = F.when(F.size(h) > 0, F.sequence(F.lit(1), F.size(h)))
+        starts = F.filter(every, lambda i: marked(first, F.element_at(h, i)))
+        anchor = lambda i, n: F.when(i + (n - 1) <= F.size(h), F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(h, i, F.lit(n))).alias("anchor")))
+        runs = F.flatten(F.transform(starts, lambda i: F.array(*[anchor(i, n) for n in lengths])))
+        return F.array_distinct(F.filter(runs, lambda a: marked(marks, a["anchor"])))
+
+    # bound to a lambda variable, so that a text is cut and hashed once for all lengths
+    return F.get(F.transform(F.array(F.expr(f"transform({tokens}, x -> xxhash64(x))")), of_text), F.lit(0))
+
+
+def anchor_place(anchor: Column) -> Column:
+    return F.pmod(anchor, F.lit(ANCHOR_PLACES)).cast("int")
+
+
 def gold_passages(spark: SparkSession, sf_dir: str, keep=lambda df, step: df) -> tuple[DataFrame, DataFrame]:
     """(cases, gold): passages as queries, the documents that hold them as gold.
 
     A passage and a document meet on a run of tokens that starts at the passage's second one
     (its first and last may be glued to other letters) and has eight tokens, or all but the
-    ends of a shorter passage; then the whole passage is compared. Every item is a case with
+    ends of a shorter passage; then the whole passage is compared. Documents are read once and
+    leave the row only where a run's place is marked by some passage. Every item is a case with
     two queries, the passage and its first forty characters. Every third item also has a gold
     document that no corpus holds, so recall below one and missing gold do occur, and items
     that no document holds are cases without gold (or with only that one).
     """
     from riskspark.functions.text import tokens
 
-    anchor = "hash(array_join(slice({t}, {i}, n), ' '))"
-    items = (
+    items = keep(
         table(spark, sf_dir, "benchmark")
-        .selectExpr("item_id AS case_id", "text AS query", f"{tokens('text')} AS t")
-        .selectExpr("case_id", "query", "t", "greatest(1, least(8, size(t) - 2)) AS n")
-        .selectExpr("case_id", "query", "n", f"{anchor.format(t='t', i='if(size(t) > 2, 2, 1)')} AS anchor")
+        .selectExpr("item_id AS case_id", "text AS query", f"transform({tokens('text')}, x -> xxhash64(x)) AS h")
+        .selectExpr("case_id", "query", "h", "greatest(1, least(8, size(h) - 2)) AS n")
+        .selectExpr("case_id", "query", "n", "slice(h, if(size(h) > 2, 2, 1), n) AS h")
+        .selectExpr("case_id", "query", "n", "get(h, 0) AS first", "xxhash64(h) AS anchor"),
+        "items",
     )
-    lengths = ", ".join(str(r.n) for r in items.select("n").distinct().orderBy("n").collect()) or "8"  # eight at most
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "text")
-    by_length = docs.selectExpr("doc", f"{tokens('text')} AS t").selectExpr("doc", "t", f"explode(array({lengths})) AS n").where("size(t) >= n")
-    runs = by_length.selectExpr("doc", "n", f"explode(array_distinct(transform(sequence(1, size(t) - n + 1), i -> {anchor.format(t='t', i='i')}))) AS anchor")
+    # bounded: marks for the places of anchors and first tokens, and the lengths that occur, eight at most
+    first, marks = bytearray(ANCHOR_PLACES), bytearray(ANCHOR_PLACES)
+    for column, places in (("first", first), ("anchor", marks)):
+        for r in items.select(anchor_place(F.col(column)).alias("place")).where("place IS NOT NULL").distinct().collect():
+            places[r.place] = 1
+    lengths = sorted(r.n for r in items.select("n").distinct().collect()) or [8]
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    runs = docs.select("doc", F.explode(anchors_in(tokens("text"), bytes(first), bytes(marks), lengths)).alias("a")).select("doc", "a.*")
     near = runs.join(items.select("case_id", "n", "anchor"), ["n", "anchor"]).select("doc", "case_id").distinct()
-    held = near.join(docs.select("doc", "text"), "doc").join(items.select("case_id", "query"), "case_id")
+    held = near.join(docs, "doc").join(items.select("case_id", "query"), "case_id")
     lost = items.where("case_id % 3 = 0").selectExpr("case_id", "-1 - case_id AS doc")
     gold = keep(held.where("contains(text, query)").select("case_id", "doc").unionByName(lost), "gold")
     cases = items.selectExpr("case_id", "posexplode(array(query, substr(query, 1, 40))) AS (pos, query)").selectExpr("case_id", "pos + 1 AS ord", "query")
@@ -203,8 +234,6 @@ def provider_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     Every order is a case of both, also where one predicts nothing. Gold lacks each order's
     second line, so there are false positives, and all lines of every seventh order.
     """
-    from pyspark.sql import functions as F
-
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS case_id", f"{PART_CODE.format(key='l_partkey')} AS icd10", "l_returnflag", "l_linenumber", "l_quantity"
     )

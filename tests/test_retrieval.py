@@ -7,8 +7,13 @@ from collections import Counter
 
 import pytest
 
+import pytest
+from pyspark.sql import functions as F
+
+from riskspark.functions.text import tokens
 from riskspark.operators import blocks
 from riskspark.operators import retrieval as R
+from riskspark.plans import bindings
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "the", "of", "é1", "a"]
 
@@ -138,3 +143,18 @@ def test_pool_keeps_the_first_condition(spark):
     rows = R.candidate_pool(conditions, R.build_index(c)).orderBy("position").collect()
     assert [(r.note_id, r.icd10, r.ord, r.position) for r in rows] == [(1, "B", 1, 1), (1, "C", 1, 2), (1, "A", 2, 3)]
     assert rows[0].for_condition == "pear" and all(0 < r.similarity <= 1 for r in rows)
+
+
+def test_anchors_are_the_marked_runs_of_each_length(spark):
+    texts = ["aa bb cc dd aa bb cc", "cc", "", None, "bb cc", "zz aa bb dd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    run = lambda t: docs.sparkSession.sql(f"SELECT xxhash64(transform(array({t}), x -> xxhash64(x))) AS a, xxhash64({t.split(',')[0]}) AS f").first()
+    first, marks, wanted = bytearray(bindings.ANCHOR_PLACES), bytearray(bindings.ANCHOR_PLACES), {}
+    for n, t in ((2, "'aa','bb'"), (3, "'bb','cc','dd'"), (1, "'cc'")):
+        r = run(t)
+        first[r.f % bindings.ANCHOR_PLACES] = marks[r.a % bindings.ANCHOR_PLACES] = 1
+        wanted[n] = r.a
+    found = docs.select("doc", F.explode(bindings.anchors_in(tokens("text"), bytes(first), bytes(marks), [1, 2, 3])).alias("a")).select("doc", "a.*")
+    assert sorted(map(tuple, found.collect())) == sorted(
+        [(0, 1, wanted[1]), (0, 2, wanted[2]), (0, 3, wanted[3]), (1, 1, wanted[1]), (4, 1, wanted[1]), (5, 2, wanted[2])]
+    )
