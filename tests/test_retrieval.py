@@ -5,8 +5,6 @@ import random
 import re
 from collections import Counter
 
-import pytest
-
 import pytest
 from pyspark.sql import functions as F
 
