@@ -3,7 +3,7 @@ r"""Chat formatting with a grammar that reads its own output back.
     turn := "<|im_start|>" role "\n" text "<|im_end|>" "\n"
 
 The parser is deterministic: a start mark opens a turn, the first end mark after it closes it,
-and what it reads is unescaped. A turn that doesn't read back as it was (control strings in the
+and what it reads is unescaped. Whatever the grammar doesn't derive is refused as a whole. A turn that doesn't read back as it was (control strings in the
 text, a line break in the role, something that looks escaped) is escaped: every ``<\..\|`` gets
 one more backslash, so no control string can remain, and reading takes it away again. The
 whole conversation is then read back; if it still differed, all of its turns would be escaped.
@@ -41,7 +41,16 @@ def _escaped(turn: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Array of (role, text) read from a formatted conversation."""
+    """Array of (role, text) read from a formatted conversation; null for a text outside the grammar.
+
+    Outside are anything before the first start mark or between the end of a turn and the next
+    start mark, a turn without its end mark or with two, and one without a line break after
+    its role. The empty text is a conversation without turns.
+    """
+
+    def whole(piece: Column) -> Column:
+        closed = F.endswith(piece, F.lit(f"{END}\n")) & (F.instr(piece, END) == F.length(piece) - len(END))
+        return closed & F.contains(F.substring_index(piece, END, 1), F.lit("\n"))
 
     def one(piece: Column) -> Column:
         body = F.substring_index(piece, END, 1)
@@ -49,28 +58,31 @@ def parse(formatted: Column) -> Column:
         text = F.substring(body, F.length(role) + 2, F.length(body))
         return F.struct(unescape(F.replace(role, F.lit(BREAK), F.lit("\n"))).alias("role"), unescape(text).alias("text"))
 
-    pieces = F.split(formatted, r"<\|im_start\|>")
-    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    def read(pieces: Column) -> Column:
+        turns = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.when((F.get(pieces, F.lit(0)) == "") & F.forall(turns, whole), F.transform(turns, one))
 
-
-def _one_text(turns: Column) -> Column:
-    return F.aggregate(turns, F.lit(""), lambda a, t: F.concat(a, t))
+    return let(F.split(formatted, r"<\|im_start\|>", -1), read)
 
 
 def render(turns: Column) -> Column:
-    """(formatted, turns read back, number of escaped turns, whether they read back as they were)."""
+    """(formatted, turns read back, number of escaped turns, whether they read back as they were).
+
+    A conversation that doesn't even read back with all its turns escaped is an error.
+    """
 
     def checked(formatted: Column, escaped: Column) -> Column:
-        return let(parse(formatted), lambda back: F.struct(formatted.alias("formatted"), back.alias("turns"), escaped.alias("n_escaped"), (back == turns).alias("round_trips")))
+        return let(parse(formatted), lambda back: F.struct(formatted.alias("formatted"), back.alias("turns"), escaped.alias("n_escaped"), back.eqNullSafe(turns).alias("round_trips")))
 
     def conflicts(turn: Column) -> Column:
-        return parse(_turn(turn["role"], turn["text"])) != F.array(turn)
+        return ~parse(_turn(turn["role"], turn["text"])).eqNullSafe(F.array(turn))
 
     plain = F.transform(turns, lambda t: F.struct(t.alias("turn"), conflicts(t).alias("conflict")))
     some = lambda marked: F.array_join(F.transform(marked, lambda m: F.when(m["conflict"], _escaped(m["turn"])).otherwise(_turn(m["turn"]["role"], m["turn"]["text"]))), "")
     every = F.array_join(F.transform(turns, _escaped), "")
     first = let(plain, lambda m: let(some(m), lambda f: checked(f, F.size(F.filter(m, lambda x: x["conflict"])))))
-    return let(first, lambda x: F.when(x["round_trips"], x).otherwise(let(every, lambda f: checked(f, F.size(turns)))))
+    second = let(every, lambda f: checked(f, F.size(turns)))
+    return let(let(first, lambda x: F.when(x["round_trips"], x).otherwise(second)), lambda x: F.when(x["round_trips"], x).otherwise(F.raise_error(F.lit("a conversation doesn't read back"))))
 
 
 def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
