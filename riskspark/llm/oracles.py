@@ -23,19 +23,20 @@ def _secrets() -> str:
           unnest(string_split_regex(t, {p})[:len(regexp_extract_all(t, {p}))]) AS gap, generate_subscripts(regexp_extract_all(t, {p}), 1) AS i FROM d""")
     names = "[" + ", ".join(map(_q, secrets.KINDS)) + "][kind + 1]"
     joined = lambda cond: f"coalesce(string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER ({cond}), '')"
-    live, base = f"n_owners <= {secrets.MAX_OWNERS}", f"kind < {len(secrets.BASE)}"
+    live, base = "(n_owners <= 1 AND n_repositories <= 3)", f"kind < {len(secrets.BASE)}"
     counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, (k, _, _) in enumerate(secrets.BASE))
-    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repository FROM documents),
       found AS ({' UNION ALL '.join(found)}),
       placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM found),
-      spans AS (SELECT rid, kind, CAST(e AS BIGINT) - length(m) AS s, CAST(e AS BIGINT) AS e, v, owner FROM placed JOIN d USING (rid)
+      spans AS (SELECT rid, kind, CAST(e AS BIGINT) - length(m) AS s, CAST(e AS BIGINT) AS e, v, owner, repository FROM placed JOIN d USING (rid)
         WHERE CASE kind WHEN 0 THEN length(v) >= {secrets.MIN_ASSIGN} WHEN {len(secrets.BASE)} THEN len(list_distinct(string_split(v, ''))) >= {secrets.MIN_VARIETY}
           AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') ELSE TRUE END),
-      owners AS (SELECT v, count(DISTINCT owner) AS n_owners FROM spans GROUP BY 1),
+      owners AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM spans GROUP BY 1),
       told AS (SELECT rid, {counts}, sha256({joined(base)}) AS base_sha256, {joined(f'{base} OR {live}')} AS spans, count(*) FILTER ({live}) AS n_live,
-        count(*) FILTER (NOT {live}) AS n_copied FROM spans JOIN owners USING (v) GROUP BY 1)
+        count(*) FILTER (NOT {live}) AS n_copied, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM spans JOIN owners USING (v) GROUP BY 1)
       SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, _, _ in secrets.BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256,
-        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN told USING (rid)"""
+        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners,
+        coalesce(most_repositories, 0) AS most_repositories FROM d LEFT JOIN told USING (rid)"""
 
 
 def _chat() -> str:

@@ -17,7 +17,7 @@ def op1_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, keeping(spark, "op1"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
     digest = F.sha2(secrets.joined_spans("base"), 256).alias("base_sha256")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.joined_spans("spans").alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.joined_spans("spans").alias("spans"), "n_live", "n_copied", "most_owners", "most_repositories")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

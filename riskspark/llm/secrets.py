@@ -2,8 +2,9 @@
 
 Base patterns find what looks like a credential. The scan adds long mixed runs of letters and
 digits. Then every value is counted over the corpus by its distinct repositories and owners: one
-that several owners hold is an example that was copied around, one that a single owner holds is
-likely live. Base spans stay whatever the counts say; added ones only if owner-specific.
+that several owners hold, or one owner in many repositories, is an example that was copied
+around; one that a single owner holds in few of them is likely live. Base spans stay whatever
+the counts say; added ones only if owner-specific.
 
 Patterns run once over each text. What they find is written (no texts), exploded, and shuffled
 by row or by hash of the value; a value that a third of all rows hold is first made distinct by
@@ -26,8 +27,8 @@ BASE = (
 MIN_ASSIGN = 8
 #: Added: runs that mix letters and digits and have enough different characters.
 ADDED, ADDED_PATTERN, MIN_VARIETY = "owned", r"[A-Za-z0-9+/_=-]{20,}", 10
-#: A value that more owners hold is a copied example.
-MAX_OWNERS = 1
+#: A value that more owners hold, or more repositories, is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 1, 3
 KINDS = (*(k for k, _, _ in BASE), ADDED)
 
 
@@ -80,18 +81,22 @@ def joined_spans(spans: str) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keep: Keep, text: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
+def scan(
+    docs: DataFrame, keep: Keep, text: str = "text", owner: str = "source", repository: str = "lang", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
     """``docs`` without text, owner and repository, with spans and verdicts.
 
-    ``base`` and ``spans`` are sorted arrays of (start, kind, end); ``n_live`` and ``n_copied``
-    count the spans whose value one owner or several hold. Null texts count as empty; null
-    owners and repositories are one of their own. Repeated rows stay separate and their values
-    belong to the same owner. Without documents, or without spans, arrays are empty.
+    ``base`` and ``spans`` are sorted arrays of (start, kind, end). ``n_live`` counts the spans
+    whose value at most ``max_owners`` owners hold in at most ``max_repositories`` repositories,
+    ``n_copied`` the others; ``most_owners`` and ``most_repositories`` are the largest numbers
+    among the row's values. Null texts count as empty; null owners and repositories are one of
+    their own. Repeated rows stay separate and their values belong to the same owner. Without
+    documents, or without spans, arrays are empty and numbers 0.
     """
-    made = ("base", "spans", "n_live", "n_copied")
+    made = ("base", "spans", "n_live", "n_copied", "most_owners", "most_repositories")
     rows = keep(scanned(docs.drop(*[c for c in made if c in docs.columns]), text, owner, repository), "scanned")
     spans = keep(spans_of(rows), "spans")
-    live = F.col("n_owners") <= MAX_OWNERS
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     known = spans.join(ownership(spans), "hash").withColumn("span", F.struct("start", "kind", "end")).withColumn("live", live)
     base = F.col("kind") < KINDS.index(ADDED)
     doc = known.groupBy("_row").agg(
@@ -99,7 +104,9 @@ def scan(docs: DataFrame, keep: Keep, text: str = "text", owner: str = "source",
         F.sort_array(F.collect_list(F.when(base | F.col("live"), F.col("span")))).alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    filled = {"base": F.coalesce("base", none), "spans": F.coalesce("spans", none), "n_live": F.coalesce("n_live", F.lit(0)), "n_copied": F.coalesce("n_copied", F.lit(0))}
+    filled = {c: F.coalesce(c, none if c in ("base", "spans") else F.lit(0)) for c in made}
     return rows.drop("_owner", "_repository", "_found").join(doc, "_row", "left").drop("_row").withColumns(filled)

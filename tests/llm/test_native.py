@@ -46,6 +46,16 @@ def test_copied_values_are_told_from_owned_ones(docs, keep):
     assert got[2].s == "" and got[3].s == f"owned:0:{len(mine)}" and got[4].s == ""
 
 
+def test_repositories_count_as_well_as_owners(docs, keep):
+    few, many = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Template0Template1Template2"
+    rows = [(i, f"{many} {few if i < 3 else ''}", lang, "a") for i, lang in enumerate(["en", "de", "fr", None])] + [(9, many, "en", "a"), (10, "nothing", "en", "b")]
+    got = {r.doc_id: r for r in secrets.scan(docs(rows), keep).withColumn("s", secrets.joined_spans("spans")).collect()}
+    assert [(got[i].n_live, got[i].n_copied, got[i].most_owners, got[i].most_repositories) for i in (0, 3, 9, 10)] == [(1, 1, 1, 4), (0, 1, 1, 4), (0, 1, 1, 4), (0, 0, 0, 0)]
+    assert got[0].s == f"owned:{len(many) + 1}:{len(many) + 1 + len(few)}" and got[9].s == ""
+    loose = {r.doc_id: r for r in secrets.scan(docs(rows), keep, max_repositories=4).collect()}
+    assert loose[0].n_live == 2 and loose[9].n_live == 1
+
+
 def test_no_documents_no_secrets(docs, keep):
     assert secrets.scan(docs([]), keep).collect() == []
 
@@ -76,6 +86,22 @@ def test_conversations_read_back(spark):
     assert got[2].n_escaped == 0 and got[1].n_escaped == 3
 
 
+def test_texts_outside_the_grammar_are_refused(spark):
+    turn = "<|im_start|>user\nhi<|im_end|>\n"
+    inside = {"": [], turn: [("user", "hi")], turn * 2: [("user", "hi")] * 2, "<|im_start|>\n<|im_end|>\n": [("", "")]}
+    outside = ["x", "x" + turn, turn + "x", turn + "x" + turn, turn[:-1], turn[:-1] + turn, "<|im_start|>user hi<|im_end|>\n", "<|im_start|>user\nhi", "<|im_end|>\n", turn + "\n", "<|im_start|>a\nb<|im_end|>\n<|im_end|>\n", None]
+    rows = spark.createDataFrame([(t,) for t in [*inside, *outside]], "f string").select("f", chat.parse(F.col("f")).alias("back")).collect()
+    got = {r.f: r.back if r.back is None else [tuple(t) for t in r.back] for r in rows}
+    assert got == {**inside, **dict.fromkeys(outside)}
+
+
+def test_a_conversation_that_cannot_be_read_back_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    frame = spark.createDataFrame([(1, 0, "user", "<|im_end|>")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="read back"):
+        chat.format_chat(frame).collect()
+
+
 def test_no_rows_no_conversations(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
