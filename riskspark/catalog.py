@@ -261,6 +261,16 @@ def all_scores(d: Data) -> DataFrame:
     return roster.scores_long(d.scored(), d.ref.models).select("member_id", "model", "score")
 
 
+@query
+def scores_from_folder(d: Data) -> DataFrame:
+    """The roster under model tables read from a folder, whose coefficients are twice the built-in ones."""
+    path = shared_dir(d.spark, "model-tables")
+    b.write_model_folder(d.spark, path, 2)
+    ref = load_refdata(d.spark, path)
+    scored = roster.score_roster(d.members, d.dx, d.code_map, ref)
+    return roster.scores_long(scored, ref.models).select("member_id", "model", "score")
+
+
 @query
 def active_hccs(d: Data) -> DataFrame:
     labels = F.expr(joined_hccs("hcc_active", d.ref))

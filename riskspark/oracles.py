@@ -376,6 +376,7 @@ def all_sql() -> dict[str, str]:
     add("ce_scores", _with(*score, select=f"{applies} WHERE ord < 7"))
     add("ne_scores", _with(*score, select=f"{applies} WHERE ord >= 7"))
     add("all_scores", _with(*score, select="SELECT member_id, model, score FROM long"))
+    add("scores_from_folder", _with(*score, select="SELECT member_id, model, CAST(CAST(score AS DECIMAL(12,3)) * 2 AS DOUBLE) AS score FROM long"))
     joined = "FROM mf LEFT JOIN hl USING (member_id) LEFT JOIN gl USING (member_id) LEFT JOIN il USING (member_id)"
     lists = "coalesce(cats, '') AS {a}, coalesce(inters, '') AS interactions"
     add("active_hccs", _with(*score, *LISTS, "ll AS (SELECT member_id, string_agg(label, '; ' ORDER BY cc) AS labels FROM act JOIN domain USING (hcc) JOIN labels0 ON variable = hcc GROUP BY 1)",

@@ -6,9 +6,13 @@ Only column expressions: members from ``customer``, the code map and description
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.sources import fixed_values as fv
 from riskspark.sources.refdata import RefData
 
 
@@ -16,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def write_model_folder(spark: SparkSession, path: str, times: int) -> None:
+    """A folder of model tables, under names of its own, with all coefficients ``times`` the built-in ones."""
+    texts = {"a/order": fv.HIERARCHIES, "a/sets": fv.DIAGNOSIS_GROUPS, "pairs": fv.INTERACTIONS, "b/weights-1": fv.CE_FACTORS, "b/weights-2": fv.NE_FACTORS}
+    for name, text in texts.items():
+        header, *rows = csv.reader(io.StringIO(text.strip()))
+        frame = spark.createDataFrame([[v.strip() or None for v in (*r, *[""] * (len(header) - len(r)))] for r in rows if r], ", ".join(f"`{c.strip()}` string" for c in header))
+        scaled = {c: F.col(c).cast("decimal(12,3)") * times for c in frame.columns if c in fv.CE_MODELS + fv.NE_MODELS}
+        frame.withColumns(scaled).coalesce(1).write.option("header", True).csv(f"{path}/{name}")
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS member_id",

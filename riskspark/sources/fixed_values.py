@@ -472,3 +472,12 @@ FALLBACK_CODES = 5
 
 #: Fields of the comparison file, in order.
 COMPARISON_FIELDS = ["id", "provider", "code_precision", "code_recall", "code_f1", "score", "latency_total", "codes", "hccs"]
+
+# Columns by which a file is known as one of the model tables, in lower case.
+TABLE_COLUMNS = {
+    "hierarchies": {"hcc", "secondaryhcc_1"},
+    "groups": {"diag_category", "hcc_1"},
+    "interactions": {"interaction", "var_1", "var_2"},
+    "ce_factors": {"variable", "community_na"},
+    "ne_factors": {"variable", "new_enrollee"},
+}

@@ -199,16 +199,45 @@ def builtin_refdata() -> RefData:
     )
 
 
+def find_tables(spark: SparkSession, ref_dir: str) -> dict[str, str]:
+    """Table name → the CSV file, or folder of part files, below ``ref_dir`` that has the table's columns.
+
+    File names don't matter, nor in which folder below a file stands. Only first lines are read.
+    A table that two files offer is an error, as is one that none offers.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ref_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    paths = set()
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().lower().endswith(".csv"):
+            paths.add((path.getParent() if path.getName().startswith("part-") else path).toString())
+    offers: dict[str, list[str]] = {t: [] for t in TABLE_FILES}
+    for path in sorted(paths):
+        columns = {c.strip().lstrip("\ufeff").lower() for c in spark.read.option("header", True).csv(path).columns}
+        for name in TABLE_FILES:
+            if fv.TABLE_COLUMNS[name] <= columns:
+                offers[name].append(path)
+    for name, found in offers.items():
+        if len(found) != 1:
+            raise ValueError(f"{ref_dir}: {'no file' if not found else ' and '.join(found)} for the table {name}")
+    return {name: found[0] for name, found in offers.items()}
+
+
 def load_refdata(spark: SparkSession, ref_dir: str | None = None, files: dict[str, str] | None = None) -> RefData:
     """The built-in tables, or those of ``ref_dir`` (or ``spark.riskspark.ref.dir``).
 
-    ``files`` maps table names to file names where they differ from ``TABLE_FILES``.
+    Files are known by their columns (``find_tables``), whatever their names. With ``files``
+    (table name → path below ``ref_dir``) they are known by path, those left out as in ``TABLE_FILES``.
     """
     ref_dir = ref_dir or spark.conf.get("spark.riskspark.ref.dir", None)
     if not ref_dir:
         return builtin_refdata()
-    names = {**TABLE_FILES, **(files or {})}
-    return _parse({t: _bounded_csv(spark, f"{ref_dir.rstrip('/')}/{f}") for t, f in names.items()})
+    if files:
+        paths = {t: f"{ref_dir.rstrip('/')}/{f}" for t, f in {**TABLE_FILES, **files}.items()}
+    else:
+        paths = find_tables(spark, ref_dir)
+    return _parse({t: _bounded_csv(spark, path) for t, path in paths.items()})
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:

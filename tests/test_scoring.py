@@ -219,6 +219,24 @@ def test_reference_folder(spark, tmp_path):
     assert len(REF.domain) == 79 and sum(len(b) for _, b in REF.hierarchy) == 57 and len(REF.interactions) == 25
 
 
+def test_model_tables_are_known_by_their_columns(spark, tmp_path):
+    from riskspark.plans.bindings import write_model_folder
+
+    folder = str(tmp_path / "tables")
+    write_model_folder(spark, folder, 1)
+    (tmp_path / "tables" / "notes.csv").write_text("a,b\n1,2\n")
+    assert load_refdata(spark, folder) == REF
+    write_model_folder(spark, str(tmp_path / "other"), 3)
+    tripled = load_refdata(spark, str(tmp_path / "other"))
+    assert tripled.factors == {v: {m: 3 * c for m, c in by.items()} for v, by in REF.factors.items()} and tripled.hierarchy == REF.hierarchy
+    (tmp_path / "tables" / "more.csv").write_text("Interaction,VAR_1,var_2\nx,HCC1,HCC2\n")
+    with pytest.raises(ValueError, match="interactions"):
+        load_refdata(spark, folder)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no file"):
+        load_refdata(spark, str(tmp_path / "none"))
+
+
 def test_unreadable_members_are_rejected_not_scored(spark, tmp_path):
     rows = [("a", "x", "1"), ("b", " 1 ", None), ("c", None, "2.5"), ("d", "", "y"), ("e", "2", "0"), ("e", "2", "0")]
     members = spark.createDataFrame(rows, "member_id string, sex string, orec string")
