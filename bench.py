@@ -63,6 +63,8 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        # documents.parquet is one row group, which one task would read
+        spark__riskspark__documents__partitions=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -16,8 +16,15 @@ from riskspark.sources import fixed_values as fv
 from riskspark.sources.refdata import RefData
 
 
+#: A caller's setting: the number of partitions to which rows of ``documents`` are dealt. For files
+#: with fewer row groups than cores only; unset, as on large tables, nothing moves.
+SPREAD_KEY = "spark.riskspark.documents.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get(SPREAD_KEY, None) if name == "documents" else None
+    return rows.repartition(int(spread)) if spread else rows
 
 
 def write_model_folder(spark: SparkSession, path: str, times: int) -> None:

@@ -129,6 +129,20 @@ def test_history_runs_over_blocks(spark):
     assert history.history_of(messages, spark.createDataFrame([(1, 9)], "conv_id int, turn int")).count() == 10
 
 
+def test_spread_documents_give_the_same_notes(spark):
+    from riskspark import catalog
+    from riskspark.plans import bindings
+
+    rows = lambda: sorted(map(tuple, catalog.QUERIES["deidentify"](spark, "/root/testdata/sf0.001").collect()))
+    one = rows()
+    spark.conf.set(bindings.SPREAD_KEY, "5")
+    try:
+        assert bindings.table(spark, "/root/testdata/sf0.001", "documents").rdd.getNumPartitions() == 5
+        assert rows() == one
+    finally:
+        spark.conf.unset(bindings.SPREAD_KEY)
+
+
 def test_open_requests_and_their_messages(spark):
     rows = [
         (1, 0, "user", "SSN 123-45-6789"), (1, 1, "assistant", "a"), (1, 2, "user", "b"), (1, 3, "system", "later"),
