@@ -83,6 +83,25 @@ def test_quality_held_out(docs, labels_of, keep):
     assert accuracy(got, labels, 1, 3, 1) > 0.97
 
 
+def test_quality_with_one_id_as_a_third_of_the_rows(docs, labels_of, keep):
+    rows, labels = corpus()
+    hot = next(d for d, good, _ in labels if good and not held(d, 3, 1))
+    crowd = [(hot, dict(rows)[hot] + f" w{i % 7}") for i in range(300)]
+    got = factors.quality(docs(rows + crowd), labels_of(labels), keep).collect()
+    check(got, rows + crowd, 3, 1)
+    assert accuracy(got, labels, 1, 3, 1) > 0.95
+
+
+def test_scores_do_not_depend_on_partitions(docs, labels_of, keep):
+    rows, labels = corpus(300)
+    for f in (toxicity.toxicity, factors.quality):
+        one, other = (
+            sorted((r.doc_id, round(r.score, 9)) for r in f(docs(rows[::step]).repartition(n), labels_of(labels[::step]).repartition(n), keep).collect())
+            for n, step in ((1, 1), (7, -1))
+        )
+        assert one == other
+
+
 def test_nothing_to_learn_from(docs, labels_of, keep):
     assert [r.score for r in toxicity.toxicity(docs([(1, "a"), (2, "b")]), labels_of([]), keep).collect()] == [0.0, 0.0]
     assert [r.score for r in factors.quality(docs([(1, "a"), (2, "b")]), labels_of([]), keep).collect()] == [0.5, 0.5]

@@ -102,6 +102,12 @@ def test_a_conversation_that_cannot_be_read_back_is_an_error(spark, monkeypatch)
         chat.format_chat(frame).collect()
 
 
+def test_a_long_conversation_reads_back(spark):
+    frame = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat(if(id % 10 = 0, '<|im_end|>', 'plain '), id) AS text")
+    r = chat.format_chat(frame).selectExpr("size(turns) AS n", "n_escaped", "round_trips", "turns[19999].text AS last").first()
+    assert tuple(r) == (20_000, 2_000, True, "plain 19999")
+
+
 def test_no_rows_no_conversations(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
@@ -139,6 +145,16 @@ def test_targets_equal_the_loop(spark, docs, keep, sizes):
     assert sorted(map(tuple, again)) == sorted((r.doc_id, r.whole, r.part) for r in got if r.doc_id not in (None, 9999))
 
 
+def test_mix_with_one_id_as_a_third_of_the_rows(docs, keep):
+    rows = [(i, "w " * (1 + i % 9), None, "ab"[i % 2]) for i in range(200)] + [(7, "w " * (1 + i % 4), None, "ab"[i % 2]) for i in range(100)]
+    runs = [mixing.mix(docs(rows[::step]).repartition(n), keep).collect() for n, step in ((1, 1), (9, -1))]
+    one, other = (sorted((r.doc_id, r.source, r.size, r.whole, r.part) for r in got) for got in runs)
+    assert one == other and len(one) == 300
+    for s in "ab":
+        target = next(r.target for r in runs[0] if r.source == s)
+        assert sum(r.whole * r.size + r.part for r in runs[0] if r.source == s) == pytest.approx(target, abs=0.51)
+
+
 def test_mix_repeats_whole_texts(docs, keep):
     rows = [(i, f"text number {i} here", "en", "ab"[i % 2]) for i in range(40)]
     got = mixing.repeated(docs(rows, whole="clash"), keep).collect()
