@@ -156,3 +156,28 @@ def test_anchors_are_the_marked_runs_of_each_length(spark):
     assert sorted(map(tuple, found.collect())) == sorted(
         [(0, 1, wanted[1]), (0, 2, wanted[2]), (0, 3, wanted[3]), (1, 1, wanted[1]), (4, 1, wanted[1]), (5, 2, wanted[2])]
     )
+
+
+def test_an_index_of_many_chunks_moves_texts_and_no_postings(spark, data, monkeypatch, tmp_path):
+    """Frequencies and largest weights over chunks; only parts that are asked for are written."""
+    monkeypatch.setattr(R, "TASK_POSTINGS", 150)
+    corpus, _, c, _ = data
+    df, texts, top = Counter(), {}, {}
+    for d, text in corpus:
+        df.update(set(grams(text)))
+        texts[text] = d
+    n_postings = Counter(g for text in texts for g in set(grams(text)))
+    for text in texts:
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(corpus)) / (1 + df[g])) + 1) for g, n in Counter(grams(text)).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        for g, x in v.items():
+            top[g] = max(top.get(g, 0), x / norm)
+    index = R.build_index(c)
+    found = {r.term: (r.df, r.n_postings, round(r.max_weight, 9)) for r in index.terms.collect()}
+    assert found == {g: (df[g], n_postings[g], round(top[g], 9)) for g in df}
+    assert {(r.h, r.df) for r in index.frequencies.collect()} == {(r.h, r.df) for r in index.terms.collect()}
+    plan = index.blocks._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert moved and not any("weights" in e or "tf" in e for e in moved)
+    R.stored_index(c, str(tmp_path), parts=("frequencies", "blocks", "docs"))
+    assert {p.name for p in tmp_path.glob("*/*")} == {"complete", "size", "frequency", "blocks", "docs"}
