@@ -181,3 +181,16 @@ def test_an_index_of_many_chunks_moves_texts_and_no_postings(spark, data, monkey
     assert moved and not any("weights" in e or "tf" in e for e in moved)
     R.stored_index(c, str(tmp_path), parts=("frequencies", "blocks", "docs"))
     assert {p.name for p in tmp_path.glob("*/*")} == {"complete", "size", "frequency", "blocks", "docs"}
+
+
+def test_a_pool_is_one_shuffle_by_note_and_few_hits_go_to_the_conditions(spark, data):
+    """One query of very many rows meets in no task, and the rows are never broadcast."""
+    _, _, c, _ = data
+    conditions = spark.range(20_000).selectExpr("id AS note_id", "1 AS ord", "'the eta' AS condition", "'' AS search_query")
+    pool = R.candidate_pool(conditions, R.build_index(c))
+    assert pool.groupBy("note_id").count().where("count != 6").count() == 0
+    pool.collect()
+    plan = pool._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    by_note = [line for line in plan.split("\n") if " Exchange hashpartitioning(note_id" in line or "- Exchange hashpartitioning(note_id" in line]
+    assert len(by_note) == 1 and "SortAggregate" not in plan.split(by_note[0])[0]
+    assert R.SENT_HITS and "BroadcastHashJoin" in plan and "BuildRight" in plan
