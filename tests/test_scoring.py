@@ -273,3 +273,20 @@ def test_what_if_is_one_aggregate(spark):
     assert {k: v[1] for k, v in got.items()} == {(r.member_id, r.model): r.score for r in after if r.member_id in asked}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_set(") == 4, plan  # own and added, packed and not, all in one
+
+
+def test_rules_are_read_once_each_and_not_once_a_row(spark):
+    """A rule column of a map is compiled after the distinct rules, also null ones; results stay a row each."""
+    rows = [(f"A{i}", str(1 + i % 80), [None, "age >= 18 and age < 90"][i % 2], [None, "not age >= 70", "age == 18", "age < 65"][i % 4], [None, "1", "N/A"][i % 3]) for i in range(500)]
+    mapping = spark.createDataFrame(rows, "icd10 string, cc string, MCE_AGE_CONDITION string, AGE_EDIT_CONDITION string, SEX_EDIT_CONDITION string")
+    from riskspark.operators.diagnoses import prepare_code_map
+
+    prepared = prepare_code_map(mapping)
+    direct = spark.createDataFrame([(r[2], r[3]) for r in rows[:12]], "m string, a string").selectExpr("m", "a", f"{compile_rule('m')} AS mce", f"{compile_rule('a')} AS age_edit").collect()
+    wanted = {(r.m, r.a): (r.mce, r.age_edit) for r in direct}
+    found = prepared.collect()
+    assert sorted(r.icd10 for r in found) == sorted(r[0] for r in rows)
+    assert all((r.mce, r.age_edit) == wanted[r.mce_rule, r.age_rule] and r.sex_edit == (1 if r.sex_rule == "1" else None) for r in found)
+    plan = prepared._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    reading = [line for line in plan if "regexp_extract_all" in line]
+    assert any("Join" in line for line in plan) and len(reading) == 1 and "Aggregate [mce_rule" in reading[0]
