@@ -194,3 +194,17 @@ def test_a_pool_is_one_shuffle_by_note_and_few_hits_go_to_the_conditions(spark,
     by_note = [line for line in plan.split("\n") if " Exchange hashpartitioning(note_id" in line or "- Exchange hashpartitioning(note_id" in line]
     assert len(by_note) == 1 and "SortAggregate" not in plan.split(by_note[0])[0]
     assert R.SENT_HITS and "BroadcastHashJoin" in plan and "BuildRight" in plan
+
+
+@pytest.mark.parametrize("bits", [17, 5, 1])
+def test_queries_leave_their_rows_as_known_terms_and_are_searched_once(spark, data, monkeypatch, bits):
+    """Long texts that share the terms of the index are one query; marks that sort out little, or nothing, change no result."""
+    monkeypatch.setattr(R, "MARK_BITS", bits)
+    corpus, _, c, _ = data
+    rows = [(i, f"junk{i} the eta more{i % 7} eta") for i in range(50)] + [(98, "none of these"), (99, None), (100, "aa bb"), (101, "")]
+    searched = []
+    best_texts = R.best_texts
+    monkeypatch.setattr(R, "best_texts", lambda vectors, *more: searched.append(vectors.count()) or best_texts(vectors, *more))
+    found = R.search(spark.createDataFrame(rows, "query_id int, query string"), R.build_index(c), 3)
+    assert sorted(map(tuple, found.collect())) == brute(corpus, [r for r in rows if r[1]], 3)
+    assert bits < 17 or searched == [2]
