@@ -196,9 +196,10 @@ def test_a_pool_is_one_shuffle_by_note_and_few_hits_go_to_the_conditions(spark,
     assert R.SENT_HITS and "BroadcastHashJoin" in plan and "BuildRight" in plan
 
 
-@pytest.mark.parametrize("bits", [17, 5, 1])
-def test_queries_leave_their_rows_as_known_terms_and_are_searched_once(spark, data, monkeypatch, bits):
+@pytest.mark.parametrize("listed, bits", [(1_000, 17), (0, 17), (0, 5), (0, 1)])
+def test_queries_leave_their_rows_as_known_terms_and_are_searched_once(spark, data, monkeypatch, listed, bits):
     """Long texts that share the terms of the index are one query; marks that sort out little, or nothing, change no result."""
+    monkeypatch.setattr(R, "LISTED_TERMS", listed)
     monkeypatch.setattr(R, "MARK_BITS", bits)
     corpus, _, c, _ = data
     rows = [(i, f"junk{i} the eta more{i % 7} eta") for i in range(50)] + [(98, "none of these"), (99, None), (100, "aa bb"), (101, "")]
