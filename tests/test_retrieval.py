@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,46 @@ def test_queries_leave_their_rows_as_known_terms_and_are_searched_once(spark, da
     found = R.search(spark.createDataFrame(rows, "query_id int, query string"), R.build_index(c), 3)
     assert sorted(map(tuple, found.collect())) == brute(corpus, [r for r in rows if r[1]], 3)
     assert bits < 17 or searched == [2]
+
+
+def test_an_index_is_built_and_searched_in_small_pieces(spark, data, monkeypatch, tmp_path):
+    """A chunk is weighed and packed by one Python worker, stored in small row groups and searched block after block, of which few are sent at a time."""
+    corpus, queries, c, q = data
+    assert R.build_index(spark.createDataFrame([("a", "word " * 400_000)], "icd10 string, description string"))._chunks > 1
+    for name, value in (("TASK_POSTINGS", 150), ("GROUP_BYTES", 1_000), ("GROUP_ROWS", 1), ("CHUNKS_OF_TASK", 100)):
+        monkeypatch.setattr(R, name, value)
+    monkeypatch.setattr(blocks, "BLOCK_DOCS", 3)
+    index = R.build_index(c)
+    plan = index.blocks._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan and "lead" not in plan
+    assert max(len(r.ids) for r in index.blocks.collect()) == 3
+    stored = R.stored_index(c, str(tmp_path))
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("*/blocks/*.parquet")]
+    assert files and any(f.num_row_groups > 1 for f in files)
+    before = spark.conf.get(R.BATCH_KEY)
+    try:
+        found = R.search(q, stored, 5)
+        assert sorted(map(tuple, found.collect())) == brute(corpus, queries, 5)
+        assert R._bytes(spark.conf.get(R.BATCH_KEY)) <= 8 << 20
+    finally:
+        spark.conf.set(R.BATCH_KEY, before)
+    assert [R._bytes(x) for x in ("67108864b", "64m", "8k", "-1b", "1g")] == [64 << 20, 64 << 20, 8192, 0, 0]
+
+
+def test_marks_are_gathered_as_words_of_bits(spark, data):
+    """What the driver collects doesn't grow with the number of tasks, and terms are read without the chunks' answers."""
+    index = R.build_index(data[2])
+    marks, wanted = index.marks(), set()
+    for r in index.frequencies.collect():
+        wanted |= {((r.h >> (R.MARK_BITS * i)) & ((1 << R.MARK_BITS) - 1)) + (i << R.MARK_BITS) for i in range(R.MARK_STRETCHES)}
+    assert len(marks) == R.MARK_STRETCHES << R.MARK_BITS and set(marks.nonzero()[0].tolist()) == wanted
+    assert all(not r.df for r in index._frequency.where("chunk < 0").collect()) and all(not r.total for r in index._frequency.where("chunk >= 0").collect())
+
+
+def test_keys_of_any_length_are_kept_in_order_over_blocks(spark, monkeypatch):
+    """Longer keys in later blocks aren't cut, and ties go to the smaller key."""
+    rows = [(f"{'k' * (1 + i % 9)}{i:03}", "same words" + " x" * (i % 3) + f" own{i}") for i in range(60)]
+    monkeypatch.setattr(blocks, "BLOCK_DOCS", 2)
+    c = spark.createDataFrame(rows, "icd10 string, description string").coalesce(1)
+    q = spark.createDataFrame([(1, "same words"), (2, "own7")], "query_id int, query string")
+    assert sorted(map(tuple, R.search(q, R.build_index(c), 7).collect())) == brute(rows, [(1, "same words"), (2, "own7")], 7)
